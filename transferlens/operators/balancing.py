@@ -89,15 +89,17 @@ def nearest_points(points: DataFrame, n_points: int, k: int, block_rows: int = B
     # A block that many points ask for is copied, so that a task answers about CHUNK_ROWS of them.
     loads = asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).alias("chunks"))
     queries = asked.join(F.broadcast(loads), "target").withColumn("chunk", F.pmod(F.xxhash64("point"), F.col("chunks")))
-    held = placed.withColumnRenamed("block", "target").join(F.broadcast(loads), "target")
-    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    copies = loads.select(F.col("target").alias("block"), F.col("chunks").alias("n_copies"))
+    held = placed.join(F.broadcast(copies), "block").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)).alias("copy"), F.col("point").alias("held"), F.col("x").alias("held_x")
+    )
 
     def answer(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if query.empty or block.empty:
             return pd.DataFrame({"point": [], "near": [], "dist": []})
-        return _nearest(query["point"].to_numpy(), np.vstack(query["x"]), block["point"].to_numpy(), np.vstack(block["x"]), k)
+        return _nearest(query["point"].to_numpy(), np.vstack(query["x"]), block["held"].to_numpy(), np.vstack(block["held_x"]), k)
 
-    other = queries.groupBy("target", "chunk").cogroup(held.groupBy("target", "chunk")).applyInPandas(answer, _NEAR)
+    other = queries.groupBy("target", "chunk").cogroup(held.groupBy("block", "copy")).applyInPandas(answer, _NEAR)
     found = own.unionByName(other).select("point", F.arrays_zip("dist", "near").alias("c"))
     # One list of k per block a point visited.
     merged = found.groupBy("point").agg(F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
