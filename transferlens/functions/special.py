@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def upper_gamma(a: float, x: float) -> float:
@@ -42,7 +42,7 @@ def upper_gamma(a: float, x: float) -> float:
             return front * value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """P(X >= statistic) for a chi-squared variable with ``dof`` degrees of freedom."""
     return pd.Series([upper_gamma(d / 2.0, s / 2.0) for s, d in zip(statistic, dof)], dtype="float64")

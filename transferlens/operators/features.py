@@ -34,49 +34,48 @@ class FeatureEncoder:
     built_in_rows: int = BUILT_IN_ROWS
 
     def fit(self, df: DataFrame) -> "FittedEncoder":
-        rows = df.count()
+        seen = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_missing(df, c)).alias(c) for c in self.numeric]).first()
+        rows = seen["_rows"]
         if rows == 0:
             raise ValueError("no rows to fit on")
-        medians, scales = self._fit_numbers(df)
-        lookup, sizes = self._fit_frequencies(df, rows)
-        return FittedEncoder(self.numeric, self.frequency, self.one_hot, medians, scales, self._fit_categories(df), sizes, lookup)
+        medians, scales = self._fit_numbers(df, rows, [c for c in self.numeric if seen[c]])
+        lookup, sizes, categories = self._fit_values(df, rows)
+        return FittedEncoder(self.numeric, self.frequency, self.one_hot, medians, scales, categories, sizes, lookup)
 
-    def _fit_numbers(self, df: DataFrame) -> tuple[dict, dict]:
+    def _fit_numbers(self, df: DataFrame, rows: int, holes: list[str]) -> tuple[dict, dict]:
         if not self.numeric:
             return {}, {}
         probs = [0.25, 0.5, 0.75]
-        q = {c: v for (_, c), v in quantiles(df, self.numeric, probs, built_in_rows=self.built_in_rows).items()}
+        found = quantiles(df, self.numeric, probs, built_in_rows=self.built_in_rows, rows=rows)
+        q = {c: v for (_, c), v in found.items()}
         medians = {c: v[1] for c, v in q.items()}
         empty = [c for c, m in medians.items() if m is None]
         if empty:
             raise ValueError(f"no present values in {empty}")
-        missing = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in self.numeric]).first()
-        holes = [c for c in self.numeric if missing[c]]
         if holes:
             # The scaler sees the imputed column, so the filled-in medians pull its quartiles in.
             filled = df.select(*[F.when(is_missing(df, c), F.lit(medians[c])).otherwise(F.col(c)).alias(c) for c in holes])
-            q.update({c: v for (_, c), v in quantiles(filled, holes, probs, built_in_rows=self.built_in_rows).items()})
+            again = quantiles(filled, holes, probs, built_in_rows=self.built_in_rows, rows=rows)
+            q.update({c: v for (_, c), v in again.items()})
         return medians, {c: (q[c][2] - q[c][0]) or 1.0 for c in self.numeric}
 
-    def _fit_frequencies(self, df: DataFrame, rows: int) -> tuple[DataFrame | None, dict]:
-        """Share of rows per value, null being a value of its own; one pass for all columns."""
-        if not self.frequency:
-            return None, {}
-        counts = as_long_table(df, self.frequency).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        lookup = materialise(counts.select("column", "value", (F.col("n") / F.lit(rows)).alias("share")))
-        sizes = {r["column"]: r["count"] for r in lookup.groupBy("column").count().collect()}
-        return lookup, sizes
-
-    def _fit_categories(self, df: DataFrame) -> dict:
-        """Sorted categories; a null seen in training is a category and comes last."""
-        if not self.one_hot:
-            return {}
-        found = as_long_table(df, self.one_hot).distinct().limit(MAX_CATEGORIES * len(self.one_hot) + 1).collect()
-        out = {c: sorted((r["value"] for r in found if r["column"] == c), key=lambda v: (v is None, v or "")) for c in self.one_hot}
-        wide = [c for c, values in out.items() if len(values) > MAX_CATEGORIES]
-        if wide or len(found) > MAX_CATEGORIES * len(self.one_hot):
-            raise ValueError(f"more than {MAX_CATEGORIES} categories in {wide or self.one_hot}: encode by frequency instead")
-        return out
+    def _fit_values(self, df: DataFrame, rows: int) -> tuple[DataFrame | None, dict, dict]:
+        """Share of rows per value of each category column, counted in one pass for all of them.
+
+        Null is a value of its own; as a one-hot category it comes last.
+        """
+        columns = [*self.frequency, *self.one_hot]
+        if not columns:
+            return None, {}, {}
+        counts = as_long_table(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        shares = materialise(counts.select("column", "value", (F.col("n") / F.lit(rows)).alias("share")))
+        sizes = {r["column"]: r["count"] for r in shares.groupBy("column").count().collect()}
+        wide = [c for c in self.one_hot if sizes[c] > MAX_CATEGORIES]
+        if wide:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories in {wide}: encode by frequency instead")
+        found = shares.where(F.col("column").isin(self.one_hot)).collect() if self.one_hot else []
+        categories = {c: sorted((r["value"] for r in found if r["column"] == c), key=lambda v: (v is None, v or "")) for c in self.one_hot}
+        return shares.where(F.col("column").isin(self.frequency)), {c: sizes[c] for c in self.frequency}, categories
 
 
 @dataclass

@@ -29,8 +29,10 @@ def quantiles(
     by: str | None = None,
     overall: bool = True,
     built_in_rows: int = BUILT_IN_ROWS,
+    rows: int | None = None,
 ) -> dict[tuple[str, str], list[float | None]]:
-    """``{(group, column): [quantile, …]}``; ``by`` must have few values, such as the label.
+    """``{(group, column): [quantile, …]}``; ``by`` must have few values, such as the label;
+    ``rows`` saves counting the table.
 
     Small tables use ``percentile``. Larger ones narrow each quantile down with mergeable sketches
     until the rows around it fit a task, then pick the exact order statistics there; every pass
@@ -38,7 +40,7 @@ def quantiles(
     """
     values = _values(df, columns, by, overall)
     if built_in_rows > 0:
-        rows = df.count()
+        rows = df.count() if rows is None else rows
         if rows <= built_in_rows:
             q = F.array(*[F.lit(p) for p in probs])
             out = values.groupBy("group").agg(*[F.percentile(c, q).alias(c) for c in columns])

@@ -68,6 +68,7 @@ def _search(keys: DataFrame, wanted: set[tuple], direct_rows: int) -> dict[tuple
 
 
 def _sorted_lookup(keys: DataFrame, small: dict[tuple, tuple[str, int]], width: int) -> dict:
+    """Keys at ranks inside small buckets, each sorted in one task."""
     bucket = F.substring("k", 1, width)
     places = {(s, b) for (s, _), (b, _) in small.items()}
     inside = any_of([F.col("s").eqNullSafe(F.lit(s)) & (bucket == b) for s, b in places])
@@ -89,12 +90,12 @@ def _sorted_lookup(keys: DataFrame, small: dict[tuple, tuple[str, int]], width:
 
 
 def cut_points(
-    df: DataFrame, key: str, ranks: dict, stratum: str | Column | None = None, direct_rows: int = DIRECT_ROWS
+    df: DataFrame, key: str, ranks: dict, stratum: str | Column | None = None, direct_rows: int = DIRECT_ROWS, largest: int | None = None
 ) -> tuple[DataFrame, dict]:
     """Keys that sit at given ranks, so that "the first r rows" becomes the filter ``key <= cut``.
 
     ``ranks`` maps a stratum value (None without strata) to ranks counted from 1; ``stratum`` may
-    explode a row into several strata. A cut that would fall between copies of one key first tells the copies apart; hence the returned table, which has
+    explode a row into several strata; ``largest`` is the size of the largest stratum, if known. A cut that would fall between copies of one key first tells the copies apart; hence the returned table, which has
     the same rows, is the one to filter.
     """
     wanted = {(s, r) for s, rs in ranks.items() for r in rs if r > 0}
@@ -103,7 +104,11 @@ def cut_points(
     s = F.lit(None).cast("string") if stratum is None else stratum
     s = F.col(s) if isinstance(s, str) else s
     while True:
-        found = _search(df.select(s.alias("s"), F.col(key).alias("k")), wanted, direct_rows)
+        keys = df.select(s.alias("s"), F.col(key).alias("k"))
+        if largest is not None and largest <= direct_rows:
+            found = _sorted_lookup(keys, {w: ("", w[1]) for w in wanted}, 0)
+        else:
+            found = _search(keys, wanted, direct_rows)
         tied = sorted({k for k, needed, copies in found.values() if needed < copies})
         if not tied:
             break

@@ -29,7 +29,7 @@ def exact_sample(df: DataFrame, n: int, seed: int, key: str = KEY, direct_rows:
         raise ValueError(f"cannot take {n} rows without replacement from {rows}")
     if n <= 0:
         return df.limit(0)
-    ordered, cuts = cut_points(_ordered(df, key, seed), _ORDER, {None: [n]}, direct_rows=direct_rows)
+    ordered, cuts = cut_points(_ordered(df, key, seed), _ORDER, {None: [n]}, direct_rows=direct_rows, largest=rows)
     return ordered.where(F.col(_ORDER) <= cuts[None][n]).drop(_ORDER)
 
 
@@ -42,8 +42,9 @@ def with_split(
     """
     ordered = _ordered(df, key, seed)
     if stratify is None:
-        n_test = math.ceil(df.count() * test_size)
-        ordered, cuts = cut_points(ordered, _ORDER, {None: [n_test]}, direct_rows=direct_rows)
+        rows = df.count()
+        n_test = math.ceil(rows * test_size)
+        ordered, cuts = cut_points(ordered, _ORDER, {None: [n_test]}, direct_rows=direct_rows, largest=rows)
         in_test = F.col(_ORDER) <= cuts[None][n_test] if n_test else F.lit(False)
     else:
         sizes = class_sizes(df, stratify)
@@ -52,7 +53,7 @@ def with_split(
         take = {v: math.floor(x) for v, x in share.items()}
         for v in sorted(share, key=lambda v: (take[v] - share[v], str(v)))[: n_test - sum(take.values())]:
             take[v] += 1
-        ordered, cuts = cut_points(ordered, _ORDER, {v: [t] for v, t in take.items()}, stratify, direct_rows)
+        ordered, cuts = cut_points(ordered, _ORDER, {v: [t] for v, t in take.items()}, stratify, direct_rows, max(sizes.values()))
         in_test = any_of([F.col(stratify).eqNullSafe(F.lit(v)) & (F.col(_ORDER) <= cuts[v][t]) for v, t in take.items() if t])
     return ordered.withColumn("split", F.when(in_test, "test").otherwise("train")).drop(_ORDER)
 
@@ -90,7 +91,7 @@ def with_folds(
     ends = {}
     for value, per_fold in fold_sizes(sizes, k).items():
         ends[value] = [sum(per_fold[: i + 1]) for i in range(k - 1)]
-    ordered, cuts = cut_points(_ordered(df, key, seed), _ORDER, ends, label, direct_rows)
+    ordered, cuts = cut_points(_ordered(df, key, seed), _ORDER, ends, label, direct_rows, max(sizes.values()))
     fold = F.lit(k - 1)
     for i in reversed(range(k - 1)):
         here = any_of([F.col(label).eqNullSafe(F.lit(v)) & (F.col(_ORDER) <= cuts[v][e[i]]) for v, e in ends.items() if e[i]])
@@ -116,7 +117,7 @@ def training_subset_cuts(
     ordered = _ordered(df, key, seed)
     others = F.array(*[F.when(F.col(fold) != f, F.lit(f)) for f in sizes])
     without = F.explode(F.filter(others, lambda f: f.isNotNull()))
-    ordered, cuts = cut_points(ordered, _ORDER, ranks, without, direct_rows)
+    ordered, cuts = cut_points(ordered, _ORDER, ranks, without, direct_rows, total - min(sizes.values()))
     return ordered, {(f, i): cuts[f][n] for f in sizes for i, n in enumerate(ranks[f])}
 
 

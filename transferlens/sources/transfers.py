@@ -52,7 +52,8 @@ def derive_transfers(spark: SparkSession, folder: str) -> DataFrame:
         F.hex("o_custkey").alias("account"),
         F.col("payee_bank").cast("bigint").alias("to_bank"),
         F.concat(F.lit("S"), F.hex("l_suppkey")).alias("account_1"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("amount_received"),
+        # Rounded half up on the double itself; decimal rounding differs between engines.
+        (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("amount_received"),
         F.col("payee_currency").alias("receiving_currency"),
         F.col("l_extendedprice").alias("amount_paid"),
         F.col("payer_currency").alias("payment_currency"),
