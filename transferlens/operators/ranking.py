@@ -18,7 +18,8 @@ PREFIX_STEP = 3
 def _spread_copies(df: DataFrame, key: str, tied: list[str]) -> DataFrame:
     """Gives the copies of a tied key different keys; the checkpoint fixes their numbering."""
     numbered = materialise(df.withColumn("_copy", F.monotonically_increasing_id()))
-    extended = F.concat(F.col(key), F.lit("|"), F.md5(F.col("_copy").cast("string")))
+    # The separator sorts before every character, so an extended key keeps its place among the others.
+    extended = F.concat(F.col(key), F.lit("\u0000"), F.md5(F.col("_copy").cast("string")))
     return numbered.withColumn(key, F.when(F.col(key).isin(tied), extended).otherwise(F.col(key))).drop("_copy")
 
 
