@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from transferlens.session import materialise
 
-# Partial histograms of up to this many tasks are summed on the driver, more by a shuffle.
+# Partial sums of up to this many tasks are added on the driver.
 DIRECT_TASKS = 64
 
 
@@ -104,17 +104,55 @@ def _weight_histogram(blocks: DataFrame, tasks: int, held: list[int | None], mis
                     for f in range(width):
                         total[f, s] += np.bincount(index[f], w, slots)
         if seen:
-            yield pd.DataFrame({"weights": [total.ravel()]})
+            yield pd.DataFrame({"part": [total.tobytes()]})
 
-    parts = blocks.mapInPandas(partial, "weights array<double>")
-    flat = np.zeros(width * n_settings * slots)
-    if tasks <= DIRECT_TASKS:
-        for row in parts.collect():
-            flat += row["weights"]
-    else:
-        sums = parts.select(F.posexplode("weights").alias("slot", "w")).groupBy("slot").agg(F.sum("w").alias("w")).toPandas()
-        flat[sums["slot"].to_numpy()] = sums["w"].to_numpy()
-    return flat.reshape(width, n_settings, 2, slots // 2).transpose(1, 2, 0, 3)
+    summed = _sum_parts(blocks.mapInPandas(partial, "part binary"), tasks)
+    return summed.reshape(width, n_settings, 2, slots // 2).transpose(1, 2, 0, 3)
+
+
+def _sum_parts(parts: DataFrame, tasks: int) -> np.ndarray:
+    """Sum of the arrays that the tasks made; many of them are first added up in groups."""
+
+    def add(batches):
+        total = None
+        for pdf in batches:
+            for part in pdf["part"]:
+                array = np.frombuffer(part, dtype=np.float64)
+                total = array.copy() if total is None else total + array
+        if total is not None:
+            yield pd.DataFrame({"part": [total.tobytes()]})
+
+    while tasks > DIRECT_TASKS:
+        tasks = math.ceil(tasks / DIRECT_TASKS)
+        parts = parts.repartition(tasks).mapInPandas(add, "part binary")
+    return sum(np.frombuffer(part, dtype=np.float64) for part in parts.toArrow()["part"].to_pylist())
+
+
+def _held_out_counts(blocks: DataFrame, tasks: int, held: list[int], votes: np.ndarray) -> np.ndarray:
+    """(model, 4) counts tn, fp, fn, tp of each model's held-out rows.
+
+    ``votes[f, b, m]`` sums what the stumps of model m on feature f say about bin b.
+    """
+    width, _, n_models = votes.shape
+
+    def partial(batches):
+        total = np.zeros((n_models, 4))
+        seen = False
+        for pdf in batches:
+            for n, bins, y, counts in zip(pdf["n"], pdf["bins"], pdf["y"], pdf["counts"]):
+                seen = True
+                bins = np.frombuffer(bins, dtype=np.uint8).reshape(n, width)
+                cell = 2 * np.frombuffer(y, dtype=np.uint8).astype(np.intp)
+                counts = np.frombuffer(counts, dtype=np.float64).reshape(n, -1)
+                vote = np.zeros((n, n_models))
+                for f in range(width):
+                    vote += votes[f][bins[:, f]]
+                for m, h in enumerate(held):
+                    total[m] += np.bincount(cell + (vote[:, m] > 0), counts[:, h], 4)
+        if seen:
+            yield pd.DataFrame({"part": [total.tobytes()]})
+
+    return _sum_parts(blocks.mapInPandas(partial, "part binary"), tasks).reshape(n_models, 4)
 
 
 def _best_stump(h: np.ndarray, thresholds: list[list[float]]) -> tuple[int, int, int, int, float]:
@@ -134,16 +172,36 @@ def _best_stump(h: np.ndarray, thresholds: list[list[float]]) -> tuple[int, int,
     return int(feature), int(cut), classes[0], classes[1], float(error)
 
 
-def boost(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None = None, max_bins: int = 32) -> list[list[tuple]]:
-    """Stumps ``(feature, threshold, left class, right class, alpha)`` of every setting."""
+@dataclass
+class _Binned:
+    """Packed cells of a table with what is needed to read them."""
+
+    blocks: DataFrame
+    tasks: int
+    thresholds: list[list[float]]
+    folds: list[int]
+
+    @property
+    def n_bins(self) -> int:
+        return max(len(t) for t in self.thresholds) + 1
+
+    def place(self, held_out: int | None) -> int | None:
+        return None if held_out is None else 1 + self.folds.index(held_out)
+
+
+def _bin(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None, max_bins: int) -> _Binned:
     folds = sorted({s.held_out for s in settings if s.held_out is not None})
     thresholds = candidate_thresholds(df, features, max_bins)
     if not any(thresholds):
         raise ValueError("all features are constant")
     blocks = materialise(_cell_blocks(df, features, label, fold, folds, thresholds))
     tasks = max(1, min(blocks.count(), blocks.rdd.getNumPartitions()))
-    blocks = blocks.coalesce(tasks).persist()
-    width, n_bins = len(thresholds), max(len(t) for t in thresholds) + 1
+    return _Binned(blocks.coalesce(tasks).persist(), tasks, thresholds, folds)
+
+
+def _boost_cells(data: _Binned, settings: list[BoostSetting]) -> list[list[tuple]]:
+    """Stumps ``(feature, cut, left class, right class, alpha)`` of every setting."""
+    width, n_bins = len(data.thresholds), data.n_bins
     misses = np.zeros((width, 2 * n_bins, len(settings)))
     shift = np.zeros(len(settings))
     stumps: list[list[tuple]] = [[] for _ in settings]
@@ -152,29 +210,56 @@ def boost(df: DataFrame, settings: list[BoostSetting], features: str, label: str
         active = [i for i in active if step < settings[i].rounds]
         if not active:
             break
-        held = [None if settings[i].held_out is None else 1 + folds.index(settings[i].held_out) for i in active]
-        histograms = _weight_histogram(blocks, tasks, held, misses[:, :, active], shift[active])
+        held = [data.place(settings[i].held_out) for i in active]
+        histograms = _weight_histogram(data.blocks, data.tasks, held, misses[:, :, active], shift[active])
         for i, h in zip(list(active), histograms):
-            feature, cut, left, right, error = _best_stump(h, thresholds)
+            feature, cut, left, right, error = _best_stump(h, data.thresholds)
             if error >= 0.5:
                 active.remove(i)
                 continue
             if error <= 1e-15:
                 # A perfect stump ends the boosting.
-                stumps[i].append((feature, thresholds[feature][cut], left, right, 1.0))
+                stumps[i].append((feature, cut, left, right, 1.0))
                 active.remove(i)
                 continue
             alpha = settings[i].learning_rate * math.log((1 - error) / error)
-            stumps[i].append((feature, thresholds[feature][cut], left, right, alpha))
+            stumps[i].append((feature, cut, left, right, alpha))
             said = np.where(np.arange(n_bins) <= cut, left, right)
             for y in (0, 1):
                 misses[feature, y * n_bins : (y + 1) * n_bins, i] += alpha * (said != y)
             # Keeps the summed weight near 1, so that exp cannot overflow.
             shift[i] += math.log(float(h[:, 0].sum()) * (1 - error + error * math.exp(alpha)))
-    blocks.unpersist()
     return stumps
 
 
+def boost(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None = None, max_bins: int = 32) -> list[list[tuple]]:
+    """Stumps ``(feature, threshold, left class, right class, alpha)`` of every setting."""
+    data = _bin(df, settings, features, label, fold, max_bins)
+    stumps = _boost_cells(data, settings)
+    data.blocks.unpersist()
+    return [[(f, data.thresholds[f][c], left, right, a) for f, c, left, right, a in s] for s in stumps]
+
+
+def boost_held_out(
+    df: DataFrame, settings: list[BoostSetting], stages: list[list[int]], features: str, label: str, fold: str, max_bins: int = 32
+) -> list[list[tuple[int, int, int, int]]]:
+    """Boosts every setting and counts (tn, fp, fn, tp) on its held-out fold after each of its stages,
+    all counts in one pass."""
+    data = _bin(df, settings, features, label, fold, max_bins)
+    models = [(i, n) for i, wanted in enumerate(stages) for n in wanted]
+    votes = np.zeros((len(data.thresholds), data.n_bins, len(models)))
+    stumps = _boost_cells(data, settings)
+    for m, (i, n) in enumerate(models):
+        for feature, cut, left, right, alpha in stumps[i][:n]:
+            votes[feature, :, m] += alpha * (2 * np.where(np.arange(data.n_bins) <= cut, left, right) - 1)
+    counts = _held_out_counts(data.blocks, data.tasks, [data.place(settings[i].held_out) for i, _ in models], votes)
+    data.blocks.unpersist()
+    out: list[list[tuple]] = [[] for _ in settings]
+    for (i, _), row in zip(models, counts):
+        out[i].append(tuple(int(v) for v in row))
+    return out
+
+
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "number of stumps", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "factor on each stump's weight", TypeConverters.toFloat)

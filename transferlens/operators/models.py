@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark import SparkContext
@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame
 
-from transferlens.operators.boosting import BoostSetting, StumpBooster, boost
+from transferlens.operators.boosting import BoostSetting, StumpBooster, boost_held_out
 
 DEEPEST = 30
 
@@ -21,8 +21,9 @@ class ModelSpec:
     """A named classifier, how to build it from parameters, and the grid to try.
 
     ``stage_param`` names a round count whose smaller values are prefixes of the larger ones:
-    such models are fitted once at the largest value and read off at the others. ``fit_folds`` may
-    fit many (parameters, held-out fold) pairs together.
+    such models are fitted once at the largest value and read off at the others. ``count_folds``
+    may fit many (parameters, held-out fold, stages) jobs together; it gives the (tn, fp, fn, tp) of
+    the held-out rows for every job and stage.
     """
 
     name: str
@@ -30,8 +31,7 @@ class ModelSpec:
     grid: list[dict]
     stage_param: str | None = None
     stage: Callable[[Model, int], Model] | None = None
-    fit_folds: Callable[[DataFrame, list[tuple[dict, int]], str], list[Model]] | None = None
-    fixed: dict = field(default_factory=dict)
+    count_folds: Callable[[DataFrame, list[tuple[dict, int, list[int]]], str], list[list[tuple]]] | None = None
 
 
 def grid_of(**values: list) -> list[dict]:
@@ -107,12 +107,11 @@ def stump_boost_spec(rounds: list[int] = (50, 100, 200), rate: list[float] = (0.
     def make(p: dict) -> StumpBooster:
         return StumpBooster(rounds=p["rounds"], learningRate=p["rate"], maxBins=max_bins)
 
-    def fit_folds(df: DataFrame, jobs: list[tuple[dict, int]], fold: str) -> list[Model]:
-        settings = [BoostSetting(p["rounds"], p["rate"], f) for p, f in jobs]
-        stumps = boost(df, settings, "features", "label", fold, max_bins)
-        return [make(p).wrap(s) for (p, _), s in zip(jobs, stumps)]
+    def count_folds(df: DataFrame, jobs: list[tuple[dict, int, list[int]]], fold: str) -> list[list[tuple]]:
+        settings = [BoostSetting(p["rounds"], p["rate"], f) for p, f, _ in jobs]
+        return boost_held_out(df, settings, [stages for _, _, stages in jobs], "features", "label", fold, max_bins)
 
-    return ModelSpec(name, make, grid_of(rounds=list(rounds), rate=list(rate)), "rounds", lambda m, n: m.first(n), fit_folds)
+    return ModelSpec(name, make, grid_of(rounds=list(rounds), rate=list(rate)), "rounds", lambda m, n: m.first(n), count_folds)
 
 
 def logistic_spec(rows: int, c: list[float] = (0.1, 1, 10), name: str = "logistic") -> ModelSpec:

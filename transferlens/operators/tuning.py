@@ -63,22 +63,19 @@ def grid_search(
         largest = max(points, key=lambda i: spec.grid[i].get(spec.stage_param, 0))
         jobs += [(spec.grid[largest], f, points) for f in folds]
 
-    fitted: list[Model | None] = [None] * len(jobs)
-    if spec.fit_folds and not resample:
-        fitted = spec.fit_folds(df, [(p, f) for p, f, _ in jobs], fold)
-
-    def run(job_no: int) -> list[tuple]:
-        params, f, points = jobs[job_no]
+    def run(job: tuple[dict, int, list[int]]) -> list[tuple]:
+        params, f, points = job
         train, test = parts[f]
-        model = fitted[job_no] or spec.make(params).fit(train)
-        rows = []
-        for i in points:
-            stage = spec.stage(model, spec.grid[i][spec.stage_param]) if spec.stage_param else model
-            rows.append((i, json.dumps(spec.grid[i]), f, *_counts(stage, test)))
-        return rows
-
-    with ThreadPool(parallelism) as pool:
-        rows = [r for part in pool.map(run, range(len(jobs)), chunksize=1) for r in part]
+        model = spec.make(params).fit(train)
+        stages = [spec.stage(model, spec.grid[i][spec.stage_param]) if spec.stage_param else model for i in points]
+        return [_counts(stage, test) for stage in stages]
+
+    if spec.count_folds and not resample:
+        counts = spec.count_folds(df, [(p, f, [spec.grid[i][spec.stage_param] for i in points]) for p, f, points in jobs], fold)
+    else:
+        with ThreadPool(parallelism) as pool:
+            counts = pool.map(run, jobs, chunksize=1)
+    rows = [(i, json.dumps(spec.grid[i]), f, *c) for (_, f, points), part in zip(jobs, counts) for i, c in zip(points, part)]
     if resample:
         for train, _ in parts.values():
             train.unpersist()
@@ -96,7 +93,7 @@ def mean_scores(scores: DataFrame, refit: str = "recall") -> DataFrame:
 
 def cross_validate(df: DataFrame, spec: ModelSpec, params: dict, fold: str = "fold", parallelism: int = 4) -> DataFrame:
     """Mean weighted scores of one parameter setting."""
-    one = ModelSpec(spec.name, spec.make, [params], spec.stage_param, spec.stage, spec.fit_folds)
+    one = ModelSpec(spec.name, spec.make, [params], spec.stage_param, spec.stage, spec.count_folds)
     return grid_search(df, one, fold, parallelism=parallelism).table
 
 
