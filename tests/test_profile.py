@@ -30,7 +30,7 @@ def test_narrowed_quantiles_are_exact(spark, kind, monkeypatch):
 
     # Force the narrowing passes even on a small table.
     original = module._order_statistics
-    monkeypatch.setattr(module, "_order_statistics", lambda v, c, s, w, limit: original(v, c, s, w, 5))
+    monkeypatch.setattr(module, "_order_statistics", lambda v, s, w, limit: original(v, s, w, 5))
     rng = np.random.default_rng(7)
     n = 4000
     values = {

@@ -4,72 +4,61 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from transferlens.functions.columns import is_missing
+from transferlens.functions.columns import any_of, is_missing
 
-# Up to this many values per group the built-in exact percentile keeps them in one task.
-BUILT_IN_ROWS = 2_000_000
+# Up to this many values the built-in exact percentile keeps them in one task.
+BUILT_IN_ROWS = 100_000
 ALL = "all"
 
 
-def _values(df: DataFrame, columns: list[str], by: str | None, overall: bool) -> DataFrame:
-    """One row per (group, value of a column); missing values become null."""
-    cleaned = [F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in columns]
-    if by is None:
-        return df.select(F.lit(ALL).alias("group"), *cleaned)
-    groups = F.array(F.lit(ALL), F.col(by).cast("string")) if overall else F.array(F.col(by).cast("string"))
-    return df.select(F.explode(groups).alias("group"), *cleaned)
+def _in_group(group: str) -> Column:
+    return F.lit(True) if group == ALL else F.col("group") == group
 
 
 def quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    by: str | None = None,
-    overall: bool = True,
-    built_in_rows: int = BUILT_IN_ROWS,
-    rows: int | None = None,
+    df: DataFrame, columns: list[str], probs: list[float], by: str | None = None, built_in_rows: int = BUILT_IN_ROWS, rows: int | None = None
 ) -> dict[tuple[str, str], list[float | None]]:
-    """``{(group, column): [quantile, …]}``; ``by`` must have few values, such as the label;
-    ``rows`` saves counting the table.
+    """``{(group, column): [quantile, …]}`` for all rows (group 'all') and for each value of ``by``.
 
-    Small tables use ``percentile``. Larger ones narrow each quantile down with mergeable sketches
-    until the rows around it fit a task, then pick the exact order statistics there; every pass
-    moves sketches and counts only.
+    ``by`` must have few values, such as the label; ``rows`` saves counting the table. Small tables
+    use ``percentile``. Larger ones narrow each quantile down with mergeable sketches until the rows
+    around it fit a task, then pick the exact order statistics there; every pass moves sketches and
+    counts only.
     """
-    values = _values(df, columns, by, overall)
-    if built_in_rows > 0:
-        rows = df.count() if rows is None else rows
-        if rows <= built_in_rows:
-            q = F.array(*[F.lit(p) for p in probs])
-            out = values.groupBy("group").agg(*[F.percentile(c, q).alias(c) for c in columns])
-            return {(r["group"], c): (list(r[c]) if r[c] is not None else [None] * len(probs)) for r in out.collect() for c in columns}
-    sizes = {
-        (r["group"], c): r[c] for r in values.groupBy("group").agg(*[F.count(c).alias(c) for c in columns]).collect() for c in columns
-    }
-    wanted = set()
-    for (g, c), n in sizes.items():
-        for p in probs:
-            if n:
-                place = (n - 1) * p
-                wanted |= {(g, c, math.floor(place) + 1), (g, c, math.ceil(place) + 1)}
-    at = _order_statistics(values, columns, sizes, wanted, max(built_in_rows, 1000))
-    result = {}
-    for (g, c), n in sizes.items():
-        row = []
+    cleaned = [F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in columns]
+    values = df.select((F.col(by).cast("string") if by else F.lit(ALL)).alias("group"), *cleaned)
+    sizes: dict[tuple[str, str], int] = {}
+    for r in values.groupBy("group").agg(*[F.count(c).alias(c) for c in columns]).collect() if by or rows is None or rows > built_in_rows else []:
+        for c in columns:
+            sizes[ALL, c] = sizes.get((ALL, c), 0) + r[c]
+            if by and r["group"] is not None:
+                sizes[r["group"], c] = r[c]
+    if not sizes:
+        sizes = {(ALL, c): rows or 0 for c in columns}
+    if max(sizes.values()) <= built_in_rows:
+        q = F.array(*[F.lit(p) for p in probs])
+        names = list(sizes)
+        row = values.agg(*[F.percentile(F.when(_in_group(g), F.col(c)), q) for g, c in names]).first()
+        return {name: (list(v) if v is not None else [None] * len(probs)) for name, v in zip(names, row)}
+    places = {(key, p): (n - 1) * p for key, n in sizes.items() if n for p in probs}
+    wanted = {(*key, rank) for (key, _), place in places.items() for rank in (math.floor(place) + 1, math.ceil(place) + 1)}
+    at = _order_statistics(values, sizes, wanted, max(built_in_rows, 1000))
+    result: dict[tuple[str, str], list[float | None]] = {}
+    for key in sizes:
+        result[key] = []
         for p in probs:
-            if not n:
-                row.append(None)
+            place = places.get((key, p))
+            if place is None:
+                result[key].append(None)
                 continue
-            place = (n - 1) * p
-            low, high = at[g, c, math.floor(place) + 1], at[g, c, math.ceil(place) + 1]
-            row.append(low + (high - low) * (place - math.floor(place)))
-        result[g, c] = row
+            low, high = at[(*key, math.floor(place) + 1)], at[(*key, math.ceil(place) + 1)]
+            result[key].append(low + (high - low) * (place - math.floor(place)))
     return result
 
 
-def _order_statistics(values: DataFrame, columns: list[str], sizes: dict, wanted: set, limit: int) -> dict:
+def _order_statistics(values: DataFrame, sizes: dict, wanted: set, limit: int) -> dict:
     """Exact values at ranks (from 1) of each (group, column)."""
     found: dict = {}
     # Rank brackets: (low, high) encloses the value, ``below`` rows lie under low, ``n`` inside.
@@ -89,7 +78,7 @@ def _order_statistics(values: DataFrame, columns: list[str], sizes: dict, wanted
     return found
 
 
-def _inside(column: str, low: float, high: float):
+def _inside(column: str, low: float, high: float) -> Column:
     condition = F.col(column).isNotNull()
     if low > -math.inf:
         condition &= F.col(column) >= F.lit(low)
@@ -98,21 +87,29 @@ def _inside(column: str, low: float, high: float):
     return condition
 
 
-def _narrow(values: DataFrame, open_at: dict, accuracy: int = 10_000) -> dict:
+def _narrow(values: DataFrame, open_at: dict, accuracy: int = 2_000) -> dict:
     """One sketch pass to propose narrower brackets, one counting pass to prove them."""
     items = list(open_at.items())
+    # Ranks that share a bracket share its sketch.
+    shared: dict[tuple, list[int]] = {}
+    for i, ((g, c, _), (low, high, _, _)) in enumerate(items):
+        shared.setdefault((g, c, low, high), []).append(i)
     sketches = []
-    for i, ((g, c, rank), (low, high, below, n)) in enumerate(items):
-        inside = F.when((F.col("group") == g) & _inside(c, low, high), F.col(c))
-        share = (rank - below) / n
-        ends = F.array(F.lit(max(0.0, share - 3 / accuracy)), F.lit(min(1.0, share + 3 / accuracy)))
-        sketches.append(F.percentile_approx(inside, ends, accuracy).alias(f"b{i}"))
-    brackets = values.agg(*sketches).first()
+    for (g, c, low, high), members in shared.items():
+        ends = []
+        for i in members:
+            (_, _, rank), (_, _, below, n) = items[i]
+            share = (rank - below) / n
+            ends += [F.lit(max(0.0, share - 3 / accuracy)), F.lit(min(1.0, share + 3 / accuracy))]
+        sketches.append(F.percentile_approx(F.when(_in_group(g) & _inside(c, low, high), F.col(c)), F.array(*ends), accuracy))
+    brackets = {}
+    for members, found in zip(shared.values(), values.agg(*sketches).first()):
+        brackets.update({i: (found[2 * j], found[2 * j + 1]) for j, i in enumerate(members)})
     counts = []
-    for i, ((g, c, _), (low, high, _, _)) in enumerate(items):
+    for i, ((g, c, _), _) in enumerate(items):
         new_low, new_high = brackets[i]
-        counts.append(F.count(F.when((F.col("group") == g) & (F.col(c) < F.lit(new_low)), 1)).alias(f"under{i}"))
-        counts.append(F.count(F.when((F.col("group") == g) & _inside(c, new_low, new_high), 1)).alias(f"in{i}"))
+        counts.append(F.count(F.when(_in_group(g) & (F.col(c) < F.lit(new_low)), 1)).alias(f"under{i}"))
+        counts.append(F.count(F.when(_in_group(g) & _inside(c, new_low, new_high), 1)).alias(f"in{i}"))
     proof = values.agg(*counts).first()
     narrowed = {}
     for i, (w, old) in enumerate(items):
@@ -132,13 +129,15 @@ def _narrow(values: DataFrame, open_at: dict, accuracy: int = 10_000) -> dict:
 
 def _pick(values: DataFrame, ready: dict) -> dict:
     items = list(ready.items())
+    # Nearly all rows lie outside the brackets and leave before the tagging.
+    near = values.where(any_of([_in_group(g) & _inside(c, low, high) for (g, c, _), (low, high, _, _) in items]))
     tags = F.array(
         *[
-            F.when((F.col("group") == g) & _inside(c, low, high), F.struct(F.lit(i).alias("id"), F.col(c).alias("x")))
+            F.when(_in_group(g) & _inside(c, low, high), F.struct(F.lit(i).alias("id"), F.col(c).alias("x")))
             for i, ((g, c, _), (low, high, _, _)) in enumerate(items)
         ]
     )
-    rows = values.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select("t.id", "t.x")
+    rows = near.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select("t.id", "t.x")
     order = Window.partitionBy("id").orderBy("x")
     upto = rows.groupBy("id", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
     ranks = F.create_map(*[F.lit(v) for i, ((_, _, rank), (_, _, below, _)) in enumerate(items) for v in (i, rank - below)])

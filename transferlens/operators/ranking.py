@@ -40,7 +40,8 @@ def _search(keys: DataFrame, wanted: set[tuple], direct_rows: int) -> dict[tuple
         counts = (
             keys.where(inside)
             .groupBy("s", parent.alias("parent"), F.substring("k", 1, width).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+            # Hashes keep this a hash aggregate; a minimum of texts would sort all rows.
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k")).alias("low"), F.max(F.xxhash64("k")).alias("high"))
         )
         order = Window.partitionBy("s", "parent").orderBy("bucket")
         upto = counts.withColumn("upto", F.sum("n").over(order))
@@ -56,10 +57,10 @@ def _search(keys: DataFrame, wanted: set[tuple], direct_rows: int) -> dict[tuple
         for w, (p, r) in open_at.items():
             hit = next(b for b in buckets if b.s == w[0] and b.parent == p and b.upto - b.n < r <= b.upto)
             rest = r - (hit.upto - hit.n)
-            if hit.low == hit.high:
-                found[w] = (hit.low, rest, hit.n)
-            elif hit.n <= direct_rows:
+            if hit.n <= direct_rows:
                 small[w] = (hit.bucket, rest)
+            elif hit.low == hit.high and (only := _only_key(keys, w[0], hit.bucket, width)) is not None:
+                found[w] = (only, rest, hit.n)
             else:
                 still[w] = (hit.bucket, rest)
         if small:
@@ -68,6 +69,13 @@ def _search(keys: DataFrame, wanted: set[tuple], direct_rows: int) -> dict[tuple
     return found
 
 
+def _only_key(keys: DataFrame, stratum, bucket: str, width: int) -> str | None:
+    """The key of a bucket if all its rows share it."""
+    inside = keys.where(F.col("s").eqNullSafe(F.lit(stratum)) & (F.substring("k", 1, width) == bucket))
+    low, high = inside.agg(F.min("k"), F.max("k")).first()
+    return low if low == high else None
+
+
 def _sorted_lookup(keys: DataFrame, small: dict[tuple, tuple[str, int]], width: int) -> dict:
     """Keys at ranks inside small buckets, each sorted in one task."""
     bucket = F.substring("k", 1, width)

@@ -54,10 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder as Parquet and read them back.
+
+    Unlike a checkpoint the table stays columnar, so later steps prune columns and push filters
+    down, and Spark knows its size.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cores(spark: SparkSession) -> int:

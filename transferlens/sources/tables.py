@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from transferlens.functions.columns import with_content_key
 from transferlens.schema import RAW_TIME_FORMAT, TRANSFERS
+from transferlens.session import materialise
 
 CSV_OUT_TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -24,6 +26,11 @@ def read_transfers_csv(spark: SparkSession, path: str, schema: T.StructType = TR
     )
 
 
+def ingest_csv(spark: SparkSession, path: str, key_columns: list[str] | None = None) -> DataFrame:
+    """Parses the CSV once into a Parquet table with a row key; every later step scans columns."""
+    return materialise(with_content_key(read_transfers_csv(spark, path), key_columns))
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV with a header and no index column."""
     df.write.mode(mode).option("header", True).option("timestampFormat", CSV_OUT_TIME).csv(path)
