@@ -90,7 +90,7 @@ def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel
 def logistic(c: float = 1.0, rows: int = 1, max_iter: int = 1000) -> LogisticRegression:
     """Ridge strength 1/(c·rows) gives the penalty of a summed loss with inverse strength ``c``."""
     return LogisticRegression(
-        featuresCol="features", labelCol="label", regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter
+        featuresCol="features", labelCol="label", regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
     )
 
 

@@ -30,6 +30,16 @@ class SearchResult:
     best_score: float
 
 
+def _hold(*tables: DataFrame) -> list[DataFrame]:
+    """Keeps tables in memory, spilling to disk; returns those the caller had not kept already."""
+    return [df.persist(StorageLevel.MEMORY_AND_DISK) for df in tables if not df.is_cached]
+
+
+def _release(held: list[DataFrame]) -> None:
+    for df in held:
+        df.unpersist()
+
+
 def _counts(model: Model, df: DataFrame) -> Row:
     return confusion_counts(model.transform(df), "label").first()
 
@@ -48,7 +58,7 @@ def grid_search(
     One fit and one confusion count give all four scores. Ties go to the grid point listed first.
     ``resample`` is applied to the training part of each fold (oversampling inside the folds).
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _hold(df)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     parts = {f: (df.where(F.col(fold) != f), df.where(F.col(fold) == f)) for f in folds}
     if resample:
@@ -79,6 +89,7 @@ def grid_search(
     if resample:
         for train, _ in parts.values():
             train.unpersist()
+    _release(held)
     scores = _score_rows(df, rows, "grid_no int, params string, fold int")
     table = mean_scores(scores, refit)
     best = table.first()
@@ -142,8 +153,7 @@ def evaluate_models(
     ``train`` carries a fold column. ``recall`` is the weighted recall, which equals accuracy; the
     share of suspicious transfers found is ``tpr``.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _hold(train, test)
     rows, models = [], {}
     for number, spec in enumerate(specs):
         best = grid_search(train, spec, fold, refit, parallelism).best_params
@@ -157,6 +167,7 @@ def evaluate_models(
                 roc, pr = curve_areas(predicted, label="label").first()
             predicted.unpersist()
             rows.append((number, spec.name, split, json.dumps(best), roc, pr, *counts))
+    _release(held)
     columns = "model_no int, model string, split string, params string, roc_auc double, pr_auc double"
     return with_rates(_score_rows(train, rows, columns)), models
 
