@@ -190,7 +190,7 @@ def test_held_out_counts_equal_fitted_models(labelled):
     """Counts of the joint search are those of models fitted and applied one by one."""
     spec = stump_boost_spec([2, 6], [0.5, 1.0], max_bins=16)
     scores = grid_search(labelled, spec).scores.collect()
-    from transferlens.operators.boosting import BoostSetting, StumpBoosterModel
+    from transferlens.operators.boosting import BoostSetting
     from transferlens.operators.metrics import confusion_counts
 
     for r in scores:

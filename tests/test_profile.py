@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from transferlens.functions.special import upper_gamma
 from transferlens.operators import profiling, stats

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transferlens.functions.columns import as_long_table, is_missing
 from transferlens.functions.joins import lookup_join
-from transferlens.operators.quantiles import ALL, BUILT_IN_ROWS, quantiles
+from transferlens.operators.quantiles import BUILT_IN_ROWS, quantiles
 from transferlens.session import materialise
 
 # The columns of the model, by treatment.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from transferlens.functions.columns import enrich
@@ -419,7 +418,7 @@ def _training_data(spark, folder):
     return _prepared[at]
 
 
-def _small_specs(rows: int) -> list:
+def _small_specs() -> list:
     return [
         forest_spec([10], [6]),
         stump_boost_spec([10, 20], [0.5, 1.0]),
@@ -493,7 +492,7 @@ def forest_learning_curve(spark, folder):
 def model_comparison(spark, folder):
     """Search, refit and report of three kinds of models."""
     _, balanced, test = _training_data(spark, folder)
-    report, _ = evaluate_models(balanced, test, _small_specs(0))
+    report, _ = evaluate_models(balanced, test, _small_specs())
     return rounded(report)
 
 

@@ -1,4 +1,4 @@
-"""Named queries over a folder of tables, each with its reference SQL where SQL can say it."""
+"""Named queries over a folder of tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
