@@ -92,7 +92,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
     Components become floor(scale * x). Rows with a null id, or a vector that is null or holds null or
     non-finite components, take no part on either side; vectors meet those of their own length only.
     Queries are rows with the columns of ``vectors``. Rows of one id that are repeated are each returned
-    to other ids, and none of them to a query of that id.
+    to other ids, and none of them to a query of that id; of repeated queries the least vector asks.
 
     Shards of about ``shard_size`` rows each build a tree. Queries go in blocks: first to one shard
     each, and the kth score found there travels with the query to the other shards, where it prunes
@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
 
     trees = materialise(dealt.groupBy("shard", "dim").applyInPandas(build, _TREE))
     homes = trees.groupBy("dim").agg(F.sort_array(F.collect_set("shard")).alias("shards"))  # at most one number a shard
-    asked = whole(queries).withColumn("floor", F.lit(float("-inf")))
+    asked = whole(queries).groupBy("id", "dim").agg(F.min("x").alias("x")).withColumn("floor", F.lit(float("-inf")))
     blocks = max(1, ceil(asked.count() / block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int")).join(homes, "dim")
     asked = materialise(asked.withColumn("home", F.get("shards", F.pmod("block", F.size("shards")).cast("int"))))
@@ -137,13 +137,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
         return pd.DataFrame(out, columns=["query_id", "dim", "vec_id", "score"])
 
     def wave(them: DataFrame) -> DataFrame:
-        keys = them.select("shard", "dim", "block").distinct()
-        sent = keys.join(trees, ["shard", "dim"])
-        return them.groupBy("shard", "dim", "block").cogroup(sent.groupBy("shard", "dim", "block")).applyInPandas(ask, kinds)
+        keys = them.select(F.col("shard").alias("s"), F.col("dim").alias("d"), F.col("block").alias("b")).distinct()
+        sent = keys.join(trees, (keys["s"] == trees["shard"]) & (keys["d"] == trees["dim"]))
+        return them.groupBy("shard", "dim", "block").cogroup(sent.groupBy("s", "d", "b")).applyInPandas(ask, kinds)
 
     near = materialise(wave(asked.select("id", "dim", "x", "floor", "block", F.col("home").alias("shard"))))
     order = Window.partitionBy("query_id", "dim").orderBy(F.desc("score"), "vec_id")
-    # repeated queries of one id would count their hits twice, so each id is asked once
     kth = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("id"), "dim", F.col("score").alias("kth"))
     rest = asked.join(kth, ["id", "dim"], "left").withColumn("floor", F.coalesce("kth", "floor"))
     rest = rest.withColumn("shard", F.explode(F.array_except("shards", F.array("home"))))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transferlens.llm.column_bwt import remove_repeats
 from transferlens.llm.common import fold, query, table, text_or_empty
 from transferlens.llm.gray_simhash import components, fingerprints
 from transferlens.llm.kd_search import top_k
 from transferlens.llm.language import LanguageModel
 from transferlens.llm.line_runs import remove_later_runs
 from transferlens.llm.merge_dropout import round_trip
+from transferlens.llm.pitman_yor import PitmanYorModel
 from transferlens.llm.residual_packing import pack, token_pieces
 from transferlens.llm.rules import RuleEnsemble, with_statistics
 from transferlens.llm.spotsigs import likeness, printed, with_next, with_signatures
@@ -22,6 +24,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_pitman_yor_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("learn", fold("doc_id", 7) != 2)
+    scored = PitmanYorModel().score(docs, "learn")
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op2_rule_ensemble_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +91,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs, ["doc_id", "held_out"])
 
 
+@query("op8_column_bwt_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digest)
+
+
 @query(
     "op9_line_run_dedup",
     """
