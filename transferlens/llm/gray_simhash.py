@@ -25,15 +25,17 @@ def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int
         return 0
     k, joined = min(words_per_shingle, len(words)), b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    start = (end - size)[: len(words) - k + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(start)
-    end = end[k - 1 :].tolist()
+    ends = np.cumsum(size + 1) - 1
+    starts, stops = (ends - size).tolist(), ends.tolist()
+    digest, total, n = xxhash.xxh64_digest, np.zeros(64, np.int64), len(words) - k + 1
     for i in range(0, n, 1 << 18):
-        part = np.array([digest(joined[a:b], seed) for a, b in zip(start[i : i + (1 << 18)], end[i : i + (1 << 18)])], "<u8").view(np.uint8).reshape(-1, 8)
-        for j in range(8):
-            total[8 * j : 8 * j + 8] += np.bincount(part[:, j], minlength=256) @ _BITS
+        m = min(1 << 18, n - i)
+        raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[i : i + m], stops[i + k - 1 : i + m + k - 1])])
+        lanes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 8).T)
+        if m < 512:
+            total += np.unpackbits(lanes[::-1], axis=0, bitorder="little").sum(axis=1, dtype=np.int64)
+        else:
+            total += np.concatenate([np.bincount(lane, minlength=256) @ _BITS for lane in lanes[::-1]])
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
@@ -56,24 +58,22 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels over codes in Gray order: each node keeps the bits its members share and their values."""
+    """Levels over codes in Gray order: each node keeps which bits all its members have (``ones``) and which any has.
 
-    def __init__(self, codes: np.ndarray, fan: int = 8):
-        self.fan, self.count = fan, len(codes)
-        self.ones, self.any = [codes], [codes]
-        while len(self.ones[-1]) > 1:
-            at = np.arange(0, len(self.ones[-1]), fan)
-            self.ones.append(np.bitwise_and.reduceat(self.ones[-1], at))
-            self.any.append(np.bitwise_or.reduceat(self.any[-1], at))
-
-    def height(self) -> int:
-        return len(self.ones) - 1
+    Children of a node stand in one row, the last one repeated where a node has fewer.
+    """
 
-    def pattern(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shared bits' mask and values; below the height of the index a node is the root."""
-        level = min(level, self.height())
-        ones, some = self.ones[level][nodes], self.any[level][nodes]
-        return ~(ones ^ some), ones
+    def __init__(self, codes: np.ndarray, height: int, fan: int = 8):
+        self.count, self.sizes = len(codes), [len(codes)]
+        self.ones, self.some = [], []
+        ones = some = codes
+        for _ in range(height):
+            fill = -len(ones) % fan
+            ones, some = (np.append(x, np.full(fill, x[-1])).reshape(-1, fan) for x in (ones, some))
+            self.ones.append(ones)
+            self.some.append(some)
+            ones, some = np.bitwise_and.reduce(ones, axis=1), np.bitwise_or.reduce(some, axis=1)
+            self.sizes.append(len(ones))
 
 
 class _Groups:
@@ -98,7 +98,7 @@ class _Groups:
             np.minimum.at(self.root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
 
 
-def link_codes(left: np.ndarray, right: np.ndarray | None, distance: int, block: int = 1 << 17) -> np.ndarray:
+def link_codes(left: np.ndarray, right: np.ndarray | None, distance: int, block: int = 1 << 14) -> np.ndarray:
     """Pairs (code, smallest code of its group) that connect all codes within ``distance``.
 
     ``left`` and ``right`` are distinct codes in Gray order; with ``right`` None the codes are joined
@@ -106,73 +106,74 @@ def link_codes(left: np.ndarray, right: np.ndarray | None, distance: int, block:
     the bits both share already differ in more than ``distance`` places, joined at once when no member
     can be farther, and skipped when all members are in one group; so a large group is not paired out.
     """
-    own = right is None
+    own, fan = right is None, 8
     codes = left if own else np.concatenate((left, right))
-    a_index = GrayIndex(left)
-    b_index = a_index if own else GrayIndex(right)
+    if not len(left) or (not own and not len(right)):
+        return np.zeros((0, 2), np.uint64)
+    height = 1
+    while fan**height < max(len(left), 0 if own else len(right)):
+        height += 1
+    a = GrayIndex(left, height, fan)
+    b = a if own else GrayIndex(right, height, fan)
     shift = 0 if own else len(left)
-    groups, fan = _Groups(len(codes)), a_index.fan
-    if own and len(codes) > 1:  # neighbours in Gray order first: most groups join here
-        for step in (1, 2, 3):
+    groups = _Groups(len(codes))
+    if own:  # neighbours in Gray order first: most groups join here
+        for step in range(1, min(4, len(codes))):
             near = np.flatnonzero(np.bitwise_count(codes[step:] ^ codes[:-step]) <= distance)
             groups.join(near, near + step)
-    top = max(a_index.height(), b_index.height())
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(left) and len(codes) > shift else []
-    low, high = {}, {}
+    low: dict[bool, list[np.ndarray]] = {}
+    high: dict[bool, list[np.ndarray]] = {}
 
     def refresh() -> None:
+        """Least and greatest group of each node's members."""
         root = groups.flatten()
-        for side, n, start in (("a", len(left), 0), ("b", len(codes) - shift, shift)):
-            low[side], high[side] = [root[start : start + n]], [root[start : start + n]]
-            while len(low[side][-1]) > 1:
-                at = np.arange(0, len(low[side][-1]), fan)
-                low[side].append(np.minimum.reduceat(low[side][-1], at))
-                high[side].append(np.maximum.reduceat(high[side][-1], at))
+        for other, index, start in ((False, a, 0), (True, b, shift)):
+            low[other], high[other] = [root[start : start + index.count]], [root[start : start + index.count]]
+            for size in index.sizes[1:]:
+                at = np.arange(size) * fan
+                low[other].append(np.minimum.reduceat(low[other][-1], at))
+                high[other].append(np.maximum.reduceat(high[other][-1], at))
 
     def members(index: GrayIndex, level: int, node: int, start: int) -> np.ndarray:
-        width = fan ** min(level, index.height())
+        width = fan**level
         return start + np.arange(node * width, min((node + 1) * width, index.count))
 
     refresh()
-    stale = 0
+    stack, stale = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))], 0
     while stack:
         level, i, j = stack.pop()
         if len(i) > block:
-            half = len(i) // 2
-            stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+            stack += [(level, i[block:], j[block:]), (level, i[:block], j[:block])]
             continue
-        la, lb = min(level, a_index.height()), min(level, b_index.height())
-        same = (low["a"][la][i] == high["a"][la][i]) & (low["b"][lb][j] == high["b"][lb][j]) & (low["a"][la][i] == low["b"][lb][j])
+        same = (low[False][level][i] == high[False][level][i]) & (low[True][level][j] == high[True][level][j]) & (low[False][level][i] == low[True][level][j])
         i, j = i[~same], j[~same]
-        (ma, va), (mb, vb) = a_index.pattern(level, i), b_index.pattern(level, j)
-        both = ma & mb
-        least = np.bitwise_count((va ^ vb) & both)
-        keep = least <= distance
-        i, j, least, both = i[keep], j[keep], least[keep], both[keep]
-        if level == 0:
-            groups.join(i, j + shift)
-            stale += len(i)
-            if stale > 4096:
-                refresh()
-                stale = 0
-            continue
-        sure = least + np.bitwise_count(~both) <= distance
-        for x, y in zip(i[sure].tolist(), j[sure].tolist()):
-            m = np.concatenate((members(a_index, level, x, 0), members(b_index, level, y, shift)))
-            groups.join(m[1:], np.full(len(m) - 1, m[0]))
-            stale += len(m)
-        i, j = i[~sure], j[~sure]
-        child = np.arange(fan)
-        na, nb = len(a_index.ones[min(level - 1, a_index.height())]), len(b_index.ones[min(level - 1, b_index.height())])
-        ci = (i[:, None] * fan + child) if level <= a_index.height() else i[:, None]
-        cj = (j[:, None] * fan + child) if level <= b_index.height() else j[:, None]
-        wi, wj = ci.shape[1], cj.shape[1]
-        ci, cj = np.repeat(ci, wj, axis=1).ravel(), np.tile(cj, (1, wi)).ravel()
-        fits = (ci < na) & (cj < nb)
+        level -= 1
+        ones_a, ones_b = a.ones[level][i][:, :, None], b.ones[level][j][:, None, :]
+        differ = ones_a ^ ones_b
+        if level:
+            both = ~(ones_a ^ a.some[level][i][:, :, None]) & ~(ones_b ^ b.some[level][j][:, None, :])
+            differ &= both
+        least = np.bitwise_count(differ)
+        pair, x, y = np.nonzero(least <= distance)
+        ci, cj = i[pair] * fan + x, j[pair] * fan + y
+        fits = (ci < a.sizes[level]) & (cj < b.sizes[level])
         if own:
-            fits &= ci <= cj
-        if fits.any():
-            stack.append((level - 1, ci[fits], cj[fits]))
+            fits &= (ci <= cj) if level else (ci < cj)
+        ci, cj = ci[fits], cj[fits]
+        if not level:
+            groups.join(ci, cj + shift)
+            stale += len(ci)
+        elif len(ci):
+            pair, x, y = pair[fits], x[fits], y[fits]
+            sure = least[pair, x, y] + np.bitwise_count(~both[pair, x, y]) <= distance
+            for n, m in zip(ci[sure].tolist(), cj[sure].tolist()):
+                group = np.concatenate((members(a, level, n, 0), members(b, level, m, shift)))
+                groups.join(group[1:], np.full(len(group) - 1, group[0]))
+                stale += len(group)
+            stack.append((level, ci[~sure], cj[~sure]))
+        if stale > 4096:
+            refresh()
+            stale = 0
     root = groups.flatten()
     linked_to = np.flatnonzero(root != np.arange(len(codes)))
     return np.stack((codes[linked_to], codes[root[linked_to]]), axis=1)

@@ -87,6 +87,8 @@ class PitmanYorModel:
         probability one. Texts are whole; A-Z is lower-cased and words are parted by ASCII white space.
         """
         spark, parts, contexts, strength = docs.sparkSession, shards(docs.sparkSession), self.contexts, self.strength
+        if contexts > 1 << 22 or contexts & (contexts - 1):
+            raise ValueError("contexts must be a power of two up to 2^22")
         shift = np.uint64(64 - int(contexts).bit_length() + 1)
         rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
         hot = self._hot_words(rows, parts)
@@ -126,10 +128,7 @@ class PitmanYorModel:
             word = np.concatenate(state["tokens"])
             context = (h >> shift)[np.concatenate(state["before"])]
             doc = np.repeat(np.arange(len(state["doc"])), state["doc"]).astype(np.uint64)
-            part = (h % np.uint64(parts))[word]
-            split = np.isin(h, hot_hash)[word]
-            part[split] = context[split] % np.uint64(parts)
-            key = np.sort((word.astype(np.uint64) << np.uint64(36)) | (context << np.uint64(14)) | doc) if contexts <= 1 << 22 else None
+            key = np.sort((word.astype(np.uint64) << np.uint64(36)) | (context << np.uint64(14)) | doc)
             word, context, doc = (key >> np.uint64(36)).astype(np.int64), (key >> np.uint64(14)) & np.uint64(2**22 - 1), (key & np.uint64(2**14 - 1)).astype(np.uint16)
             split = np.isin(h, hot_hash)[word]
             part = np.where(split, context % np.uint64(parts), (h % np.uint64(parts))[word])
