@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,6 +114,7 @@ def with_next(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("_p").alias("p"), F.lit(False).alias("late"))
     also = F.struct(F.get(F.lit(before), F.col("_p")).alias("p"), F.lit(True).alias("late"))
     dealt = df.withColumn("_p", place).withColumn("_at", F.explode(F.when(F.col(id).eqNullSafe(start), F.array(own, also)).otherwise(F.array(own))))
-    window = Window.partitionBy("_at.p").orderBy("_at.late", id, *columns)
-    following = reduce(lambda d, c: d.withColumn(f"next_{c}", F.lead(c).over(window)), columns, dealt)
-    return following.where("NOT _at.late").drop("_p", "_at")
+    dealt = dealt.select(*df.columns, F.col("_at.p").alias("_part"), F.col("_at.late").alias("_late"))
+    window = Window.partitionBy("_part").orderBy("_late", id, *columns)
+    following = dealt.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])  # one window, one exchange
+    return following.where("NOT _late").drop("_part", "_late")
