@@ -13,40 +13,74 @@ from pyspark.sql import functions as F
 
 from transferlens.session import materialise
 
-#: Words kept per worker with their ids; the store is emptied when full, which changes no result.
-_WORDS = 400_000
+#: Words kept per task with their ids; the store is emptied when full, which changes no result.
+_WORDS = 500_000
+
+
+class _WordIds:
+    """Ids (as bytes) of words by a public vocabulary; many words are encoded in one call.
+
+    Words are laid end to end with a special token of the vocabulary between them, which always is one
+    id of its own; the few words that contain such a token's text are encoded alone.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark, self.mark_id = next(iter(special.items()), (None, -1))
+        self.store: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.store]
+        if len(self.store) + len(new) > _WORDS:
+            self.store.clear()
+            new = list(words)
+        plain = [w for w in new if self.mark and not any(s in w for s in self.special)]
+        for w in set(new).difference(plain):
+            self.store[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(self.mark.join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
+            stops = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops, strict=True):
+                self.store[w] = raw[4 * start : 4 * stop]
+                start = stop + 1
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): each document's ids with a closing 0, cut at ``capacity``.
 
     White space never takes part in an id of this kind of vocabulary, so a text's ids are those of its
-    words one after another, and each word is encoded once per worker. Null texts count as empty.
+    words one after another, and each word is encoded about once per task. Null texts count as empty.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+        coder = _WordIds(tokenizer_path)
+        close = bytes(4)
+
+        def cut(held: list[tuple]) -> list[tuple]:
+            coder.learn(set().union(*(words for _, words in held)))
+            out = []
+            for doc, words in held:
+                raw = b"".join([*map(coder.store.__getitem__, words), close])
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[at : at + 4 * capacity]
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            return out
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        store: dict[bytes, np.ndarray] = {}
-        close = np.zeros(1, "<u4")
         for batch in batches:
-            out: list[tuple] = []
+            held, size, out = [], 0, []
             for doc, t in zip(batch[id], batch["_t"]):
-                words = t.encode().split()
-                new = list({w for w in words if w not in store})
-                if new:
-                    if len(store) + len(new) > _WORDS:
-                        store.clear()
-                        new = list(set(words))
-                    for i in range(0, len(new), 10_000):
-                        part = new[i : i + 10_000]
-                        found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                        store.update((w, np.array(e.ids, "<u4")) for w, e in zip(part, found))
-                ids = np.concatenate([*map(store.__getitem__, words), close])
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
+                held.append((doc, t.encode().split()))
+                size += len(t)
+                if size > 1 << 21:
+                    out += cut(held)
+                    held, size = [], 0
+            out += cut(held) if held else []
             yield pd.DataFrame(out, columns=[id, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id].dataType.simpleString()
