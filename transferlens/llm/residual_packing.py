@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -13,53 +16,73 @@ from pyspark.sql import functions as F
 
 from transferlens.session import materialise
 
-#: Words kept per task with their ids; the store is emptied when full, which changes no result.
-_WORDS = 500_000
+#: Words, and parts of words, that a worker keeps with their ids; a full store is emptied, which changes no result.
+_WORDS = 600_000
+_CODERS: dict[str, _WordIds] = {}
+
+
+#: The vocabulary's own splitting rule (fixed value) and, for words of common Latin letters, the same rule.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įĲ-ſ]+|[0-9]|[^a-zß-öø-įĲ-ſ0-9]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ſ]+")
 
 
 class _WordIds:
-    """Ids (as bytes) of words by a public vocabulary; many words are encoded in one call.
+    """Ids (as bytes) of words by a public vocabulary.
 
-    Words are laid end to end with a special token of the vocabulary between them, which always is one
-    id of its own; the few words that contain such a token's text are encoded alone.
+    Words of common Latin letters, digits and ASCII signs are lower-cased and split here, and the
+    vocabulary's merges are asked once for each distinct part; all others, and words that may hold a
+    special token, go through the vocabulary's whole encoder.
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark, self.mark_id = next(iter(special.items()), (None, -1))
+        steps = json.loads(self.tokenizer.to_str())
+        rules = [p.get("pattern", {}).get("Regex") for p in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        lower = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.latin = lower and rules[:1] == [_RULE]
+        self.shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.store: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            text = part if part.isascii() else self.shown(part)[0][0]
+            found = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        return found
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.store]
+        new = words.difference(self.store)
         if len(self.store) + len(new) > _WORDS:
             self.store.clear()
-            new = list(words)
-        plain = [w for w in new if self.mark and not any(s in w for s in self.special)]
-        for w in set(new).difference(plain):
-            self.store[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
-            stops = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                self.store[w] = raw[4 * start : 4 * stop]
-                start = stop + 1
+            new = words
+        if len(self.parts) > _WORDS:
+            self.parts.clear()
+        rest = []
+        for w in new:
+            text = w.decode()
+            if self.latin and _PLAIN.fullmatch(text) and "<|" not in text:
+                self.store[w] = b"".join(map(self._part, _LATIN.findall(text.lower())))
+            else:
+                rest.append((w, text))
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            for (w, _), found in zip(some, self.tokenizer.encode_batch([t for _, t in some], add_special_tokens=False)):
+                self.store[w] = array("I", found.ids).tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): each document's ids with a closing 0, cut at ``capacity``.
 
     White space never takes part in an id of this kind of vocabulary, so a text's ids are those of its
-    words one after another, and each word is encoded about once per task. Null texts count as empty.
+    words one after another, and a worker encodes each word about once. Null texts count as empty.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _WordIds(tokenizer_path)
+        coder = _CODERS.get(tokenizer_path) or _CODERS.setdefault(tokenizer_path, _WordIds(tokenizer_path))
         close = bytes(4)
 
         def cut(held: list[tuple]) -> list[tuple]:
