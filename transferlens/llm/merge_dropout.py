@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 _SPACE = "▁"
 #: Segmentations kept per worker; the store is emptied when full, which changes no result.
 _STORED = 600_000
+_CODERS: dict[tuple, DropoutEncoder] = {}
 
 
 class DropoutEncoder:
@@ -123,10 +124,15 @@ class DropoutEncoder:
         return b"".join(map(self.decoded.__getitem__, ids.tolist()))[1:].decode()
 
 
+def _coder(*settings) -> DropoutEncoder:
+    """The worker's encoder of these settings, with what it has stored."""
+    return _CODERS.get(settings) or _CODERS.setdefault(settings, DropoutEncoder(*settings))
+
+
 def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text; null counts as empty and has no ids."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = DropoutEncoder(model_file, dropout, seed, variants)
+        coder = _coder(model_file, dropout, seed, variants)
         for batch in batches:
             ids = [coder.encode(t or "", k).astype(np.int32) for t, k in zip(batch["t"], batch["k"])]
             yield pd.DataFrame({id: batch[id], "ids": ids})
@@ -139,7 +145,7 @@ def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, see
 def decode_documents(encoded: DataFrame, model_file: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(id, text) from rows of ids; null or empty ids give the empty text."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = DropoutEncoder(model_file, 0.0)
+        coder = _coder(model_file, 0.0)
         for batch in batches:
             yield pd.DataFrame({id: batch[id], "text": ["" if x is None else coder.decode(np.asarray(x)) for x in batch[ids]]})
 
@@ -152,7 +158,7 @@ def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = DropoutEncoder(model_file, dropout, seed, variants)
+        coder = _coder(model_file, dropout, seed, variants)
         for batch in batches:
             out = []
             for i, t, k in zip(batch[id], batch["t"], batch["k"]):
