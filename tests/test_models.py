@@ -115,7 +115,7 @@ def test_first_trees_is_a_prefix(labelled):
 
 
 @pytest.mark.parametrize(
-    "make", [lambda: random_forest(10, 5), lambda: boosted_trees(5, 0.3, 3), lambda: StumpBooster(rounds=10), lambda: logistic(1.0, 400)]
+    "make", [lambda: random_forest(10, 5), lambda: boosted_trees(5, 0.3, 3), lambda: StumpBooster(rounds=10), lambda: logistic(1.0)]
 )
 def test_models_learn(labelled, make):
     scored = with_score(make().fit(labelled).transform(labelled))
@@ -139,7 +139,7 @@ def test_grid_search_counts_every_held_out_row(labelled):
 
 
 def test_oversampling_inside_folds(labelled):
-    table = grid_search(labelled, logistic_spec(400, [1.0]), resample=oversample).table
+    table = grid_search(labelled, logistic_spec([1.0]), resample=oversample).table
     assert 0.5 < table.first()["recall"] <= 1
 
 

@@ -74,11 +74,6 @@ def hash_key(column: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat(column, F.lit(f"|{seed}")))
 
 
-def hash_uniform(text: Column) -> Column:
-    """Number in [0, 1) from the first 32 bits of an md5."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
 def with_content_key(df: DataFrame, columns: list[str] | None = None, name: str = KEY) -> DataFrame:
     """Row key from the row's content, the same on any cluster layout.
 

@@ -43,6 +43,8 @@ def candidate_thresholds(df: DataFrame, features: str, max_bins: int) -> list[li
     width = df.select(F.size(vector_to_array(features))).first()[0]
     array = vector_to_array(features)
     wide = df.select(*[array[i].alias(f"f{i}") for i in range(width)])
+    if not 2 <= max_bins <= 1 << 16:
+        raise ValueError(f"max_bins must be from 2 to 65,536, not {max_bins}")
     probs = [i / max_bins for i in range(max_bins + 1)]
     values = wide.approxQuantile([f"f{i}" for i in range(width)], probs, 0.1 / max_bins)
     return [sorted(set(v))[:-1] for v in values]
@@ -62,7 +64,7 @@ def _cell_blocks(df: DataFrame, features: str, label: str, fold: str | None, fol
             if pdf.empty:
                 continue
             x = np.vstack(pdf["x"])
-            bins = np.column_stack([np.searchsorted(t, x[:, j], side="left") for j, t in enumerate(thresholds)]).astype(np.uint8)
+            bins = np.column_stack([np.searchsorted(t, x[:, j], side="left") for j, t in enumerate(thresholds)]).astype(np.uint16)
             yield pd.DataFrame({"bins": [b.tobytes() for b in bins], "y": pdf["y"], "fold": pdf["fold"]})
 
     def pack(batches):
@@ -91,7 +93,7 @@ def _weight_histogram(blocks: DataFrame, tasks: int, held: list[int | None], mis
         for pdf in batches:
             for n, bins, y, counts in zip(pdf["n"], pdf["bins"], pdf["y"], pdf["counts"]):
                 seen = True
-                bins = np.frombuffer(bins, dtype=np.uint8).reshape(n, width)
+                bins = np.frombuffer(bins, dtype=np.uint16).reshape(n, width)
                 place = np.frombuffer(y, dtype=np.uint8).astype(np.intp) * (slots // 2)
                 counts = np.frombuffer(counts, dtype=np.float64).reshape(n, -1)
                 index = [place + bins[:, f] for f in range(width)]
@@ -141,7 +143,7 @@ def _held_out_counts(blocks: DataFrame, tasks: int, held: list[int], votes: np.n
         for pdf in batches:
             for n, bins, y, counts in zip(pdf["n"], pdf["bins"], pdf["y"], pdf["counts"]):
                 seen = True
-                bins = np.frombuffer(bins, dtype=np.uint8).reshape(n, width)
+                bins = np.frombuffer(bins, dtype=np.uint16).reshape(n, width)
                 cell = 2 * np.frombuffer(y, dtype=np.uint8).astype(np.intp)
                 counts = np.frombuffer(counts, dtype=np.float64).reshape(n, -1)
                 vote = np.zeros((n, n_models))
@@ -263,7 +265,7 @@ def boost_held_out(
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "number of stumps", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "factor on each stump's weight", TypeConverters.toFloat)
-    maxBins = Param(Params._dummy(), "maxBins", "split candidates per feature plus one, at most 255", TypeConverters.toInt)
+    maxBins = Param(Params._dummy(), "maxBins", "split candidates per feature plus one, at most 65,536", TypeConverters.toInt)
 
 
 class StumpBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):

@@ -97,7 +97,10 @@ class FittedEncoder:
         return names + [n for c in self.one_hot for n in self._one_hot_names(c)]
 
     def _one_hot_names(self, column: str) -> list[str]:
-        return [f"{column}_{'null' if v is None else v}" for v in self.categories[column]]
+        missing = "null"
+        while missing in self.categories[column]:  # a value may be called so
+            missing += "_"
+        return [f"{column}_{missing if v is None else v}" for v in self.categories[column]]
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """``keep`` columns followed by one double column per feature; other columns are dropped."""

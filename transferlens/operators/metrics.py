@@ -151,8 +151,10 @@ def curve_areas(df: DataFrame, score: str = "score", label: str = LABEL, rows_pe
 
 
 def threshold_for_tpr(roc: DataFrame, target: float) -> DataFrame:
-    """The curve point whose true-positive rate is closest to the target; ties: highest threshold."""
-    return roc.orderBy(F.abs(F.col("tpr") - F.lit(target)), F.desc("threshold")).limit(1)
+    """The curve point whose true-positive rate is closest to the target; ties: highest threshold. No row without positives."""
+    point, order = F.struct(*roc.columns), F.struct(F.abs(F.col("tpr") - F.lit(target)), -F.col("threshold"))
+    best = roc.where(F.col("tpr").isNotNull()).agg(F.min_by(point, order).alias("best"), F.max("tpr").alias("top"))
+    return best.where("top > 0").select("best.*")
 
 
 def choose_model(report: DataFrame, by: str = "recall", order: str = "model_no") -> DataFrame:

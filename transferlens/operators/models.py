@@ -40,12 +40,14 @@ def grid_of(**values: list) -> list[dict]:
 
 def random_forest(trees: int = 100, depth: int | None = None, min_split: int = 2, seed: int = 42, **more) -> RandomForestClassifier:
     """``depth`` None grows as deep as Spark allows. Spark bounds the rows of a child, not of a split
-    node; half the split size is the nearest equivalent."""
+    node; half the split size is the nearest equivalent. A depth beyond Spark's limit is an error."""
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"Spark's trees stop at depth {DEEPEST}; {depth} was asked for")
     return RandomForestClassifier(
         featuresCol="features",
         labelCol="label",
         numTrees=trees,
-        maxDepth=DEEPEST if depth is None else min(depth, DEEPEST),
+        maxDepth=DEEPEST if depth is None else depth,
         minInstancesPerNode=max(1, min_split // 2),
         featureSubsetStrategy="sqrt",
         cacheNodeIds=True,
@@ -87,11 +89,21 @@ def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel
     return out
 
 
-def logistic(c: float = 1.0, rows: int = 1, max_iter: int = 1000) -> LogisticRegression:
-    """Ridge strength 1/(c·rows) gives the penalty of a summed loss with inverse strength ``c``."""
-    return LogisticRegression(
-        featuresCol="features", labelCol="label", regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4
-    )
+class SummedLossLogistic(LogisticRegression):
+    """Ridge of a summed loss: strength 1/(c * rows), with the rows of the table it is fitted on."""
+
+    inverse_strength = 1.0
+
+    def _fit(self, dataset):
+        fitted = self.copy({self.regParam: 1.0 / (self.inverse_strength * max(dataset.count(), 1))})
+        return super(SummedLossLogistic, fitted)._fit(dataset)
+
+
+def logistic(c: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
+    """Inverse strength ``c``; folds and whole tables each get the penalty of their own row count."""
+    out = SummedLossLogistic(featuresCol="features", labelCol="label", elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4)
+    out.inverse_strength = c
+    return out
 
 
 def forest_spec(trees: list[int] = (50, 100, 200), depth: list = (None,), min_split: list[int] = (2,), name: str = "random_forest") -> ModelSpec:
@@ -114,5 +126,5 @@ def stump_boost_spec(rounds: list[int] = (50, 100, 200), rate: list[float] = (0.
     return ModelSpec(name, make, grid_of(rounds=list(rounds), rate=list(rate)), "rounds", lambda m, n: m.first(n), count_folds)
 
 
-def logistic_spec(rows: int, c: list[float] = (0.1, 1, 10), name: str = "logistic") -> ModelSpec:
-    return ModelSpec(name, lambda p: logistic(rows=rows, **p), grid_of(c=list(c)))
+def logistic_spec(c: list[float] = (0.1, 1, 10), name: str = "logistic") -> ModelSpec:
+    return ModelSpec(name, lambda p: logistic(**p), grid_of(c=list(c)))

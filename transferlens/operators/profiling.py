@@ -43,16 +43,16 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
-    """Distinct values of each column, nulls left out. ``approximate`` uses mergeable sketches.
+    """Distinct values of each column, nulls and NaN left out. ``approximate`` uses mergeable sketches.
 
     Each column is read and aggregated by itself: over a columnar table that reads no byte twice,
     while several distinct counts in one aggregate would copy every wide row once per column.
     """
     columns = columns or df.columns
     if approximate:
-        return _one_row_per_column(df, {c: F.approx_count_distinct(c, rsd) for c in columns}, "n_distinct")
+        return _one_row_per_column(df, {c: F.approx_count_distinct(F.when(~is_missing(df, c), F.col(c)), rsd) for c in columns}, "n_distinct")
     counts = [
-        df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct")
+        df.where(~is_missing(df, c)).select(c).distinct().agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct")
         for c in columns
     ]
     return reduce(DataFrame.union, counts)

@@ -60,7 +60,8 @@ def independence_test(df: DataFrame, columns: list[str], label: str = LABEL, alp
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation factor of each column, and of the constant.
 
-    One aggregate gives means and covariances; the small matrix is inverted where that row lands.
+    One aggregate gives means and covariances; the small matrix is inverted where that row lands. A
+    column that others determine has an infinite factor, one without spread none (null).
     """
     present = ~is_missing(df, columns[0])
     for c in columns[1:]:
@@ -79,14 +80,28 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
                 s = np.zeros((p, p))
                 for (i, j), v in zip(pairs, flat):
                     s[i, j] = s[j, i] = v
-                inverse = np.linalg.inv(s)
-                m = np.asarray(means, dtype=float)
-                factors = [1.0 + m @ inverse @ m, *(np.diag(inverse) * np.diag(s))]
-                yield pd.DataFrame({"feature": ["const", *columns], "vif": factors})
+                yield pd.DataFrame({"feature": ["const", *columns], "vif": _factors(np.asarray(means, dtype=float), s)})
 
     return row.mapInPandas(invert, "feature string, vif double")
 
 
+def _factors(means: np.ndarray, s: np.ndarray) -> list[float]:
+    spread = np.sqrt(np.diag(s))
+    live = spread > 0
+    scaled = s[np.ix_(live, live)] / np.outer(spread[live], spread[live])
+    if live.all() and np.linalg.matrix_rank(scaled, tol=1e-12) == len(scaled):
+        inverse = np.linalg.inv(s)
+        return [1.0 + means @ inverse @ means, *(np.diag(inverse) * np.diag(s))]
+    factors, k = np.full(len(s), np.nan), np.flatnonzero(live)
+    for j in range(len(k)):
+        rest = np.delete(np.arange(len(k)), j)
+        unexplained = 1.0 - scaled[j, rest] @ np.linalg.pinv(scaled[np.ix_(rest, rest)]) @ scaled[rest, j]
+        factors[k[j]] = 1.0 / unexplained if unexplained > 1e-10 else np.inf
+    share = means[live] / spread[live]
+    constant = np.inf if (means[~live] != 0).any() else 1.0 + share @ np.linalg.pinv(scaled) @ share
+    return [constant, *factors]
+
+
 def with_vif_band(vif: DataFrame) -> DataFrame:
     """1: none, up to 5: moderate, above 5: high."""
     band = F.when(F.col("vif") > 5, "high").when(F.col("vif") > 1 + 1e-9, "moderate").otherwise("none")

@@ -336,9 +336,10 @@ def curve_areas(spark, folder):
 def threshold_for_true_positive_rate(spark, folder):
     """The threshold nearest to 88 % of suspicious transfers found, applied."""
     rows = _scored(spark, folder)
-    threshold = metrics.threshold_for_tpr(metrics.roc_curve(rows), 0.88).first()["threshold"]
-    applied = rows.withColumn("prediction", F.when(F.col("score") >= F.lit(threshold), 1).otherwise(0))
-    return metrics.confusion_counts(applied).withColumn("threshold", F.lit(threshold))
+    found = metrics.threshold_for_tpr(metrics.roc_curve(rows), 0.88).first()
+    threshold = F.lit(found["threshold"] if found else None).cast("double")
+    applied = rows.withColumn("prediction", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return metrics.confusion_counts(applied).withColumn("threshold", threshold)
 
 
 _RULES = {"strict": 0.95, "middle": 0.8, "loose": 0.5}
@@ -455,7 +456,7 @@ def subsampled_boosted_trees_test_scores(spark, folder):
 @query("logistic_test_scores")
 def logistic_test_scores(spark, folder):
     _, balanced, _ = _training_data(spark, folder)
-    return _test_scores(spark, folder, logistic_spec(balanced.count(), [1.0]))
+    return _test_scores(spark, folder, logistic_spec([1.0]))
 
 
 @query("logistic_grid_search")
@@ -463,7 +464,7 @@ def logistic_grid_search(spark, folder):
     """The base model: unbalanced training rows, two folds."""
     data, _, _ = _training_data(spark, folder)
     rows = materialise(sampling.with_folds(data.train, 2, "label"))
-    return rounded(grid_search(rows, logistic_spec(rows.count()), refit="accuracy").table)
+    return rounded(grid_search(rows, logistic_spec(), refit="accuracy").table)
 
 
 @query("stump_boost_grid_search")
