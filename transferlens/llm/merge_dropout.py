@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = "▁"
-#: Segmentations kept per worker; the store is emptied when full, which changes no result.
-_STORED = 600_000
+#: Segmentations kept per worker in each of two generations: when the young one is full it becomes the
+#: old one, and what is asked for again comes back from there. This changes no result.
+_STORED = 500_000
 _CODERS: dict[tuple, DropoutEncoder] = {}
 
 
@@ -23,7 +24,7 @@ class DropoutEncoder:
     """Encodes with a public BPE vocabulary whose pieces carry merge scores and fall back to bytes.
 
     Symbols are merged by an agenda: best score first, then leftmost. A candidate taken from the
-    agenda is dropped for good when a hash of (seed, variant, place, piece) falls under ``dropout``.
+    agenda is dropped for good when a hash of (seed, variant, word, place, piece) falls under ``dropout``.
     Each word of a text gets one of ``variants`` by a hash of the seed, the text's key and the word's
     number, so one word is segmented in varied ways, the same on every run. With dropout 0 the ids are
     those of the vocabulary's own encoder. A literal U+2581 is written as bytes, so that every text
@@ -35,52 +36,60 @@ class DropoutEncoder:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.dropout, self.seed, self.variants = int(dropout * 2**32), seed, variants if dropout else 1
-        self.pieces: dict[str, tuple[float, int]] = {}
+        self.packed: dict[str, bytes] = {}
+        scores: dict[str, float] = {}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.decoded: list[bytes] = [b""] * sp.get_piece_size()
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 piece = sp.id_to_piece(i)
-                self.pieces[piece] = (sp.get_score(i), i)
+                scores[piece], self.packed[piece] = sp.get_score(i), i.to_bytes(4, "little")
                 self.decoded[i] = piece.replace(_SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.decoded[i] = bytes([b])
-        if any(_SPACE in p.lstrip(_SPACE) or ("\n" in p and p != "\n") for p in self.pieces):
+        order = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.ranks = {piece: order[score] for piece, score in scores.items()}
+        if any(_SPACE in p.lstrip(_SPACE) or ("\n" in p and p != "\n") for p in scores):
             raise ValueError("a piece reaches over a word's end")
         self.store: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.stored = 0
 
     def _segment(self, word: str, variant: int) -> bytes:
-        text, pieces = list(word), self.pieces
-        n = len(text)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            joined = text[i] + text[j]
-            if found := pieces.get(joined):
-                heapq.heappush(agenda, (-found[0], i, j, joined))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        """Ids of one word as little-endian bytes.
+
+        A candidate is one number: rank of its piece, start and end. Two neighbours can cover a span in
+        one way only, so the span says which symbols it joins, and it is live while they still stand there.
+        """
+        ranks, hashed, drop = self.ranks, xxhash.xxh32_intdigest, self.dropout
+        n = len(word)
+        shift, key = n.bit_length(), hashed(word, (self.seed * 0x9E3779B1 + variant) & 0xFFFFFFFF)
+        mask = (1 << shift) - 1
+        after, before = list(range(1, n + 1)), list(range(-1, n))  # of a symbol's start; 0 where none starts any more
+        agenda = [(r << shift | i) << shift | i + 2 for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, joined = heapq.heappop(agenda)
-            if after[i] != j or not text[i] or not text[j] or text[i] + text[j] != joined:
+            candidate = heapq.heappop(agenda)
+            end, i = candidate & mask, candidate >> shift & mask
+            j = after[i]
+            if not j or j >= end or after[j] != end or hashed(word[i:end], key ^ i) < drop:
                 continue
-            if self.dropout and xxhash.xxh32_intdigest(f"{variant}|{i}|{j}|{joined}|{word}", self.seed) < self.dropout:
-                continue
-            text[i], text[j], after[i] = joined, "", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
-        ids: list[int] = []
-        for t in text:
-            if t:
-                found = pieces.get(t)
-                ids += [found[1]] if found else [self.bytes[b] for b in t.encode()]
-        return np.array(ids, "<u4").tobytes()
+            after[i], after[j], before[end] = end, 0, i
+            if end < n and (r := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(agenda, (r << shift | i) << shift | after[end])
+            if i and (r := ranks.get(word[before[i] : end])) is not None:
+                heapq.heappush(agenda, (r << shift | before[i]) << shift | end)
+        ids, at = [], 0
+        while at < n:
+            ids.append(self._id_bytes(word[at : after[at]]))
+            at = after[at]
+        return b"".join(ids)
+
+    def _id_bytes(self, symbol: str) -> bytes:
+        found = self.packed.get(symbol)
+        if found is None:
+            found = np.array([self.bytes[b] for b in symbol.encode()], "<u4").tobytes()
+        return found
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of the text; an empty text has none."""
@@ -108,12 +117,11 @@ class DropoutEncoder:
             for w, v in zip(words, variants):
                 found = store[v].get(w)
                 if found is None:
-                    found = self._segment(w, v)
+                    found = self.old[v].get(w) or self._segment(w, v)
                     if len(w) < 64:
                         if self.stored >= _STORED:
-                            for s in store:
-                                s.clear()
-                            self.stored = 0
+                            self.old, self.store, self.stored = store, [{} for _ in store], 0
+                            store = self.store
                         store[v][w] = found
                         self.stored += 1
                 out.append(found)
