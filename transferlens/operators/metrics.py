@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transferlens.operators.ranking import running_totals
 from transferlens.schema import LABEL
+from transferlens.session import materialise
 
 CELLS = ["tn", "fp", "fn", "tp"]
 
@@ -93,17 +94,19 @@ def score_table(df: DataFrame, score: str = "score", label: str = LABEL, rows_pe
     grouped = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    return running_totals(grouped, "score", ["pos", "neg"], rows_per_bucket)
+    # Written once: counting, cutting into buckets and the totals then read groups, not the input again.
+    return running_totals(materialise(grouped), "score", ["pos", "neg"], rows_per_bucket)
 
 
-def _totals(df: DataFrame, label: str) -> tuple[int, int]:
-    return tuple(df.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first())
+def _totals(table: DataFrame) -> tuple[int, int]:
+    """Positives and negatives in all, from a score table."""
+    return tuple(table.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).first())
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = LABEL, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, from (0, 0) at an infinite threshold."""
-    pos, neg = _totals(df, label)
     table = score_table(df, score, label, rows_per_bucket)
+    pos, neg = _totals(table)
     points = table.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("upto_neg"), F.lit(neg)).alias("fpr"),
@@ -115,8 +118,8 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = LABEL, rows_per_
 
 def pr_curve(df: DataFrame, score: str = "score", label: str = LABEL, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """(threshold, precision, recall) per distinct score, ending at recall 0, precision 1."""
-    pos, _ = _totals(df, label)
     table = score_table(df, score, label, rows_per_bucket)
+    pos, _ = _totals(table)
     points = table.select(
         F.col("score").alias("threshold"),
         (F.col("upto_pos") / (F.col("upto_pos") + F.col("upto_neg"))).alias("precision"),

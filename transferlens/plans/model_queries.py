@@ -229,11 +229,16 @@ _RULE_SCORE = "floor(1000*(0.5::DOUBLE*CASE WHEN payment_format IN ('1-URGENT','
 _SCORED = f"scored AS MATERIALIZED (SELECT row_key, is_laundering, split, {_RULE_SCORE} AS score, CASE WHEN {_RULE_SCORE} >= 0.95::DOUBLE THEN 1 ELSE 0 END AS prediction FROM split)"
 
 
-def _scored(spark, folder) -> DataFrame:
+def _ruled(spark, folder) -> DataFrame:
+    """Transfers with a rule's score and prediction."""
     urgent = F.when(F.col("payment_format").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)
     score = F.floor(1000 * (0.5 * urgent + 5 * (1 - F.col("amount_received") / F.col("amount_paid")))) / 1000
     rows = transfers(spark, folder).select(KEY, LABEL, score.alias("score"))
-    return sampling.with_split(rows).withColumn("prediction", F.when(F.col("score") >= 0.95, 1).otherwise(0))
+    return rows.withColumn("prediction", F.when(F.col("score") >= 0.95, 1).otherwise(0))
+
+
+def _scored(spark, folder) -> DataFrame:
+    return sampling.with_split(_ruled(spark, folder))
 
 
 _COUNTS = """counts AS (SELECT split, count(CASE WHEN is_laundering=0 AND prediction=0 THEN 1 END) AS tn, count(CASE WHEN is_laundering=0 AND prediction=1 THEN 1 END) AS fp,
@@ -303,7 +308,7 @@ curve AS (SELECT score, pos, neg, sum(pos) OVER w AS up, sum(neg) OVER w AS un,
     f"{_SPLIT}, {_SCORED}, {_CURVE} SELECT score AS threshold, round(un/n,6) AS fpr, round(up/p,6) AS tpr FROM curve UNION ALL SELECT NULL, 0.0, 0.0",
 )
 def roc_curve(spark, folder):
-    curve = metrics.roc_curve(_scored(spark, folder))
+    curve = metrics.roc_curve(_ruled(spark, folder))
     return curve.select(F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
@@ -312,7 +317,7 @@ def roc_curve(spark, folder):
     f"{_SPLIT}, {_SCORED}, {_CURVE} SELECT score AS threshold, round(up/(up+un),6) AS precision, round(up/p,6) AS recall FROM curve UNION ALL SELECT NULL, 1.0, 0.0",
 )
 def precision_recall_curve(spark, folder):
-    curve = metrics.pr_curve(_scored(spark, folder))
+    curve = metrics.pr_curve(_ruled(spark, folder))
     return curve.select(
         F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")
     )
@@ -324,7 +329,7 @@ FROM (SELECT *, lag(up,1,0) OVER (ORDER BY score DESC) AS pup, lag(un,1,0) OVER
 
 @query("curve_areas", f"{_SPLIT}, {_SCORED}, {_CURVE}, {_AREAS} SELECT round(roc_auc,6) AS roc_auc, round(pr_auc,6) AS pr_auc FROM areas")
 def curve_areas(spark, folder):
-    return rounded(metrics.curve_areas(_scored(spark, folder)))
+    return rounded(metrics.curve_areas(_ruled(spark, folder)))
 
 
 @query(
@@ -335,7 +340,7 @@ def curve_areas(spark, folder):
 )
 def threshold_for_true_positive_rate(spark, folder):
     """The threshold nearest to 88 % of suspicious transfers found, applied."""
-    rows = _scored(spark, folder)
+    rows = _ruled(spark, folder)
     found = metrics.threshold_for_tpr(metrics.roc_curve(rows), 0.88).first()
     threshold = F.lit(found["threshold"] if found else None).cast("double")
     applied = rows.withColumn("prediction", F.when(F.col("score") >= threshold, 1).otherwise(0))
@@ -398,10 +403,10 @@ def run_log(spark, folder):
 )
 def fold_score_spread(spark, folder):
     """Mean and deviation over folds of a rule's weighted scores."""
-    rows = sampling.with_folds(_scored(spark, folder).drop("split"), 5, seed=42)
-    scores = metrics.with_weighted_scores(metrics.confusion_counts(rows, by=["fold"])).withColumn("all", F.lit(1))
-    spread = profiling.mean_and_spread(scores, ["all"], ["precision", "recall"])
-    return rounded(spread.withColumn("n_folds", F.lit(scores.count()).cast("bigint")).drop("all"))
+    rows = sampling.with_folds(_ruled(spark, folder), 5, seed=42)
+    scores = metrics.with_weighted_scores(metrics.confusion_counts(rows, by=["fold"]))
+    both = [f(m).alias(f"{m}_{n}") for m in ("precision", "recall") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return rounded(scores.agg(F.count("*").alias("n_folds"), *both))
 
 
 # ---------------------------------------------------------------- models
@@ -414,7 +419,7 @@ def _training_data(spark, folder):
     at = (spark.sparkContext.applicationId, folder)
     if at not in _prepared:
         data = prepare(transfers(spark, folder))
-        balanced = materialise(sampling.with_folds(oversample(data.train), 3, "label"))
+        balanced = materialise(sampling.with_folds(materialise(oversample(data.train)), 3, "label"))
         _prepared[at] = (data, balanced, materialise(data.test))
     return _prepared[at]
 
@@ -539,8 +544,8 @@ def stream_scores_match_batch(spark, folder):
     scorer = _scorer(spark, folder)
     requests = as_requests(transfers(spark, folder), [KEY])
     source, out = scratch_path(spark, "requests"), scratch_path(spark, "stream-scores")
-    requests.repartition(4).write.parquet(source)
-    stream = streams.stream_table(spark, source, requests.schema, files_per_trigger=2)
+    requests.write.parquet(source)
+    stream = streams.stream_table(spark, source, requests.schema, files_per_trigger=64)
     streams.write_stream(streams.score_stream(scorer, stream, [KEY]), out, scratch_path(spark, "stream-state")).awaitTermination()
     streamed = spark.read.parquet(out).select(KEY, F.col("prediction").alias("s_prediction"), F.col("p_fraud").alias("s_fraud"))
     batch = scorer.score(requests, [KEY, "payment_format"])
