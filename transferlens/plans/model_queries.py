@@ -10,7 +10,7 @@ from transferlens.operators.balancing import oversample
 from transferlens.operators.features import FeatureEncoder, FittedEncoder, features_to_columns
 from transferlens.operators.models import boosted_trees_spec, forest_spec, logistic_spec, random_forest, stump_boost_spec
 from transferlens.operators.scoring import Scorer, as_requests
-from transferlens.operators.tuning import curve_summary, evaluate_models, grid_search, learning_curve, with_score
+from transferlens.operators.tuning import cross_validate, curve_summary, evaluate_models, grid_search, learning_curve, with_score
 from transferlens.plans.profile_queries import _HOLES, rounded, with_holes
 from transferlens.plans.registry import query
 from transferlens.plans.training import prepare
@@ -478,6 +478,14 @@ def stump_boost_grid_search(spark, folder):
     return rounded(grid_search(balanced, stump_boost_spec([5, 10, 20], [0.1, 0.5, 1.0])).table)
 
 
+@query("stump_boost_cross_validation")
+def stump_boost_cross_validation(spark, folder):
+    """Mean scores over ten folds of the unbalanced training rows; all folds are boosted side by side."""
+    data, _, _ = _training_data(spark, folder)
+    rows = materialise(sampling.with_folds(data.train, 10, "label"))
+    return rounded(cross_validate(rows, stump_boost_spec(), {"rounds": 50, "rate": 1.0}))
+
+
 @query("forest_grid_search_inside_folds")
 def forest_grid_search_inside_folds(spark, folder):
     """Oversampling each training part instead of the whole training set."""
