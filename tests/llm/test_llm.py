@@ -137,6 +137,17 @@ def test_merge_dropout(docs):
     assert all(back[i]["text"] == (t or "") for i, t in enumerate(TEXTS))
 
 
+def test_merge_dropout_side_by_side_equals_the_heap():
+    coder = DropoutEncoder(tokenizer_file("piece_bpe_32k.model"), dropout=0.3)
+    words = ["\u2581the", "\u2581internationalisation", "\u2581\u2581\u2581", "a", "\n", "\u2581na\u00efve", "\u2581\u732b\U0001f642x", "\u2581" + "ab" * 40, "z" * 63, "z" * 64]
+    asked = [(w, v) for w in words for v in range(4)]
+    assert coder._segment_many(asked) == [coder._segment(*a) for a in asked]
+    texts = ["", "a \u2581 b\n\n c", "x" * 3_000, "one two " * 500]
+    alone = [coder.encode(t, k).tolist() for k, t in enumerate(texts)]
+    assert [x.tolist() for x in coder.encode_many(texts, [0, 1, 2, 3])] == alone
+    assert [coder.decode(np.array(x, "<u4")) for x in alone] == texts
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer

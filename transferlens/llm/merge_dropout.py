@@ -18,6 +18,27 @@ _SPACE = "▁"
 #: old one, and what is asked for again comes back from there. This changes no result.
 _STORED = 500_000
 _CODERS: dict[tuple, DropoutEncoder] = {}
+#: Words shorter than this merge side by side and are kept; texts are taken this many characters at a time.
+_SHORT, _BLOCK = 64, 1 << 20
+_NONE = np.iinfo(np.int32).max
+_WORD = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, well mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+
+
+def _draw(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32 bits for the candidate that covers a word from start to end."""
+    span = (start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (_mixed(keys ^ span) >> np.uint64(32)).astype(np.int64)
+
+
+def _slots(pairs: np.ndarray, slots: int) -> np.ndarray:
+    hashed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (hashed >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 class DropoutEncoder:
@@ -54,16 +75,23 @@ class DropoutEncoder:
         self.store: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.stored = 0
+        self.mark = np.array([self.bytes[b] for b in _SPACE.encode()], "<u4").tobytes()
+        for store in self.store:
+            store[""] = self.mark
+        self._index_pairs()
+
+    def _key(self, word: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(word, (self.seed * 0x9E3779B97F4A7C15 + variant) % 2**64)
 
     def _segment(self, word: str, variant: int) -> bytes:
-        """Ids of one word as little-endian bytes.
+        """Ids of one word as little-endian bytes, by a heap.
 
         A candidate is one number: rank of its piece, start and end. Two neighbours can cover a span in
         one way only, so the span says which symbols it joins, and it is live while they still stand there.
         """
-        ranks, hashed, drop = self.ranks, xxhash.xxh32_intdigest, self.dropout
+        ranks, drop = self.ranks, self.dropout
         n = len(word)
-        shift, key = n.bit_length(), hashed(word, (self.seed * 0x9E3779B1 + variant) & 0xFFFFFFFF)
+        shift, key = n.bit_length(), self._key(word, variant)
         mask = (1 << shift) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n))  # of a symbol's start; 0 where none starts any more
         agenda = [(r << shift | i) << shift | i + 2 for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -72,7 +100,7 @@ class DropoutEncoder:
             candidate = heapq.heappop(agenda)
             end, i = candidate & mask, candidate >> shift & mask
             j = after[i]
-            if not j or j >= end or after[j] != end or hashed(word[i:end], key ^ i) < drop:
+            if not j or j >= end or after[j] != end or (drop and int(_draw(np.array([key], np.uint64), np.array([i]), np.array([end]))[0]) < drop):
                 continue
             after[i], after[j], before[end] = end, 0, i
             if end < n and (r := ranks.get(word[i : after[end]])) is not None:
@@ -85,47 +113,170 @@ class DropoutEncoder:
             at = after[at]
         return b"".join(ids)
 
+    def _segment_many(self, asked: list[tuple[str, int]]) -> list[bytes]:
+        """``_segment`` of many short words: those of one length work off their agendas side by side.
+
+        A word is a column, its agenda the numbers (rank, start) of that column. Words with a character
+        that is no piece, or as long as ``_SHORT``, are left to the heap.
+        """
+        out: list[bytes] = [b""] * len(asked)
+        size = np.fromiter((len(w) for w, _ in asked), np.int64, len(asked))
+        chars = self.chars[np.frombuffer("".join(w for w, _ in asked).encode("utf-32-le"), np.uint32)]
+        first = np.cumsum(size) - size
+        apart = (np.minimum.reduceat(chars, first) < 0) | (size >= _SHORT)
+        for k in np.flatnonzero(apart).tolist():
+            out[k] = self._segment(*asked[k])
+        for n in np.unique(size[~apart]).tolist():
+            chosen = np.flatnonzero(~apart & (size == n))
+            keys = np.fromiter((self._key(*asked[k]) for k in chosen.tolist()), np.uint64, len(chosen))
+            symbols, alive = self._merge(chars[first[chosen] + np.arange(n)[:, None]], keys)
+            raw, ends = symbols.T[alive.T].astype("<u4").tobytes(), np.cumsum(alive.sum(axis=0)) * 4
+            at = 0
+            for k, end in zip(chosen.tolist(), ends.tolist()):
+                out[k], at = raw[at:end], end
+        return out
+
+    def _merge(self, symbols: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the columns of ``symbols``; returns the symbols and which of their places still start one."""
+        n, width = symbols.shape
+        symbol = symbols.astype(np.int64).ravel()  # place i of column c is at i * width + c
+        after = np.repeat(np.arange(1, n + 1), width)
+        before = np.repeat(np.arange(-1, n), width)
+        alive, agenda = np.ones(n * width, bool), np.full((n, width), _NONE, np.int32)
+        for i in range(n - 1):
+            agenda[i] = self._candidates(symbols[i], symbols[i + 1], i)
+        flat = agenda.ravel()
+        columns = np.arange(width)
+        while True:
+            best = agenda.min(axis=0) if len(columns) == width else agenda[:, columns].min(axis=0)
+            left = best != _NONE
+            columns, i = columns[left], best[left].astype(np.int64) % _SHORT
+            if not len(columns):
+                return symbol.reshape(n, width), alive.reshape(n, width)
+            here = i * width + columns
+            flat[here] = _NONE
+            there = after[here] * width + columns
+            end = after[there]
+            if self.dropout:
+                go = _draw(keys[columns], i, end) >= self.dropout
+                i, here, there, end, at = i[go], here[go], there[go], end[go], columns[go]
+            else:
+                at = columns
+            symbol[here] = self._joined(symbol[here], symbol[there])[1]
+            alive[there], flat[there] = False, _NONE
+            after[here] = end
+            before[end * width + at] = i
+            more = np.flatnonzero(end < n)
+            flat[here[more]] = self._candidates(symbol[here[more]], symbol[end[more] * width + at[more]], i[more])
+            more = np.flatnonzero(i)
+            i = before[here[more]]
+            over = i * width + at[more]
+            flat[over] = self._candidates(symbol[over], symbol[here[more]], i)
+
+    def _candidates(self, a: np.ndarray, b: np.ndarray, start) -> np.ndarray:
+        rank, _ = self._joined(a, b)
+        return np.where(rank < 0, _NONE, rank * _SHORT + start)
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that two neighbouring pieces make; -1 where there is none."""
+        wanted = a.astype(np.int64) << 32 | b
+        slot = _slots(wanted, len(self.pairs))
+        found = self.pairs[slot]
+        open_ = np.flatnonzero((found != wanted) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.pairs)
+            found = self.pairs[slot[open_]]
+            open_ = open_[(found != wanted[open_]) & (found >= 0)]
+        return self.pair_rank[slot], self.pair_id[slot]
+
+    def _index_pairs(self) -> None:
+        """Open-addressed table of all cuts of a piece into two pieces, and the piece of each character."""
+        number = {piece: int.from_bytes(raw, "little") for piece, raw in self.packed.items()}
+        self.chars = np.full(0x110000, -1, np.int32)
+        made: list[tuple[int, int, int]] = []
+        for piece, k in number.items():
+            if len(piece) == 1:
+                self.chars[ord(piece)] = k
+            for cut in range(1, len(piece)):
+                a, b = number.get(piece[:cut]), number.get(piece[cut:])
+                if a is not None and b is not None:
+                    made.append((a << 32 | b, self.ranks[piece], k))
+        pairs, rank, piece_id = (np.array(x, np.int64) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 3
+        slots = 1 << max(10, (4 * len(pairs)).bit_length())
+        self.pairs, self.pair_rank, self.pair_id = (np.full(slots, -1, np.int64) for _ in range(3))
+        at, todo = _slots(pairs, slots), np.arange(len(pairs))
+        while len(todo):
+            free = todo[self.pairs[at[todo]] < 0]
+            self.pairs[at[free]] = pairs[free]  # of several, one stays
+            placed = self.pairs[at[todo]] == pairs[todo]
+            done = todo[placed]
+            self.pair_rank[at[done]], self.pair_id[at[done]] = rank[done], piece_id[done]
+            todo = todo[~placed]
+            at[todo] = (at[todo] + 1) % slots
+
     def _id_bytes(self, symbol: str) -> bytes:
         found = self.packed.get(symbol)
         if found is None:
             found = np.array([self.bytes[b] for b in symbol.encode()], "<u4").tobytes()
         return found
 
-    def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of the text; an empty text has none."""
-        if not text:
-            return np.zeros(0, "<u4")
-        out: list[bytes] = []
-        mark = np.array([self.bytes[b] for b in _SPACE.encode()], "<u4").tobytes()
-        count = 0
+    def _words(self, text: str, key: int) -> tuple[list[str], list[int]]:
+        """Words of the text and the variant of each; a literal U+2581 is the word "", which has no variants."""
+        words: list[str] = []
         for k, part in enumerate(text.split(_SPACE)):
             part = part.replace(" ", _SPACE)
-            if k == 0:
-                part = _SPACE + part
-            else:
-                out.append(mark)
-            words = re.findall(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n", part)
-            if self.variants > 1:
-                number = np.arange(count, count + len(words), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
-                number = (number ^ (number >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                number = (number ^ (number >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                variants = ((number >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-                count += len(words)
+            if k:
+                words.append("")
+            words += _WORD.findall(part if k else _SPACE + part)
+        if self.variants == 1:
+            return words, [0] * len(words)
+        number = np.arange(len(words), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
+        return words, ((_mixed(number) >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+
+    def _recall(self, words: list[str], variants: list[int], rest: dict[tuple[str, int], bytes | None]) -> list[bytes | None]:
+        """Stored segmentations; words without one are put into ``rest``."""
+        store = self.store
+        found = [store[v].get(w) for w, v in zip(words, variants)]
+        for k in [k for k, f in enumerate(found) if f is None]:
+            w, v = words[k], variants[k]
+            old = self.old[v].get(w)
+            if old is None:
+                rest[w, v] = None
             else:
-                variants = [0] * len(words)
-            store = self.store
-            for w, v in zip(words, variants):
-                found = store[v].get(w)
-                if found is None:
-                    found = self.old[v].get(w) or self._segment(w, v)
-                    if len(w) < 64:
-                        if self.stored >= _STORED:
-                            self.old, self.store, self.stored = store, [{} for _ in store], 0
-                            store = self.store
-                        store[v][w] = found
+                found[k] = store[v][w] = old
+                self.stored += 1
+        return found
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> Iterator[np.ndarray]:
+        """Ids of each text in turn, about ``_BLOCK`` characters at a time; an empty text has none."""
+        at = 0
+        while at < len(texts):
+            first, chars = at, 0
+            while at < len(texts) and (at == first or chars + len(texts[at]) <= _BLOCK):
+                chars += len(texts[at])
+                at += 1
+            if self.stored >= _STORED:
+                self.old, self.store, self.stored = self.store, [{} for _ in self.store], 0
+                for store in self.store:
+                    store[""] = self.mark
+            rest: dict[tuple[str, int], bytes | None] = {}
+            block = []
+            for text, key in zip(texts[first:at], keys[first:at]):
+                words, variants = self._words(text, key) if text else ([], [])
+                block.append((words, variants, self._recall(words, variants, rest)))
+            if rest:
+                asked = list(rest)
+                for (w, v), ids in zip(asked, self._segment_many(asked)):
+                    rest[w, v] = ids
+                    if len(w) < _SHORT:
+                        self.store[v][w] = ids
                         self.stored += 1
-                out.append(found)
-        return np.frombuffer(b"".join(out), "<u4")
+            for words, variants, found in block:
+                yield np.frombuffer(b"".join([rest[w, v] if f is None else f for w, v, f in zip(words, variants, found)]), "<u4")
+
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        """Ids of the text; an empty text has none."""
+        return next(self.encode_many([text], [key]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``encode``'s ids."""
@@ -142,7 +293,7 @@ def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, see
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(model_file, dropout, seed, variants)
         for batch in batches:
-            ids = [coder.encode(t or "", k).astype(np.int32) for t, k in zip(batch["t"], batch["k"])]
+            ids = [x.astype(np.int32) for x in coder.encode_many([t or "" for t in batch["t"]], batch["k"].tolist())]
             yield pd.DataFrame({id: batch[id], "ids": ids})
 
     kind = docs.schema[id].dataType.simpleString()
@@ -168,11 +319,10 @@ def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(model_file, dropout, seed, variants)
         for batch in batches:
-            out = []
-            for i, t, k in zip(batch[id], batch["t"], batch["k"]):
-                ids = coder.encode(t or "", k)
+            out, texts = [], [t or "" for t in batch["t"]]
+            for i, t, ids in zip(batch[id], texts, coder.encode_many(texts, batch["k"].tolist())):
                 back = coder.decode(ids)
-                out.append((i, len(ids), zlib.crc32(ids.tobytes()), back == (t or ""), hashlib.sha256(back.encode()).hexdigest()))
+                out.append((i, len(ids), zlib.crc32(ids.tobytes()), back == t, hashlib.sha256(back.encode()).hexdigest()))
             yield pd.DataFrame(out, columns=[id, "n_ids", "ids_crc32", "lossless", "decoded_sha256"])
 
     kind = docs.schema[id].dataType.simpleString()
