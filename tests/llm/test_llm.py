@@ -138,7 +138,7 @@ def test_merge_dropout(docs):
 
 
 def test_merge_dropout_side_by_side_equals_the_heap():
-    coder = DropoutEncoder(tokenizer_file("piece_bpe_32k.model"), dropout=0.3)
+    coder = DropoutEncoder(public_tokenizers.path("piece_bpe_32k.model"), dropout=0.3)
     words = ["\u2581the", "\u2581internationalisation", "\u2581\u2581\u2581", "a", "\n", "\u2581na\u00efve", "\u2581\u732b\U0001f642x", "\u2581" + "ab" * 40, "z" * 63, "z" * 64]
     asked = [(w, v) for w in words for v in range(4)]
     assert coder._segment_many(asked) == [coder._segment(*a) for a in asked]
