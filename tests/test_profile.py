@@ -80,6 +80,12 @@ def test_upper_gamma_closed_forms():
         assert math.isclose(upper_gamma(0.5, x), math.erfc(math.sqrt(x)), rel_tol=1e-10, abs_tol=1e-300)
         assert math.isclose(upper_gamma(3, x), math.exp(-x) * (1 + x + x * x / 2), rel_tol=1e-10)
     assert upper_gamma(2, 0) == 1.0
+    for a in (100_001.0, 1e12):  # Q(a, a) is a half less a third of a density
+        assert math.isclose(upper_gamma(a, a), 0.5 - 1 / (3 * math.sqrt(2 * math.pi * a)), rel_tol=1e-9)
+    assert upper_gamma(1e6, 1.0) == 1.0 and upper_gamma(1e6, 1e9) == 0.0
+    # a sum of many squares: Wilson and Hilferty's normal form
+    z = ((1.003) ** (1 / 3) - 1 + 1 / (9 * 1e6)) * math.sqrt(9 * 1e6)
+    assert math.isclose(upper_gamma(1e6, 1.003e6), 0.5 * math.erfc(z / math.sqrt(2)), rel_tol=1e-4)
     assert math.isclose(upper_gamma(749.5, 720.126), 0.8560, abs_tol=5e-3)
 
 

@@ -95,3 +95,17 @@ def test_signature(spark, tmp_path):
         check_signature(df.drop("s"), signature)
     with pytest.raises(ValueError, match="type"):
         check_signature(df.withColumn("n", F.lit("x")), signature)
+
+
+def test_transfers_follow_their_files(spark, small_folder, tmp_path):
+    from transferlens.sources.transfers import transfers
+
+    tables = ("lineitem", "orders", "customer", "supplier", "nation", "region")
+    for t in tables:
+        spark.read.parquet(f"{small_folder}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    folder = str(tmp_path)
+    before = transfers(spark, folder)
+    n = before.count()
+    assert transfers(spark, folder).inputFiles() == before.inputFiles()
+    spark.read.parquet(f"{small_folder}/lineitem.parquet").limit(7).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    assert transfers(spark, folder).count() == n + 7

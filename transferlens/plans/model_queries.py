@@ -18,7 +18,7 @@ from transferlens.schema import KEY, LABEL
 from transferlens.session import materialise, scratch_path
 from transferlens.sources.runlog import RunLog
 from transferlens.sources.tables import read_csv, write_csv
-from transferlens.sources.transfers import transfers
+from transferlens.sources.transfers import input_state, transfers
 from transferlens.streaming import scoring as streams
 
 # ---------------------------------------------------------------- samples, splits, folds
@@ -415,8 +415,8 @@ _prepared: dict = {}
 
 
 def _training_data(spark, folder):
-    """Encoded parts and the balanced, folded training rows, made once per application."""
-    at = (spark.sparkContext.applicationId, folder)
+    """Encoded parts and the balanced, folded training rows, made once per application and state of the input files."""
+    at = input_state(spark, folder)
     if at not in _prepared:
         data = prepare(transfers(spark, folder))
         balanced = materialise(sampling.with_folds(materialise(oversample(data.train)), 3, "label"))

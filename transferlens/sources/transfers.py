@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from transferlens.session import scratch_path
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
+_INPUTS = ("lineitem", "orders", "customer", "supplier", "nation", "region")
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """What identifies the contents of the input tables: their files' paths, sizes and times, as one count and sum.
+
+    The files are listed, not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{folder}/{t}.parquet" for t in _INPUTS])
+    seen = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return (spark.sparkContext.applicationId, folder, *files.agg(F.count(F.lit(1)), F.sum(seen)).first())
 
 
 def derive_transfers(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,12 +85,12 @@ def derive_transfers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transfers(spark: SparkSession, folder: str) -> DataFrame:
-    """The transfer table of a folder, joined once per application and read back as Parquet.
+    """The transfer table of a folder, joined once per application and state of its files, read back as Parquet.
 
     Every report then reads only the columns it needs from one table, with filters pushed into the
     scan, instead of repeating the joins.
     """
-    at = (spark.sparkContext.applicationId, folder)
+    at = input_state(spark, folder)
     if at not in _written:
         path = scratch_path(spark, "transfers")
         derive_transfers(spark, folder).write.parquet(path)
