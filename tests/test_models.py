@@ -143,6 +143,14 @@ def test_oversampling_inside_folds(labelled):
     assert 0.5 < table.first()["recall"] <= 1
 
 
+def test_boosted_trees_grid_axes(labelled):
+    spec = boosted_trees_spec([1, 2], [0.3], [2], subsample=[0.7, 1.0], min_split=[10])
+    assert len(spec.grid) == 4 and {p["subsample"] for p in spec.grid} == {0.7, 1.0}
+    made = spec.make(spec.grid[0])
+    assert made.getSubsamplingRate() == spec.grid[0]["subsample"] and made.getMinInstancesPerNode() == 5
+    assert grid_search(labelled, spec).table.count() == 4
+
+
 def test_cross_validate_and_learning_curve(labelled):
     assert cross_validate(labelled, forest_spec(), {"trees": 3, "depth": 3, "min_split": 2}).count() == 1
     spec = boosted_trees_spec([2], [0.3], [2])

@@ -110,9 +110,15 @@ def forest_spec(trees: list[int] = (50, 100, 200), depth: list = (None,), min_sp
     return ModelSpec(name, lambda p: random_forest(**p), grid_of(trees=list(trees), depth=list(depth), min_split=list(min_split)))
 
 
-def boosted_trees_spec(trees: list[int] = (50, 100, 200), rate: list[float] = (0.01, 0.1, 0.05, 0.001), depth: list[int] = (6,), name: str = "boosted_trees", **more) -> ModelSpec:
-    grid = grid_of(trees=list(trees), rate=list(rate), depth=list(depth))
-    return ModelSpec(name, lambda p: boosted_trees(**{**more, **p}), grid, "trees", first_trees)
+def boosted_trees_spec(
+    trees: list[int] = (50, 100, 200), rate: list[float] = (0.01, 0.1, 0.05, 0.001), depth: list[int] = (6,), subsample: list[float] = (1.0,),
+    min_split: list[int] = (2,), min_leaf: list[int] = (1,), name: str = "boosted_trees", **more,
+) -> ModelSpec:
+    """Every list is an axis of the grid; an axis of one value takes no part in the points' names."""
+    axes = {"trees": trees, "rate": rate, "depth": depth, "subsample": subsample, "min_split": min_split, "min_leaf": min_leaf}
+    fixed = {k: v[0] for k, v in axes.items() if k in ("subsample", "min_split", "min_leaf") and len(v) == 1}
+    grid = grid_of(**{k: list(v) for k, v in axes.items() if k not in fixed})
+    return ModelSpec(name, lambda p: boosted_trees(**{**more, **fixed, **p}), grid, "trees", first_trees)
 
 
 def stump_boost_spec(rounds: list[int] = (50, 100, 200), rate: list[float] = (0.01, 0.1, 0.5, 1.0), max_bins: int = 32, name: str = "adaboost") -> ModelSpec:

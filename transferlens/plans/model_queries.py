@@ -455,7 +455,7 @@ def boosted_trees_test_scores(spark, folder):
 
 @query("subsampled_boosted_trees_test_scores")
 def subsampled_boosted_trees_test_scores(spark, folder):
-    return _test_scores(spark, folder, boosted_trees_spec([10], [0.1], [3], subsample=0.8, min_split=10))
+    return _test_scores(spark, folder, boosted_trees_spec([10], [0.1], [3], subsample=[0.8], min_split=[10]))
 
 
 @query("logistic_test_scores")
