@@ -15,7 +15,7 @@ import corpus_pipeline
 from transferlens.llm import queries as q
 from transferlens.llm.column_bwt import remove_repeats
 from transferlens.llm.common import linked
-from transferlens.llm.gray_simhash import components, fingerprints, gray_rank, link_codes, simhash
+from transferlens.llm.gray_simhash import components, fingerprints, gray_rank, link_codes, near_pairs, simhash, similar_groups
 from transferlens.llm.kd_search import top_k
 from transferlens.llm.language import LanguageModel
 from transferlens.llm.line_runs import remove_later_runs
@@ -103,6 +103,45 @@ def test_near_duplicates_by_simhash(docs, empty):
     assert simhash("One two") == simhash("one TWO") != 0
 
 
+def test_near_pairs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
+    codes = np.array([int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, n))) for b in base for n in (0, 0, 5, 9, 13, 18)], np.uint64)
+    codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+    rows = np.stack((codes, np.arange(len(codes)).astype(np.uint64), rng.integers(0, 40, len(codes)).astype(np.uint64)))
+    want = {(i, j) for i, j in itertools.combinations(range(len(codes)), 2) if bin(int(codes[i] ^ codes[j])).count("1") <= 14 and rows[2][i] != rows[2][j]}
+    assert want and {tuple(map(int, p)) for block in near_pairs(rows, None, 14) for p in block} == want
+    half = len(codes) // 3
+    across = {tuple(map(int, p)) for block in near_pairs(rows[:, :half], rows[:, half:], 14) for p in block}
+    assert across == {(i, j) for i, j in want if i < half <= j}
+
+
+def test_similar_groups_follow_jaccard(spark):
+    """Pairs of 0.8 and more link also when their fingerprints are over 6 bits apart, others never."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        for cuts in (0, 3, 4, 5, 9):
+            edited = list(words)
+            for at in rng.permutation(38)[:cuts] * 5 + 4:
+                edited[at] = "new"
+            texts.append(" ".join(edited))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label, far = list(range(len(texts))), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            apart = bin(simhash(texts[i], 5) ^ simhash(texts[j], 5)).count("1")
+            far += 6 < apart <= 14
+            if apart <= 14:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert far
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert len(corpus_pipeline.near_dedup(spark, docs, "").collect()) == len(set(label)) + 1
+
+
 def test_linked(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 1), (9, 8), (7, 7), (None, 2), (1, 5)], "a long, b long")
     assert {r["node"]: r["root"] for r in linked(edges).collect()} == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}

@@ -18,27 +18,44 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """64-bit fingerprint: a bit is set if over half of the shingles' XXH64 values have it; no words: 0."""
+def _digests(text: str | None, words_per_shingle: int, seed: int = 42) -> list[bytes]:
+    """XXH64 values of the text's shingles in order, 8 bytes each, in blocks; no words: no block."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     k, joined = min(words_per_shingle, len(words)), b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts, stops = (ends - size).tolist(), ends.tolist()
-    digest, total, n = xxhash.xxh64_digest, np.zeros(64, np.int64), len(words) - k + 1
-    for i in range(0, n, 1 << 18):
-        m = min(1 << 18, n - i)
-        raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[i : i + m], stops[i + k - 1 : i + m + k - 1])])
+    digest, n, m = xxhash.xxh64_digest, len(words) - k + 1, 1 << 18
+    return [b"".join([digest(joined[a:b], seed) for a, b in zip(starts[i : min(i + m, n)], stops[i + k - 1 : i + m + k - 1])]) for i in range(0, n, m)]
+
+
+def _folded(digests: list[bytes]) -> int:
+    total, n = np.zeros(64, np.int64), sum(map(len, digests)) // 8
+    for raw in digests:
         lanes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 8).T)
-        if m < 512:
+        if lanes.shape[1] < 512:
             total += np.unpackbits(lanes[::-1], axis=0, bitorder="little").sum(axis=1, dtype=np.int64)
         else:
             total += np.concatenate([np.bincount(lane, minlength=256) @ _BITS for lane in lanes[::-1]])
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def _distinct(digests: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), np.uint64))
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    """64 bits that name a set of shingles, as a signed number."""
+    return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "big", signed=True)
+
+
+def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
+    """64-bit fingerprint: a bit is set if over half of the shingles' XXH64 values have it; no words: 0."""
+    return _folded(_digests(text, words_per_shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words_per_shingle: int = 4) -> DataFrame:
     """(id, fp) with the fingerprint as a signed long."""
 
@@ -179,32 +196,77 @@ def link_codes(left: np.ndarray, right: np.ndarray | None, distance: int, block:
     return np.stack((codes[linked_to], codes[root[linked_to]]), axis=1)
 
 
-def components(prints: DataFrame, id: str = "doc_id", distance: int = 4, shard_size: int = 1 << 15) -> DataFrame:
-    """(id, fp, component_id): the smallest id reachable over fingerprints within ``distance``.
+def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int, block: int = 1 << 14) -> Iterator[np.ndarray]:
+    """All pairs within ``distance`` whose labels differ, as blocks of rows (name, name).
 
-    Distinct fingerprints are cut into shards of neighbouring Gray ranks. A shard's summary (the bits
-    all its members share) is the upper node of the index: pairs of shards whose shared bits differ too
-    much are never compared. Each remaining pair is one task that returns at most one link per code.
-    Shards hold about max(shard_size, 64 * sqrt(n)) codes, so their pairs grow slower than n. Equal
-    texts are one code from the start. A null id gets the smallest id of its group that is not null.
+    ``left`` and ``right`` have rows of codes in Gray order (some may be equal), names and labels; with
+    ``right`` None ``left`` is paired with itself. Pairs of nodes are pruned by their shared bits, or
+    when all members have one label.
     """
-    spark = prints.sparkSession
-    prints = materialise(prints.select(id, "fp"))
-    codes = materialise(prints.groupBy("fp").agg(F.min(id).alias("least")))
-    n = codes.count()
+    own, fan = right is None, 8
+    right = left if own else right
+    if not left.shape[1] or not right.shape[1]:
+        return
+    height = 1
+    while fan**height < max(left.shape[1], right.shape[1]):
+        height += 1
+    a = GrayIndex(left[0], height, fan)
+    b = a if own else GrayIndex(right[0], height, fan)
+    bounds = []
+    for index, labels in ((a, left[2]), (b, right[2])):
+        low, high = [labels], [labels]
+        for size in index.sizes[1:]:
+            at = np.arange(size) * fan
+            low.append(np.minimum.reduceat(low[-1], at))
+            high.append(np.maximum.reduceat(high[-1], at))
+        bounds.append((low, high))
+    (low_a, high_a), (low_b, high_b) = bounds
+    stack = [(height, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > block:
+            stack += [(level, i[block:], j[block:]), (level, i[:block], j[:block])]
+            continue
+        mixed = (low_a[level][i] != high_a[level][i]) | (low_b[level][j] != high_b[level][j]) | (low_a[level][i] != low_b[level][j])
+        i, j = i[mixed], j[mixed]
+        level -= 1
+        ones_a, ones_b = a.ones[level][i][:, :, None], b.ones[level][j][:, None, :]
+        differ = ones_a ^ ones_b
+        if level:
+            differ &= ~(ones_a ^ a.some[level][i][:, :, None]) & ~(ones_b ^ b.some[level][j][:, None, :])
+        pair, x, y = np.nonzero(np.bitwise_count(differ) <= distance)
+        i, j = i[pair] * fan + x, j[pair] * fan + y
+        fits = (i < a.sizes[level]) & (j < b.sizes[level])
+        if own:
+            fits &= (i <= j) if level else (i < j)
+        if not level:
+            i, j = i[fits], j[fits]
+            fits = left[2][i] != right[2][j]
+            yield np.stack((left[1][i[fits]], right[1][j[fits]]), axis=1)
+        elif fits.any():
+            stack.append((level, i[fits], j[fits]))
+
+
+def _shard_pairs(nodes: DataFrame, n: int, distance: int, shard_size: int) -> DataFrame:
+    """(a, b, left, right): shards of neighbouring Gray ranks whose members can be within ``distance``, one row a partition.
+
+    ``left`` and ``right`` hold the columns of ``nodes`` (longs, fp first), one after another, in Gray order.
+    """
+    spark, columns = nodes.sparkSession, nodes.columns
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    ranked = materialise(codes.select("fp", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("rank")))
+    ranked = materialise(nodes.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))))
     bounds = cuts(ranked, "rank", ceil(n / max(shard_size, 64 * sqrt(max(n, 1)))))
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
-        fp = fp[np.argsort(gray_rank(fp))]
+        order = np.argsort(gray_rank(fp))
         ones, some = np.bitwise_and.reduce(fp), np.bitwise_or.reduce(fp)
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "ones": np.array([ones]).view(np.int64), "some": np.array([some]).view(np.int64), "codes": [fp.tobytes()]})
+        raw = b"".join(rows[c].to_numpy()[order].tobytes() for c in columns)
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "ones": np.array([ones]).view(np.int64), "some": np.array([some]).view(np.int64), "codes": [raw]})
 
-    packed = ranked.select("fp", part_of(F.col("rank"), bounds).alias("shard")).groupBy("shard").applyInPandas(gather, "shard int, ones long, some long, codes binary")
+    packed = ranked.select(*columns, part_of(F.col("rank"), bounds).alias("shard")).groupBy("shard").applyInPandas(gather, "shard int, ones long, some long, codes binary")
     packed = materialise(packed)
     tops = packed.select("shard", "ones", "some").toPandas()  # one row a shard
     ones, some = tops["ones"].to_numpy().view(np.uint64), tops["some"].to_numpy().view(np.uint64)
@@ -215,6 +277,22 @@ def components(prints: DataFrame, id: str = "doc_id", distance: int = 4, shard_s
         pairs += [(int(tops["shard"][k]), int(tops["shard"][m])) for m in near]
     todo = spark.createDataFrame(pairs, "a int, b int").repartition(max(1, len(pairs)), "a", "b")
     left, right = packed.select(F.col("shard").alias("a"), F.col("codes").alias("left")), packed.select(F.col("shard").alias("b"), F.col("codes").alias("right"))
+    return todo.join(left, "a").join(right, "b").repartition(max(1, len(pairs)), "a", "b")
+
+
+def components(prints: DataFrame, id: str = "doc_id", distance: int = 4, shard_size: int = 1 << 15) -> DataFrame:
+    """(id, fp, component_id): the smallest id reachable over fingerprints within ``distance``.
+
+    Distinct fingerprints are cut into shards of neighbouring Gray ranks. A shard's summary (the bits
+    all its members share) is the upper node of the index: pairs of shards whose shared bits differ too
+    much are never compared. Each remaining pair is one task that returns at most one link per code.
+    Shards hold about max(shard_size, 64 * sqrt(n)) codes, so their pairs grow slower than n. Equal
+    texts are one code from the start. A null id gets the smallest id of its group that is not null.
+    """
+    prints = materialise(prints.select(id, "fp"))
+    codes = materialise(prints.groupBy("fp").agg(F.min(id).alias("least")))
+    n = codes.count()
+    work = _shard_pairs(codes.select("fp"), n, distance, shard_size)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,10 +300,74 @@ def components(prints: DataFrame, id: str = "doc_id", distance: int = 4, shard_s
                 edges = link_codes(np.frombuffer(x, np.uint64), None if a == b else np.frombuffer(y, np.uint64), distance)
                 yield pd.DataFrame(edges.view(np.int64), columns=["a", "b"])
 
-    work = todo.join(left, "a").join(right, "b").repartition(max(1, len(pairs)), "a", "b")
     edges = work.mapInPandas(link, "a long, b long").distinct()
     owner = codes.where("least IS NOT NULL").select("fp", "least")
     edges = edges.join(owner.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     roots = linked(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     of = codes.join(roots, codes["least"] == roots["node"], "left").select("fp", F.coalesce("root", "least").alias("component_id"))
     return prints.join(of, "fp").select(id, "fp", "component_id")
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, distance: int = 14, tight: int = 6, shard_size: int = 1 << 15) -> DataFrame:
+    """(id, component_id): the smallest id reachable over texts whose sets of shingles have Jaccard ``similarity`` or more.
+
+    Candidates are texts whose fingerprints differ in ``distance`` bits or fewer; each link is confirmed
+    on the exact sets. Equal sets are one node. Groups at ``tight`` bits are tried first, each member
+    with the least one, so that large groups of near copies are joined before all remaining candidates
+    between different groups are listed. A null id joins no texts and has no row.
+    """
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(_folded(d), _set_key(_distinct(d))) for d in (_digests(t, words_per_shingle) for t in batch["t"])]
+            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
+            yield pd.DataFrame({id: batch[id], "fp": fp, "key": np.array([k for _, k in found], np.int64)})
+
+    kind = docs.schema[id].dataType.simpleString()
+    texts = docs.where(F.col(id).isNotNull()).select(id, F.col(text).cast("string").alias("t"))
+    rows = materialise(texts.mapInPandas(keys, f"{id} {kind}, fp long, key long"))
+    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(id).alias("least")))
+    n = nodes.count()
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [_distinct(_digests(t, words_per_shingle)) for t in batch["t"]]
+            out = pd.DataFrame({"key": np.array([_set_key(s) for s in sets], np.int64), "shingles": [s.tobytes() for s in sets]})
+            yield out[out["key"] == batch["wanted"].to_numpy()]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(common > 0 and common / (len(x) + len(y) - common) >= similarity)
+            yield batch.loc[keep, ["a", "b"]]
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of node keys whose sets are similar enough."""
+        pairs = materialise(pairs)
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = wanted.join(nodes, "key").select(F.col("key").alias("wanted"), F.col("least").alias(id))
+        sets = texts.join(wanted, id).select("wanted", "t").mapInPandas(shingles, "key long, shingles binary")
+        sets = materialise(sets.dropDuplicates(["key"]))
+        x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+        return materialise(pairs.join(x, "a").join(y, "b").mapInPandas(measure, "a long, b long"))
+
+    stars = components(nodes.select("key", "fp"), "key", tight).where("key <> component_id")
+    sure = confirmed(stars.select(F.col("key").alias("a"), F.col("component_id").alias("b")))
+    roots = linked(sure)
+    labelled = nodes.join(roots, nodes["key"] == roots["node"], "left").select("fp", "key", F.coalesce("root", "key").alias("label"))
+
+    def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["left"], batch["right"]):
+                x, y = (np.frombuffer(raw, np.uint64).reshape(3, -1) for raw in (x, y))
+                for found in filter(len, near_pairs(x, None if a == b else y, distance)):
+                    yield pd.DataFrame(found.view(np.int64), columns=["a", "b"])
+
+    rest = confirmed(_shard_pairs(labelled, n, distance, shard_size).mapInPandas(list_pairs, "a long, b long"))
+    owner = nodes.select("key", "least")
+    edges = sure.union(rest).join(owner.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(owner.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
+    roots = linked(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    of = nodes.join(roots, nodes["least"] == roots["node"], "left").select("key", F.coalesce("root", "least").alias("component_id"))
+    return rows.join(of, "key").select(id, "component_id")
