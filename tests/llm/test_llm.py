@@ -187,6 +187,21 @@ def test_merge_dropout_side_by_side_equals_the_heap():
     assert [coder.decode(np.array(x, "<u4")) for x in alone] == texts
 
 
+def test_merge_dropout_draws_for_every_occurrence():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coder, plain = DropoutEncoder(path, 0.1), DropoutEncoder(path, 0.0)
+    word = "\u2581q"  # one merge
+    assert len(plain._plain_many([word])[0][1]) == 1
+    text = " ".join(["q"] * 20_000)
+    shares = [(len(coder.encode(text, key)) - 20_000) / 20_000 for key in range(3)]
+    assert all(0.09 < x < 0.11 for x in shares)
+    texts = [LONG[:3_000], "a \u2581 na\u00efve \u732b\U0001f642x\n\n" + "ab" * 50 + " internationalisation" * 50]
+    for key, t in enumerate(texts):
+        alone = [coder._segment(w, int(n)) if w else coder.mark for w, n in zip(*coder._words(t, key))]
+        assert coder.encode(t, key).tobytes() == b"".join(alone)
+        assert coder.decode(coder.encode(t, key)) == t
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer

@@ -9,18 +9,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = "▁"
-#: Segmentations kept per worker in each of two generations: when the young one is full it becomes the
-#: old one, and what is asked for again comes back from there. This changes no result.
+#: Plain segmentations kept per worker in each of two generations: when the young one is full it becomes
+#: the old one, and what is asked for again comes back from there. This changes no result.
 _STORED = 500_000
 _CODERS: dict[tuple, DropoutEncoder] = {}
+_Plain = tuple[bytes, np.ndarray]
+_NO_SPANS = np.zeros((0, 2), np.int64)
 #: Words shorter than this merge side by side and are kept; texts are taken this many characters at a time.
 _SHORT, _BLOCK = 64, 1 << 20
 _NONE = np.iinfo(np.int32).max
+_WHOLE = 2**64 - 1
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n")
 
 
@@ -36,6 +38,13 @@ def _draw(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (_mixed(keys ^ span) >> np.uint64(32)).astype(np.int64)
 
 
+def _draw_one(key: int, start: int, end: int) -> int:
+    """``_draw`` of one candidate."""
+    x = key ^ ((start << 32 | end) * 0x9E3779B97F4A7C15 & _WHOLE)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WHOLE
+    return ((x ^ x >> 27) * 0x94D049BB133111EB & _WHOLE) >> 32
+
+
 def _slots(pairs: np.ndarray, slots: int) -> np.ndarray:
     hashed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (hashed >> np.uint64(65 - slots.bit_length())).astype(np.int64)
@@ -45,18 +54,18 @@ class DropoutEncoder:
     """Encodes with a public BPE vocabulary whose pieces carry merge scores and fall back to bytes.
 
     Symbols are merged by an agenda: best score first, then leftmost. A candidate taken from the
-    agenda is dropped for good when a hash of (seed, variant, word, place, piece) falls under ``dropout``.
-    Each word of a text gets one of ``variants`` by a hash of the seed, the text's key and the word's
-    number, so one word is segmented in varied ways, the same on every run. With dropout 0 the ids are
-    those of the vocabulary's own encoder. A literal U+2581 is written as bytes, so that every text
-    decodes to itself.
+    agenda is dropped for good when a hash of (seed, text's key, word's number, place) falls under
+    ``dropout``, so every occurrence of a word draws each of its candidates, the same on every run. Where
+    none of the merges of the plain segmentation is dropped, that segmentation is taken from a store.
+    With dropout 0 the ids are those of the vocabulary's own encoder. A literal U+2581 is written as
+    bytes, so that every text decodes to itself.
     """
 
-    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 1, variants: int = 4):
+    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 1):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.dropout, self.seed, self.variants = int(dropout * 2**32), seed, variants if dropout else 1
+        self.dropout, self.seed = int(dropout * 2**32), seed
         self.packed: dict[str, bytes] = {}
         scores: dict[str, float] = {}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -72,26 +81,21 @@ class DropoutEncoder:
         self.ranks = {piece: order[score] for piece, score in scores.items()}
         if any(_SPACE in p.lstrip(_SPACE) or ("\n" in p and p != "\n") for p in scores):
             raise ValueError("a piece reaches over a word's end")
-        self.store: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.stored = 0
+        #: of a word: ids as little-endian bytes, and starts and ends of its merges
+        self.store: dict[str, _Plain] = {}
+        self.old: dict[str, _Plain] = {}
         self.mark = np.array([self.bytes[b] for b in _SPACE.encode()], "<u4").tobytes()
-        for store in self.store:
-            store[""] = self.mark
         self._index_pairs()
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word, (self.seed * 0x9E3779B97F4A7C15 + variant) % 2**64)
-
-    def _segment(self, word: str, variant: int) -> bytes:
-        """Ids of one word as little-endian bytes, by a heap.
+    def _segment(self, word: str, number: int | None, taken: list[tuple[int, int]] | None = None) -> bytes:
+        """Ids of one word as little-endian bytes, by a heap; with number None nothing is dropped.
 
         A candidate is one number: rank of its piece, start and end. Two neighbours can cover a span in
         one way only, so the span says which symbols it joins, and it is live while they still stand there.
         """
-        ranks, drop = self.ranks, self.dropout
+        ranks, drop = self.ranks, 0 if number is None else self.dropout
         n = len(word)
-        shift, key = n.bit_length(), self._key(word, variant)
+        shift = n.bit_length()
         mask = (1 << shift) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n))  # of a symbol's start; 0 where none starts any more
         agenda = [(r << shift | i) << shift | i + 2 for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -100,9 +104,11 @@ class DropoutEncoder:
             candidate = heapq.heappop(agenda)
             end, i = candidate & mask, candidate >> shift & mask
             j = after[i]
-            if not j or j >= end or after[j] != end or (drop and int(_draw(np.array([key], np.uint64), np.array([i]), np.array([end]))[0]) < drop):
+            if not j or j >= end or after[j] != end or (drop and _draw_one(number, i, end) < drop):
                 continue
             after[i], after[j], before[end] = end, 0, i
+            if taken is not None:
+                taken.append((i, end))
             if end < n and (r := ranks.get(word[i : after[end]])) is not None:
                 heapq.heappush(agenda, (r << shift | i) << shift | after[end])
             if i and (r := ranks.get(word[before[i] : end])) is not None:
@@ -114,30 +120,67 @@ class DropoutEncoder:
         return b"".join(ids)
 
     def _segment_many(self, asked: list[tuple[str, int]]) -> list[bytes]:
-        """``_segment`` of many short words: those of one length work off their agendas side by side.
+        """``_segment`` of many words and numbers: short ones of one length work off their agendas side by side.
 
         A word is a column, its agenda the numbers (rank, start) of that column. Words with a character
         that is no piece, or as long as ``_SHORT``, are left to the heap.
         """
         out: list[bytes] = [b""] * len(asked)
-        size = np.fromiter((len(w) for w, _ in asked), np.int64, len(asked))
-        chars = self.chars[np.frombuffer("".join(w for w, _ in asked).encode("utf-32-le"), np.uint32)]
+        apart, groups = self._columns([w for w, _ in asked])
+        for k in apart:
+            out[k] = self._segment(*asked[k])
+        for chosen, symbols in groups:
+            keys = np.fromiter((asked[k][1] for k in chosen), np.uint64, len(chosen))
+            for k, ids in zip(chosen, self._cut(*self._merge(symbols, keys))):
+                out[k] = ids
+        return out
+
+    def _plain_many(self, words: list[str]) -> list[_Plain]:
+        """Segmentations without dropout, each with its merges."""
+        out: list[_Plain] = [(b"", _NO_SPANS)] * len(words)
+        apart, groups = self._columns(words)
+        for k in apart:
+            taken: list[tuple[int, int]] = []
+            ids = self._segment(words[k], None, taken)
+            out[k] = ids, np.array(taken, np.int64).reshape(-1, 2)
+        for chosen, symbols in groups:
+            taken_many: list[np.ndarray] = []
+            merged = self._cut(*self._merge(symbols, None, taken_many))
+            taken_at = np.concatenate(taken_many or [np.zeros((0, 3), np.int64)])
+            taken_at = taken_at[np.argsort(taken_at[:, 0], kind="stable")]
+            ends = np.searchsorted(taken_at[:, 0], np.arange(1, len(chosen) + 1)).tolist()
+            at = 0
+            for k, ids, end in zip(chosen, merged, ends):
+                out[k], at = (ids, taken_at[at:end, 1:].copy()), end
+        return out
+
+    def _columns(self, words: list[str]) -> tuple[list[int], list[tuple[list[int], np.ndarray]]]:
+        """Which words are left to the heap; the others by length, with a column of symbols each."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        if not len(words):
+            return [], []
+        chars = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         first = np.cumsum(size) - size
         apart = (np.minimum.reduceat(chars, first) < 0) | (size >= _SHORT)
-        for k in np.flatnonzero(apart).tolist():
-            out[k] = self._segment(*asked[k])
+        groups = []
         for n in np.unique(size[~apart]).tolist():
             chosen = np.flatnonzero(~apart & (size == n))
-            keys = np.fromiter((self._key(*asked[k]) for k in chosen.tolist()), np.uint64, len(chosen))
-            symbols, alive = self._merge(chars[first[chosen] + np.arange(n)[:, None]], keys)
-            raw, ends = symbols.T[alive.T].astype("<u4").tobytes(), np.cumsum(alive.sum(axis=0)) * 4
-            at = 0
-            for k, end in zip(chosen.tolist(), ends.tolist()):
-                out[k], at = raw[at:end], end
-        return out
+            groups.append((chosen.tolist(), chars[first[chosen] + np.arange(n)[:, None]]))
+        return np.flatnonzero(apart).tolist(), groups
+
+    @staticmethod
+    def _cut(symbols: np.ndarray, alive: np.ndarray) -> Iterator[bytes]:
+        """Ids of each column."""
+        raw, at = symbols.T[alive.T].astype("<u4").tobytes(), 0
+        for end in (np.cumsum(alive.sum(axis=0)) * 4).tolist():
+            yield raw[at:end]
+            at = end
 
-    def _merge(self, symbols: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges the columns of ``symbols``; returns the symbols and which of their places still start one."""
+    def _merge(self, symbols: np.ndarray, keys: np.ndarray | None, taken: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the columns of ``symbols``; returns the symbols and which of their places still start one.
+
+        With keys None nothing is dropped. ``taken`` gets rows (column, start, end) of what is merged.
+        """
         n, width = symbols.shape
         symbol = symbols.astype(np.int64).ravel()  # place i of column c is at i * width + c
         after = np.repeat(np.arange(1, n + 1), width)
@@ -157,11 +200,13 @@ class DropoutEncoder:
             flat[here] = _NONE
             there = after[here] * width + columns
             end = after[there]
-            if self.dropout:
+            if keys is not None and self.dropout:
                 go = _draw(keys[columns], i, end) >= self.dropout
                 i, here, there, end, at = i[go], here[go], there[go], end[go], columns[go]
             else:
                 at = columns
+            if taken is not None:
+                taken.append(np.stack((at, i, end), axis=1))
             symbol[here] = self._joined(symbol[here], symbol[there])[1]
             alive[there], flat[there] = False, _NONE
             after[here] = end
@@ -220,33 +265,46 @@ class DropoutEncoder:
             found = np.array([self.bytes[b] for b in symbol.encode()], "<u4").tobytes()
         return found
 
-    def _words(self, text: str, key: int) -> tuple[list[str], list[int]]:
-        """Words of the text and the variant of each; a literal U+2581 is the word "", which has no variants."""
+    def _words(self, text: str, key: int) -> tuple[list[str], np.ndarray]:
+        """Words of the text and a number of 64 bits for each; a literal U+2581 is the word ""."""
         words: list[str] = []
         for k, part in enumerate(text.split(_SPACE)):
             part = part.replace(" ", _SPACE)
             if k:
                 words.append("")
             words += _WORD.findall(part if k else _SPACE + part)
-        if self.variants == 1:
-            return words, [0] * len(words)
         number = np.arange(len(words), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
-        return words, ((_mixed(number) >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-
-    def _recall(self, words: list[str], variants: list[int], rest: dict[tuple[str, int], bytes | None]) -> list[bytes | None]:
-        """Stored segmentations; words without one are put into ``rest``."""
-        store = self.store
-        found = [store[v].get(w) for w, v in zip(words, variants)]
+        return words, _mixed(number)
+
+    def _recall(self, words: list[str]) -> list[_Plain]:
+        """Plain segmentations of different words, stored ones first."""
+        if len(self.store) >= _STORED:
+            self.old, self.store = self.store, {}
+        store, rest = self.store, []
+        found = [store.get(w) for w in words]
         for k in [k for k, f in enumerate(found) if f is None]:
-            w, v = words[k], variants[k]
-            old = self.old[v].get(w)
-            if old is None:
-                rest[w, v] = None
+            if not words[k]:
+                found[k] = self.mark, _NO_SPANS
+            elif (old := self.old.get(words[k])) is not None:
+                found[k] = store[words[k]] = old
             else:
-                found[k] = store[v][w] = old
-                self.stored += 1
+                rest.append(k)
+        for k, plain in zip(rest, self._plain_many([words[k] for k in rest])):
+            found[k] = plain
+            if len(words[k]) < _SHORT:
+                store[words[k]] = plain
         return found
 
+    def _dropped(self, plain: list[_Plain], of: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Places of the occurrences that drop a merge of their plain segmentation ``plain[of]``."""
+        spans = np.concatenate([p[1] for p in plain])
+        count = np.fromiter((len(p[1]) for p in plain), np.int64, len(plain))
+        first, count = (np.cumsum(count) - count)[of], count[of]
+        who = np.repeat(np.arange(len(of)), count)
+        at = np.arange(len(who)) + np.repeat(first - (np.cumsum(count) - count), count)
+        drop = _draw(numbers[who], spans[at, 0], spans[at, 1]) < self.dropout
+        return np.unique(who[drop])
+
     def encode_many(self, texts: list[str], keys: list[int]) -> Iterator[np.ndarray]:
         """Ids of each text in turn, about ``_BLOCK`` characters at a time; an empty text has none."""
         at = 0
@@ -255,24 +313,22 @@ class DropoutEncoder:
             while at < len(texts) and (at == first or chars + len(texts[at]) <= _BLOCK):
                 chars += len(texts[at])
                 at += 1
-            if self.stored >= _STORED:
-                self.old, self.store, self.stored = self.store, [{} for _ in self.store], 0
-                for store in self.store:
-                    store[""] = self.mark
-            rest: dict[tuple[str, int], bytes | None] = {}
-            block = []
-            for text, key in zip(texts[first:at], keys[first:at]):
-                words, variants = self._words(text, key) if text else ([], [])
-                block.append((words, variants, self._recall(words, variants, rest)))
-            if rest:
-                asked = list(rest)
-                for (w, v), ids in zip(asked, self._segment_many(asked)):
-                    rest[w, v] = ids
-                    if len(w) < _SHORT:
-                        self.store[v][w] = ids
-                        self.stored += 1
-            for words, variants, found in block:
-                yield np.frombuffer(b"".join([rest[w, v] if f is None else f for w, v, f in zip(words, variants, found)]), "<u4")
+            block = [self._words(text, key) if text else ([], np.zeros(0, np.uint64)) for text, key in zip(texts[first:at], keys[first:at])]
+            words = [w for found, _ in block for w in found]
+            place: dict[str, int] = {}
+            of = [place.setdefault(w, len(place)) for w in words]
+            plain = self._recall(list(place))
+            ids = [plain[k][0] for k in of]
+            if words and self.dropout:
+                numbers = np.concatenate([n for _, n in block])
+                changed = self._dropped(plain, np.array(of), numbers)
+                asked = list(zip([words[k] for k in changed.tolist()], numbers[changed].tolist()))
+                for k, other in zip(changed.tolist(), self._segment_many(asked)):
+                    ids[k] = other
+            start = 0
+            for found, _ in block:
+                yield np.frombuffer(b"".join(ids[start : start + len(found)]), "<u4")
+                start += len(found)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of the text; an empty text has none."""
@@ -288,10 +344,10 @@ def _coder(*settings) -> DropoutEncoder:
     return _CODERS.get(settings) or _CODERS.setdefault(settings, DropoutEncoder(*settings))
 
 
-def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text; null counts as empty and has no ids."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(model_file, dropout, seed, variants)
+        coder = _coder(model_file, dropout, seed)
         for batch in batches:
             ids = [x.astype(np.int32) for x in coder.encode_many([t or "" for t in batch["t"]], batch["k"].tolist())]
             yield pd.DataFrame({id: batch[id], "ids": ids})
@@ -312,12 +368,12 @@ def decode_documents(encoded: DataFrame, model_file: str, id: str = "doc_id", id
     return encoded.select(id, ids).mapInPandas(run, f"{id} {kind}, text string")
 
 
-def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, variants: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_ids, ids_crc32, lossless, decoded_sha256): digests of encoding and decoding in one pass."""
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _coder(model_file, dropout, seed, variants)
+        coder = _coder(model_file, dropout, seed)
         for batch in batches:
             out, texts = [], [t or "" for t in batch["t"]]
             for i, t, ids in zip(batch[id], texts, coder.encode_many(texts, batch["k"].tolist())):
