@@ -1,4 +1,4 @@
-"""Line dedup over a suffix array of line ids; DataFrame functions only."""
+"""Line dedup by names of neighbouring lines, without a suffix array; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -29,12 +29,12 @@ def _joined(names: Column, apart: int) -> Column:
 def remove_later_runs(docs: DataFrame, keep: list[str] | None = None, min_lines: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Deletes every line covered by a run of ``min_lines`` lines that also starts earlier.
 
-    "Earlier" is a smaller id, or an earlier line of the same row. The suffixes of all line-id
-    sequences are named to the depth of the shortest run asked for (``names_by_doubling``, inside each
-    row), and an interval of suffixes whose common prefix reaches that depth is a group of equal
-    names. Of each interval the first suffix stays and the rest mark their lines; marks of
-    neighbouring suffixes join into the maximal repeated runs. Deeper names would only split an
-    interval further: a longer run is the union of its shortest ones, so the deleted lines are the same.
+    "Earlier" is a smaller id, or an earlier line of the same row. Each place of a row is named by a hash
+    of the ``min_lines`` lines from it on (``names_by_doubling``, inside the row); neither a suffix order
+    nor common prefixes are computed. Of each group of equal names the first place stays and the rest
+    mark their lines; neighbouring marks join into runs. A longer run is the union of its shortest ones,
+    so deeper names would delete the same lines. A repeated run of fewer than ``min_lines`` lines stays,
+    also when it is a whole text.
 
     Lines end at "\\n"; runs of blank lines only do not count. Rows with equal ids are ordered by text;
     rows that are equal in both stand side by side, so each is earlier or later in a fixed sense of the
