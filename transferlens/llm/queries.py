@@ -12,10 +12,13 @@ from transferlens.llm.kd_search import top_k
 from transferlens.llm.language import LanguageModel
 from transferlens.llm.line_runs import remove_later_runs
 from transferlens.llm.merge_dropout import round_trip
+from transferlens.llm.periodic_runs import with_runs
 from transferlens.llm.pitman_yor import PitmanYorModel
 from transferlens.llm.residual_packing import pack, token_pieces
 from transferlens.llm.rules import RuleEnsemble, with_statistics
 from transferlens.llm.spotsigs import likeness, printed, with_next, with_signatures
+from transferlens.llm.whitening import by_component, whiten
+from transferlens.llm.window_doubling import remove_repeated_windows
 
 
 def tokenizer_file(name: str) -> str:
@@ -131,3 +134,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op11_whitened_vectors")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(*whiten(table(spark, sf_dir, "embeddings")))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """Of each document with h % 10 = 0 (h: crc32 of the id as text) the words from a on repeat with period p:
+    a = g % n and p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), n words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), (h % 10 == 0).alias("_some"), F.floor(h / 10).alias("_g"))
+    words = F.when(F.col("_some"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = rows.withColumn("_w", words).withColumn("_n", F.size("_w"))
+    a = F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int")
+    rows = rows.withColumn("_a", a).withColumn("_p", (F.floor((F.col("_n") - F.col("_a")) / (F.col("_g") % 8 + 3)) + 1).cast("int"))
+    moved = F.transform("_w", lambda w, i: F.get("_w", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    return rows.select("doc_id", F.when(F.col("_n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_runs(made_periodic(table(spark, sf_dir, "documents")), to="found").select("doc_id", "found.*")
+    # Greatest length, then smallest start, then smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), lines.alias("lines"), "collapsed")
+    rows = rows.select("doc_id", "n_runs", (-F.col("b")["s"]).alias("start"), F.col("b")["n"].alias("length"), (-F.col("b")["p"]).alias("period"), "lines", "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_window_doubling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest")
+
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), digest)
