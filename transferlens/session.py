@@ -58,11 +58,23 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder as Parquet and read them back.
 
     Unlike a checkpoint the table stays columnar, so later steps prune columns and push filters
-    down, and Spark knows its size.
+    down, and Spark knows its size. ``discard`` deletes the written table again.
     """
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_step = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for these very tables, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_written_step", None)
+        if path:
+            java_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            java_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(java_path, True)
+            df._written_step = None
 
 
 def cores(spark: SparkSession) -> int:
