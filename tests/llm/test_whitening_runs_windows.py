@@ -11,7 +11,7 @@ import pytest
 from transferlens.llm import queries as q
 from transferlens.llm.periodic_runs import maximal_repetitions, runs_of_texts, with_runs
 from transferlens.llm.whitening import by_component, whiten
-from transferlens.llm.window_doubling import remove_repeated_windows, window_names
+from transferlens.llm.window_doubling import remove_repeated_windows, window_names, word_hashes
 
 BIG = 2**53
 
@@ -261,3 +261,18 @@ def test_names_of_windows():
             by_name.setdefault(name, set()).add(tuple(words[i : i + width].tolist()))
         assert all(len(s) == 1 for s in by_name.values()) and len(by_name) == len({w for s in by_name.values() for w in s})
     assert len(window_names(words[:3], 13)) == 0
+
+
+def test_hashes_of_words(monkeypatch):
+    from transferlens.llm import window_doubling
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab\u00a0\x85\u4e2d") for _ in range(rng.choice([1, 2, 5, 70, 200]))) for _ in range(3000)]
+    raw = "".join(w + rng.choice([" ", "\t\n", "\x0b", "\r", "\x0c  "]) for w in words).encode()
+    monkeypatch.setattr(window_doubling, "_CHUNK", 100)
+    starts, first, second = word_hashes(raw)
+    assert len(starts) == len(words) and [raw[s : s + 3] for s in starts] == [(w.encode() + raw[s + len(w.encode()) :][:3])[:3] for s, w in zip(starts, words)]
+    monkeypatch.setattr(window_doubling, "_CHUNK", 1 << 20)
+    assert all(np.array_equal(a, b) for a, b in zip((starts, first, second), word_hashes(raw)))  # wherever a word lies
+    assert len(set(first.tolist())) == len(set(second.tolist())) == len(set(words)) == len(set(zip(words, first.tolist())))
+    assert len(word_hashes(b"")[0]) == len(word_hashes(b" \n ")[0]) == 0

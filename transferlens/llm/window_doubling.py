@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from contextlib import ExitStack
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,21 +14,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transferlens.llm.common import bucketed, shards
-from transferlens.session import materialise
+from transferlens.session import discard, materialise
 
-WORD = re.compile(r"[^ \t-\r]+")
+#: Bytes of text that are hashed together; longer words than the second are hashed one by one.
+_CHUNK, _LONG_WORD = 1 << 18, 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TABLES = np.random.default_rng(20_240_601).integers(0, 2**64, (2, 256), dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class _Vocabulary(dict):
-    """Numbers words and keeps the 128-bit hash of each."""
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    def __init__(self):
-        self.digests: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass")))
-        return number
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, first 64-bit hash, second one) of the words of a text, from running sums over its bytes.
+
+    The running sum weights byte i with base^i; what it gains over a word, times base^-start, is the word's
+    polynomial hash. Such hashes are weak for long words of a special form, so those get another one.
+    """
+    out = []
+    at = 0
+    while at < len(raw):
+        end = min(at + _CHUNK, len(raw))
+        while end < len(raw) and not _SPACE[raw[end]]:  # words are not cut
+            end += 1
+        text = np.frombuffer(raw, np.uint8, end - at, at)
+        inside = np.append(~_SPACE[text], False)
+        edges = np.flatnonzero(inside != np.append(False, inside[:-1]))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            hashes, size = [], 1 << len(text).bit_length()
+            for table, base in zip(_TABLES, _BASES):
+                with np.errstate(over="ignore"):
+                    sums = np.append(np.uint64(0), np.cumsum(table[text] * _powers(base, size)[: len(text)], dtype=np.uint64))
+                    h = (sums[ends] - sums[starts]) * _powers(pow(base, -1, 2**64), size)[starts]
+                hashes.append(_joined(h, (ends - starts).astype(np.uint64)))
+            for i in np.flatnonzero(ends - starts > _LONG_WORD):
+                digest = xxhash.xxh3_128_digest(raw[at + int(starts[i]) : at + int(ends[i])])
+                hashes[0][i], hashes[1][i] = np.frombuffer(digest, np.uint64)
+            out.append((starts + at, *hashes))
+        at = end
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -99,18 +133,14 @@ class _Block:
     def __init__(self, rows: pd.DataFrame, width: int):
         rows = ordered(rows)
         self.ids = rows["_id"].to_numpy("int64")
-        vocabulary = _Vocabulary()
-        lists = [
-            np.fromiter(map(vocabulary.__getitem__, WORD.findall(t) if not skip else []), np.int64)
-            for t, skip in zip(rows["_text"], rows["_null"])
-        ]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.zeros(0, np.int64), *lists])
-        digests = np.frombuffer(b"".join(vocabulary.digests), np.uint64).reshape(-1, 2)
-        words, checks = digests[flat, 0], digests[flat, 1]
+        texts = [b"" if skip else t for t, skip in zip(rows["_text"], rows["_null"])]
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        starts, words, checks = word_hashes(b"\n".join(texts))
+        bounds = np.searchsorted(starts, begins)
+        sizes = np.diff(bounds)
         first = np.cumsum(sizes) - sizes
         number = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(flat)) - first[number]
+        place = np.arange(len(words)) - first[number]
         whole = place + width <= sizes[number]  # windows that end in their document
         self.at = np.flatnonzero(whole)
         self.number, self.place = number[self.at], place[self.at]
@@ -154,14 +184,13 @@ def _flags(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"], "block": rows["block"], "blob": [_packed(np.packbits(s), np.array([len(s)])) for s in shared]})
 
 
-def _told(names: np.ndarray, number_ids: np.ndarray, block: int, parts: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
-    """Messages (part, block, blob) on a block's distinct names; order of the names, starts, several documents."""
+def _told(names: np.ndarray, number_ids: np.ndarray, block: int, parts: int) -> list[tuple]:
+    """Messages (part, block, blob) on a block's distinct names: which are there, which of them in several documents."""
     order = np.argsort(names, kind="stable")
     start = _starts(names[order])
     doc, distinct = number_ids[order], names[order][start]
     several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(start) else np.zeros(0, bool)
-    out = [(p, block, _packed(distinct[s], np.packbits(several[s]))) for p, s in _by_part(_part(distinct, parts), parts)]
-    return out, order, start, several
+    return [(p, block, _packed(distinct[s], np.packbits(several[s]))) for p, s in _by_part(_part(distinct, parts), parts)]
 
 
 def _answers(flags: pd.DataFrame) -> np.ndarray:
@@ -173,6 +202,7 @@ def _answers(flags: pd.DataFrame) -> np.ndarray:
 
 
 _MESSAGE = "part int, block int, blob binary"
+_STATE = "part int, block int, n long, blob binary"
 
 
 def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], width: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,8 +220,9 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
        distinct key to the part of its range, which sends back one bit: in two documents or not.
     3. The width: windows with a repeated key are extended to it, by 96-bit names. Blocks send each distinct
        name with its smallest id, however many copies they hold, and get back the smallest id of all.
-    4. Twice the length, again and again: a window is kept if it and its right neighbour repeat at the
-       length before, under a name made of their two names. It ends when nothing repeats.
+    4. Twice the length, again and again: a window stays if it and its right neighbour repeat at the length
+       before, and so does the name made of their two names. It ends when nothing repeats. A block keeps the
+       windows that are left, in a table laid out by block that replaces the one of the length before.
     5. Marks return to the blocks, which cut the words.
     """
     if width < 2:
@@ -200,34 +231,34 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(
         F.pmod(F.xxhash64(id), F.lit(parts)).cast("int").alias("_block"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("_id"),
-        F.col(id).isNull().alias("_null"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"),
+        F.col(id).isNull().alias("_null"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text"),
     )
 
     def tell_keys(rows: pd.DataFrame) -> pd.DataFrame:
         block = _Block(rows, width)
         keys = block.keys()
         new = np.append(True, (np.diff(keys.view(np.int64)) != 0) | (np.diff(block.number) != 0))[: len(keys)]
-        told, *_ = _told(keys[new], block.ids[block.number[new]], int(rows["_block"].iloc[0]), parts)
+        told = _told(keys[new], block.ids[block.number[new]], int(rows["_block"].iloc[0]), parts)
         return pd.DataFrame(told, columns=["part", "block", "blob"])
 
+    def candidates(rows: pd.DataFrame, flags: pd.DataFrame) -> tuple:
+        """A block's windows with a repeated key, by name: (ids, number, place, starts of equal names, names, checks)."""
+        block = _Block(rows, width)
+        keys, answers = block.keys(), _answers(flags)
+        some = answers[np.searchsorted(np.unique(keys), keys)] if len(answers) else np.zeros(len(keys), bool)
+        names, checks = block.names(some)
+        order = np.lexsort((checks, names))
+        names, checks = names[order], checks[order]
+        return block.ids, block.number[some][order], block.place[some][order], _starts(names, checks), names, checks
+
     def tell_names(rows: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(flags):
-            own, block = int(rows["_block"].iloc[0]), _Block(rows, width)
-            keys, answers = block.keys(), _answers(flags)
-            some = answers[np.searchsorted(np.unique(keys), keys)]
-            if some.any():
-                names, checks = block.names(some)
-                number, place = block.number[some], block.place[some]
-                order = np.lexsort((checks, names))
-                names, checks, number, place = names[order], checks[order], number[order], place[order]
-                start = _starts(names, checks)
-                least = np.minimum.reduceat(block.ids[number], start)
-                distinct, check = names[start], checks[start]
-                for p, s in _by_part(_part(distinct, parts), parts):
-                    out.append((p, own, _packed(distinct[s], check[s], least[s])))
-                size = np.diff(np.append(start, len(names))).astype(np.int32)
-                out.append((-1, own, _packed(block.ids, number.astype(np.int32), place.astype(np.int32), size, distinct)))
+            own = int(rows["_block"].iloc[0])
+            ids, number, _, start, names, checks = candidates(rows, flags)
+            if len(start):
+                least, distinct, check = np.minimum.reduceat(ids[number], start), names[start], checks[start]
+                out = [(p, own, _packed(distinct[s], check[s], least[s])) for p, s in _by_part(_part(distinct, parts), parts)]
         return pd.DataFrame(out, columns=["part", "block", "blob"])
 
     def least_ids(rows: pd.DataFrame) -> pd.DataFrame:
@@ -243,43 +274,38 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
         out = [_packed(np.packbits(s), np.array([len(s)]), x[s]) for s, x in zip(np.split(several, ends), np.split(least, ends))]
         return pd.DataFrame({"part": rows["part"], "block": rows["block"], "blob": out})
 
-    def mark(state: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Row -1: windows to remove. Row -2: what is extended further (number, place, name) and the lengths reached."""
+    def mark(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Part -1: windows to remove. Part -2: the repeated windows."""
         out: list[tuple] = []
-        if len(state):
-            own = int(state["block"].iloc[0])
-            ids, number, place, size, distinct = _unpacked(state["blob"].iloc[0], "i8", "i4", "i4", "i4", "u8")
-            start = np.cumsum(size) - size
-            doc = ids[number]
-            least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
-            several, found = [], []
-            for blob in told.sort_values("part")["blob"]:
-                bits, n, x = _unpacked(blob, "u1", "i8", "i8")
-                several.append(np.unpackbits(bits, count=int(n[0])).astype(bool))
-                found.append(x)
-            several = np.concatenate(several)
-            repeated = several | (least != most)
-            least = least.copy()
-            least[several] = np.concatenate(found)
-            gone = doc > np.repeat(least, size)
-            out.append((-1, own, _packed(number[gone], place[gone])))
-            on = np.repeat(repeated, size)
-            out.append((-2, own, _state(ids, number[on], place[on], np.repeat(distinct, size)[on], np.zeros(len(ids), np.int64), width)))
-        return pd.DataFrame(out, columns=["part", "block", "blob"])
+        if len(rows) and len(told):
+            own, replies = int(rows["_block"].iloc[0]), told[told["kind"] == 1].sort_values("part")["blob"]
+            ids, number, place, start, names, _ = candidates(rows, told[told["kind"] == 0])
+            if len(start):
+                doc, size = ids[number], np.diff(np.append(start, len(number)))
+                least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+                several, found = [], []
+                for blob in replies:
+                    bits, n, x = _unpacked(blob, "u1", "i8", "i8")
+                    several.append(np.unpackbits(bits, count=int(n[0])).astype(bool))
+                    found.append(x)
+                several = np.concatenate(several)
+                on = np.repeat(several | (least != most), size)
+                least[several] = np.concatenate(found)
+                gone = doc > np.repeat(least, size)
+                out.append((-1, own, 0, _packed(number[gone].astype(np.int32), place[gone].astype(np.int32))))
+                here = number[on] << 32 | place[on]
+                order = np.argsort(here)
+                out.append((-2, own, len(here), _state(ids, here[order], names[on][order], np.zeros(len(ids), np.int32), width)))
+        return pd.DataFrame(out, columns=["part", "block", "n", "blob"])
 
     def extend(length: int):
         def run(batches):
             for batch in batches:
-                out: list[tuple] = []
+                told = []
                 for own, blob in zip(batch["block"], batch["blob"]):
-                    ids, number, place, names, reached = _unpacked(blob, "i8", "i4", "i4", "u8", "i8")
-                    here = number.astype(np.int64) << 32 | place
-                    right = np.searchsorted(here, here + length)
-                    both = here[np.minimum(right, len(here) - 1)] == here + length if len(here) else np.zeros(0, bool)
-                    number, place, names = number[both], place[both], _joined(names[both], names[right[both]])
-                    told, *_ = _told(names, ids[number], int(own), parts)
-                    out += [*told, (-2, int(own), _packed(ids, number, place, names, reached))]
-                yield pd.DataFrame(out, columns=["part", "block", "blob"])
+                    ids, here, names, _ = _doubled(blob, length)
+                    told += _told(names, ids[here >> 32], int(own), parts)
+                yield pd.DataFrame(told, columns=["part", "block", "blob"])
 
         return run
 
@@ -287,10 +313,10 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
         def run(state: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
             out: list[tuple] = []
             if len(state):
-                ids, number, place, names, reached = _unpacked(state["blob"].iloc[0], "i8", "i4", "i4", "u8", "i8")
-                on = _answers(flags)[np.searchsorted(np.unique(names), names)] if len(names) else np.zeros(0, bool)
-                out.append((-2, int(state["block"].iloc[0]), _state(ids, number[on], place[on], names[on], reached, length)))
-            return pd.DataFrame(out, columns=["part", "block", "blob"])
+                ids, here, names, reached = _doubled(state["blob"].iloc[0], length)
+                on = _answers(flags)[np.searchsorted(np.unique(names), names)] if len(flags) else np.zeros(len(names), bool)
+                out.append((-2, int(state["block"].iloc[0]), int(on.sum()), _state(ids, here[on], names[on], reached, 2 * length)))
+            return pd.DataFrame(out, columns=["part", "block", "n", "blob"])
 
         return run
 
@@ -302,13 +328,13 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
             if part == -1:
                 number, place = _unpacked(blob, "i4", "i4")
             else:
-                reached = _unpacked(blob, "i8", "i4", "i4", "u8", "i8")[4]
+                reached = _unpacked(blob, "i8", "i8", "u8", "i4")[3]
         order = np.argsort(number, kind="stable")
         number, place = number[order], place[order]
         bounds = np.searchsorted(number, np.arange(len(rows) + 1))
         kept, n_words, n_removed = [], [], []
         for i, t in enumerate(rows["_text"]):
-            words = WORD.findall(t)
+            words = t.split()  # of bytes, at exactly these white-space signs
             n_words.append(len(words))
             at = place[bounds[i] : bounds[i + 1]]
             if len(at):
@@ -317,34 +343,46 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
                 np.add.at(change, at + width, -1)
                 words = [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
             n_removed.append(n_words[-1] - len(words))
-            kept.append(" ".join(words))
+            kept.append(b" ".join(words))
         out = rows[["_id", "_null"]].assign(kept=kept, n_words=n_words, n_removed=n_removed, longest=reached)
         return out[["_id", "_null", "kept", "n_words", "n_removed", "longest"]]
 
     with bucketed(rows, "_block", parts) as laid:
         by_block = laid.groupBy("_block")
-        keys = by_block.applyInPandas(tell_keys, _MESSAGE).groupBy("part").applyInPandas(_flags, _MESSAGE)
-        told = materialise(by_block.cogroup(keys.groupBy("block")).applyInPandas(tell_names, _MESSAGE))
-        least = told.where("part >= 0").groupBy("part").applyInPandas(least_ids, _MESSAGE)
-        marks = materialise(told.where("part = -1").groupBy("block").cogroup(least.groupBy("block")).applyInPandas(mark, _MESSAGE))
-        state, length = marks.where("part = -2"), width
-        while True:
-            told = materialise(state.mapInPandas(extend(length), _MESSAGE))
-            messages = told.where("part >= 0")
-            if messages.isEmpty():
-                break
-            length *= 2
-            flags = messages.groupBy("part").applyInPandas(_flags, _MESSAGE)
-            state = materialise(told.where("part = -2").groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(keep(length), _MESSAGE))
-        found = marks.where("part = -1").unionByName(state.select("part", "block", "blob"))
-        result = by_block.cogroup(found.groupBy("block")).applyInPandas(cut, "_id long, _null boolean, kept string, n_words long, n_removed long, longest long")
-        result = result.select(F.when(~F.col("_null"), F.col("_id")).cast(kind).alias(id), "kept", "n_words", "n_removed", "longest")
-        return materialise(finish(result))
-
-
-def _state(ids: np.ndarray, number: np.ndarray, place: np.ndarray, names: np.ndarray, reached: np.ndarray, length: int) -> bytes:
-    """Windows that repeat at ``length``, by document and place, and the greatest length of every document."""
-    order = np.lexsort((place, number))
+        keys = by_block.applyInPandas(tell_keys, _MESSAGE)
+        flags = materialise(keys.groupBy("part").applyInPandas(_flags, _MESSAGE))
+        names = by_block.cogroup(flags.groupBy("block")).applyInPandas(tell_names, _MESSAGE)
+        replies = names.groupBy("part").applyInPandas(least_ids, _MESSAGE)
+        told = flags.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
+        with ExitStack() as held:
+            marked = held.enter_context(bucketed(by_block.cogroup(told.groupBy("block")).applyInPandas(mark, _STATE), "block", parts))
+            discard(flags)
+            state, length, stack = marked.where("part = -2"), width, ExitStack()
+            held.callback(lambda: stack.close())
+            while state.agg(F.sum("n")).first()[0]:
+                flags = state.mapInPandas(extend(length), _MESSAGE).groupBy("part").applyInPandas(_flags, _MESSAGE)
+                kept = state.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(keep(length), _STATE)
+                following = ExitStack()
+                state = following.enter_context(bucketed(kept, "block", parts))
+                stack.close()
+                stack, length = following, 2 * length
+            found = marked.where("part = -1").unionByName(state)
+            shape = "_id long, _null boolean, kept binary, n_words long, n_removed long, longest long"
+            result = by_block.cogroup(found.groupBy("block")).applyInPandas(cut, shape)
+            result = result.select(F.when(~F.col("_null"), F.col("_id")).cast(kind).alias(id), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed", "longest")
+            return materialise(finish(result))
+
+
+def _state(ids: np.ndarray, here: np.ndarray, names: np.ndarray, reached: np.ndarray, length: int) -> bytes:
+    """Windows that repeat at ``length`` (document number and place as one, rising) and every document's greatest length."""
     reached = reached.copy()
-    reached[number] = length
-    return _packed(ids, number[order].astype(np.int32), place[order].astype(np.int32), names[order], reached)
+    reached[here >> 32] = length
+    return _packed(ids, here, names, reached)
+
+
+def _doubled(blob: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of twice the length both of whose halves repeat: (ids, document and place, names, greatest lengths)."""
+    ids, here, names, reached = _unpacked(blob, "i8", "i8", "u8", "i4")
+    right = np.searchsorted(here, here + length)
+    both = here[np.minimum(right, len(here) - 1)] == here + length if len(here) else np.zeros(0, bool)
+    return ids, here[both], _joined(names[both], names[right[both]]), reached
