@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,11 +8,11 @@ from pyspark.sql import functions as F
 
 from transferlens.operators.balancing import oversample
 from transferlens.operators.boosting import BoostSetting, StumpBooster, boost
-from transferlens.operators.metrics import curve_areas
+from transferlens.operators.metrics import confusion_counts, curve_areas
 from transferlens.operators.models import (
+    ModelSpec,
     boosted_trees,
     boosted_trees_spec,
-    first_trees,
     forest_spec,
     logistic,
     logistic_spec,
@@ -19,6 +20,7 @@ from transferlens.operators.models import (
     stump_boost_spec,
 )
 from transferlens.operators.sampling import with_folds
+from transferlens.operators.splits import pack, summed
 from transferlens.operators.scoring import Scorer, as_requests, load_model, requests_table
 from transferlens.operators.tuning import best_model, cross_validate, curve_summary, evaluate_models, grid_search, learning_curve, with_score
 from transferlens.plans.training import train
@@ -41,22 +43,23 @@ def _arrays(df):
     return np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["fold"] for r in rows])
 
 
-def _plain_boost(x, y, thresholds, rounds, rate):
-    """Stump boosting as the textbook says, one weight per row."""
+def _plain_boost(x, y, rounds, rate):
+    """Stump boosting as the textbook says, one weight per row, all distinct values as splits."""
     w = np.full(len(y), 1 / len(y))
     out = []
     for _ in range(rounds):
         best = None
-        for f, cuts in enumerate(thresholds):
-            for t in cuts:
-                left = x[:, f] <= t
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for low, high in zip(values[:-1], values[1:]):
+                left = x[:, f] <= low
                 impurity = 0.0
                 for side in (left, ~left):
                     a, b = w[side & (y == 0)].sum(), w[side & (y == 1)].sum()
                     impurity += 2 * a * b / (a + b) if a + b else 0
-                if best is None or impurity < best[0] - 1e-12:
+                if best is None or impurity < best[0] - 1e-10:
                     classes = [float(w[s & (y == 1)].sum() > w[s & (y == 0)].sum()) for s in (left, ~left)]
-                    best = (impurity, f, t, *classes)
+                    best = (impurity, f, low + (high - low) / 2, *classes)
         _, f, t, a, b = best
         miss = np.where(x[:, f] <= t, a, b) != y
         error = w[miss].sum() / w.sum()
@@ -67,21 +70,15 @@ def _plain_boost(x, y, thresholds, rounds, rate):
     return out
 
 
-def test_boosting_equals_plain_form(labelled):
-    from transferlens.operators.boosting import candidate_thresholds
-
+@pytest.mark.parametrize("bins", [256, 6])
+def test_boosting_equals_plain_form(labelled, bins):
     x, y, fold = _arrays(labelled)
-    thresholds = candidate_thresholds(labelled, "features", 16)
-    settings = [BoostSetting(12, 1.0), BoostSetting(8, 0.5), BoostSetting(10, 1.0, held_out=1)]
-    got = boost(labelled, settings, "features", "label", "fold", 16)
-    expected = [
-        _plain_boost(x, y, thresholds, 12, 1.0),
-        _plain_boost(x, y, thresholds, 8, 0.5),
-        _plain_boost(x[fold != 1], y[fold != 1], thresholds, 10, 1.0),
-    ]
+    settings = [BoostSetting(18, 1.0), BoostSetting(8, 0.5), BoostSetting(10, 1.0, held_out=1)]
+    got = boost(labelled, settings, "features", "label", "fold", bins)
+    expected = [_plain_boost(x, y, 18, 1.0), _plain_boost(x, y, 8, 0.5), _plain_boost(x[fold != 1], y[fold != 1], 10, 1.0)]
     for ours, theirs in zip(got, expected):
-        assert [s[:4] for s in ours] == [s[:4] for s in theirs]
-        assert np.allclose([s[4] for s in ours], [s[4] for s in theirs])
+        assert [(s[0], *s[2:4]) for s in ours] == [(s[0], *s[2:4]) for s in theirs]
+        assert np.allclose([(s[1], s[4]) for s in ours], [(s[1], s[4]) for s in theirs])
 
 
 def test_booster_predicts_saves_and_shortens(labelled, tmp_path):
@@ -100,14 +97,14 @@ def test_booster_predicts_saves_and_shortens(labelled, tmp_path):
 def test_perfect_stump_ends_boosting(spark):
     rows = [(f"{i}", [float(i)], float(i >= 20)) for i in range(40)]
     df = spark.createDataFrame(rows, "k string, x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
-    model = StumpBooster(rounds=10, maxBins=64).fit(df)
+    model = StumpBooster(rounds=10).fit(df)
     assert len(model.stump_list()) == 1
     assert model.transform(df).where("prediction <> label").count() == 0
 
 
 def test_first_trees_is_a_prefix(labelled):
     model = boosted_trees(8, 0.3, 3).fit(labelled)
-    short = first_trees(model, 3)
+    short = model.first(3)
     direct = boosted_trees(3, 0.3, 3).fit(labelled)
     a = [r[0] for r in short.transform(labelled).select(vector_to_array("probability")[1]).collect()]
     b = [r[0] for r in direct.transform(labelled).select(vector_to_array("probability")[1]).collect()]
@@ -146,8 +143,8 @@ def test_oversampling_inside_folds(labelled):
 def test_boosted_trees_grid_axes(labelled):
     spec = boosted_trees_spec([1, 2], [0.3], [2], subsample=[0.7, 1.0], min_split=[10])
     assert len(spec.grid) == 4 and {p["subsample"] for p in spec.grid} == {0.7, 1.0}
-    made = spec.make(spec.grid[0])
-    assert made.getSubsamplingRate() == spec.grid[0]["subsample"] and made.getMinInstancesPerNode() == 5
+    setting = spec.make(spec.grid[0]).setting()
+    assert setting.subsample == spec.grid[0]["subsample"] and setting.min_split == 10
     assert grid_search(labelled, spec).table.count() == 4
 
 
@@ -194,23 +191,66 @@ def test_requests(spark):
         as_requests(requests_table(spark, [request]).drop("day"))
 
 
-def test_held_out_counts_equal_fitted_models(labelled):
-    """Counts of the joint search are those of models fitted and applied one by one."""
-    spec = stump_boost_spec([2, 6], [0.5, 1.0], max_bins=16)
-    scores = grid_search(labelled, spec).scores.collect()
-    from transferlens.operators.boosting import BoostSetting
-    from transferlens.operators.metrics import confusion_counts
-
-    for r in scores:
+@pytest.mark.parametrize(
+    "spec",
+    [
+        stump_boost_spec([2, 6], [0.5, 1.0]), boosted_trees_spec([1, 3], [0.3], [2]), forest_spec([2, 4], [3], [2, 20]), logistic_spec([0.1, 10]),
+    ],
+    ids=lambda s: s.name,
+)
+def test_joint_counts_equal_fitted_models(labelled, spec):
+    """Counts of the joint search and curve are those of models fitted and applied one by one."""
+    for r in grid_search(labelled, spec).scores.collect():
         p = spec.grid[r["grid_no"]]
-        stumps = boost(labelled, [BoostSetting(p["rounds"], p["rate"], r["fold"])], "features", "label", "fold", 16)[0]
-        model = StumpBooster().wrap(stumps)
+        model = spec.make(p).fit(labelled.where(F.col("fold") != r["fold"]))
         counts = confusion_counts(model.transform(labelled.where(F.col("fold") == r["fold"])), "label").first()
         assert tuple(counts) == (r["tn"], r["fp"], r["fn"], r["tp"])
+    alone = ModelSpec(spec.name, spec.make, spec.grid)
+    both = [learning_curve(labelled, s, spec.grid[-1], [0.02, 0.5, 1.0], seed=3).orderBy("step", "fold", "part").collect() for s in (spec, alone)]
+    assert both[0] == both[1] and len(both[0]) == 18
 
 
-def test_many_partial_sums(spark):
-    from transferlens.operators.boosting import _sum_parts
+def _newton(x, y, c, solver, steps=30):
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.ones(x.shape[1] - 1), float(solver == "liblinear"))
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(c * (x.T * (p * (1 - p))) @ x + np.diag(ridge), c * x.T @ (p - y) + ridge * w)
+    return w
+
 
-    parts = spark.createDataFrame([(bytearray(np.array([i, 1.0]).tobytes()),) for i in range(150)], "part binary").repartition(150)
-    assert list(_sum_parts(parts, 150)) == [sum(range(150)), 150.0]
+def test_logistic_equals_newton_steps(labelled):
+    x, y, _ = _arrays(labelled)
+    for c in (0.1, 10.0):
+        for solver in ("lbfgs", "liblinear"):
+            model = logistic(c, solver).fit(labelled)
+            assert np.allclose(model.weight_list(), _newton(x, y, c, solver), atol=1e-7)
+            p = 1 / (1 + np.exp(-(x @ model.weight_list()[:-1] + model.weight_list()[-1])))
+            rows = model.transform(labelled).select(vector_to_array("probability")[1]).collect()
+            assert np.allclose([r[0] for r in rows], p)
+    with pytest.raises(ValueError):
+        logistic(1.0, "newton")
+
+
+def test_logistic_steps_are_halved_when_they_overshoot(spark):
+    """Separable data with a weak penalty: full steps would run away."""
+    rows = [(f"{i}", [float(v)], float(v > 0)) for i, v in enumerate([-30, -20, -0.1, 0.1, 20, 40] * 3)]
+    df = spark.createDataFrame(rows, "row_key string, x array<double>, label double").select("row_key", array_to_vector("x").alias("features"), "label")
+    w = logistic(1e4).fit(df).weight_list()
+    assert w[0] > 0 and all(map(math.isfinite, w))
+
+
+def test_many_partial_sums(spark):
+    """More tasks than the driver adds up directly."""
+    df = spark.range(300).select(F.col("id").cast("string").alias("row_key"), array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 2).alias("label"))
+    data = pack(df, "features", "label")
+    blocks = data.blocks.unionAll(data.blocks.limit(0))
+    for _ in range(7):
+        blocks = blocks.unionAll(blocks)
+    data = replace(data, blocks=blocks, tasks=blocks.rdd.getNumPartitions())
+
+    def add(block, total):
+        total += [block.n, block.x.sum()]
+
+    assert data.tasks > 64 and list(summed(data, 2, add)) == [128 * 300, 128 * sum(range(300))]

@@ -1,10 +1,9 @@
 """AdaBoost on stumps (multi-class exponential loss, two classes), which Spark ML does not have.
 
-Rows are binned once and equal rows counted, so boosting works on (bins, label, count) cells: equal
-cells keep equal weights through all rounds, so nothing is lost. A round is one distributed
-histogram of the weights. A weight is a function of the stumps chosen so far, so it is recomputed in
-the tasks instead of being stored: no state to lose, no lineage that grows. Several settings and
-folds are boosted side by side in the same passes over the cells.
+A stump splits at any distinct value, halfway to the next one (``splits.search``). Weights are kept as
+sums of the weights of the stumps that got a row wrong, written anew every few rounds, so there is no state
+to lose and no lineage that grows. Several settings, folds and training subsets are boosted side by side in
+the same passes over the rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,261 +21,134 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from transferlens.session import materialise
+from transferlens.operators.splits import BINS, Block, Gini, Packed, Rows, pack, released, search, summed, with_margins
 
-# Partial sums of up to this many tasks are added on the driver.
-DIRECT_TASKS = 64
+# Rounds after which weights are written instead of being recomputed from the stumps.
+KEPT_ROUNDS = 16
 
 
 @dataclass(frozen=True)
 class BoostSetting:
-    """One model to boost; ``held_out`` leaves a fold out of its training rows."""
+    """One model to boost; ``held_out`` leaves a fold out of its training rows, ``step`` takes a nested subset of them."""
 
     rounds: int
     learning_rate: float
     held_out: int | None = None
-
-
-def candidate_thresholds(df: DataFrame, features: str, max_bins: int) -> list[list[float]]:
-    """Per feature, up to ``max_bins - 1`` split values from mergeable sketches; a split is ``x <= t``."""
-    width = df.select(F.size(vector_to_array(features))).first()[0]
-    array = vector_to_array(features)
-    wide = df.select(*[array[i].alias(f"f{i}") for i in range(width)])
-    if not 2 <= max_bins <= 1 << 16:
-        raise ValueError(f"max_bins must be from 2 to 65,536, not {max_bins}")
-    probs = [i / max_bins for i in range(max_bins + 1)]
-    values = wide.approxQuantile([f"f{i}" for i in range(width)], probs, 0.1 / max_bins)
-    return [sorted(set(v))[:-1] for v in values]
-
-
-def _cell_blocks(df: DataFrame, features: str, label: str, fold: str | None, folds: list[int], thresholds: list[list[float]]) -> DataFrame:
-    """Cells packed into one row per Arrow batch: (n, bins, y, counts).
-
-    ``counts`` has, per cell, the rows in all and the rows in each fold.
-    """
-    rows = df.select(
-        vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold")
-    )
-
-    def to_bins(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.vstack(pdf["x"])
-            bins = np.column_stack([np.searchsorted(t, x[:, j], side="left") for j, t in enumerate(thresholds)]).astype(np.uint16)
-            yield pd.DataFrame({"bins": [b.tobytes() for b in bins], "y": pdf["y"], "fold": pdf["fold"]})
-
-    def pack(batches):
-        for pdf in batches:
-            if not pdf.empty:
-                counts = np.column_stack([pdf[f"n{i}"] for i in range(len(folds) + 1)]).astype(np.float64)
-                y = pdf["y"].to_numpy().astype(np.uint8)
-                yield pd.DataFrame({"n": [len(pdf)], "bins": [b"".join(pdf["bins"])], "y": [y.tobytes()], "counts": [counts.tobytes()]})
-
-    binned = rows.mapInPandas(to_bins, "bins binary, y int, fold int")
-    counts = [F.count(F.lit(1)).alias("n0"), *[F.count_if(F.col("fold") == f).alias(f"n{i + 1}") for i, f in enumerate(folds)]]
-    return binned.groupBy("bins", "y").agg(*counts).mapInPandas(pack, "n int, bins binary, y binary, counts binary")
-
-
-def _weight_histogram(blocks: DataFrame, tasks: int, held: list[int | None], misses: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Summed weights by (setting, label, feature, bin).
-
-    ``misses[f, y * bins + b, s]`` sums the alphas of the stumps of setting s on feature f that get
-    a row with label y in bin b wrong; a cell's weight is the exponential of its entries' sum.
-    """
-    width, slots, n_settings = misses.shape
-
-    def partial(batches):
-        total = np.zeros((width, n_settings, slots))
-        seen = False
-        for pdf in batches:
-            for n, bins, y, counts in zip(pdf["n"], pdf["bins"], pdf["y"], pdf["counts"]):
-                seen = True
-                bins = np.frombuffer(bins, dtype=np.uint16).reshape(n, width)
-                place = np.frombuffer(y, dtype=np.uint8).astype(np.intp) * (slots // 2)
-                counts = np.frombuffer(counts, dtype=np.float64).reshape(n, -1)
-                index = [place + bins[:, f] for f in range(width)]
-                margin = np.broadcast_to(-shift, (n, n_settings)).copy()
-                for f in range(width):
-                    margin += misses[f][index[f]]
-                weights = np.exp(margin)
-                for s, h in enumerate(held):
-                    w = weights[:, s] * (counts[:, 0] if h is None else counts[:, 0] - counts[:, h])
-                    for f in range(width):
-                        total[f, s] += np.bincount(index[f], w, slots)
-        if seen:
-            yield pd.DataFrame({"part": [total.tobytes()]})
-
-    summed = _sum_parts(blocks.mapInPandas(partial, "part binary"), tasks)
-    return summed.reshape(width, n_settings, 2, slots // 2).transpose(1, 2, 0, 3)
-
-
-def _sum_parts(parts: DataFrame, tasks: int) -> np.ndarray:
-    """Sum of the arrays that the tasks made; many of them are first added up in groups."""
-
-    def add(batches):
-        total = None
-        for pdf in batches:
-            for part in pdf["part"]:
-                array = np.frombuffer(part, dtype=np.float64)
-                total = array.copy() if total is None else total + array
-        if total is not None:
-            yield pd.DataFrame({"part": [total.tobytes()]})
-
-    while tasks > DIRECT_TASKS:
-        tasks = math.ceil(tasks / DIRECT_TASKS)
-        parts = parts.repartition(tasks).mapInPandas(add, "part binary")
-    return sum(np.frombuffer(part, dtype=np.float64) for part in parts.toArrow()["part"].to_pylist())
-
-
-def _held_out_counts(blocks: DataFrame, tasks: int, held: list[int], votes: np.ndarray) -> np.ndarray:
-    """(model, 4) counts tn, fp, fn, tp of each model's held-out rows.
-
-    ``votes[f, b, m]`` sums what the stumps of model m on feature f say about bin b.
-    """
-    width, _, n_models = votes.shape
-
-    def partial(batches):
-        total = np.zeros((n_models, 4))
-        seen = False
-        for pdf in batches:
-            for n, bins, y, counts in zip(pdf["n"], pdf["bins"], pdf["y"], pdf["counts"]):
-                seen = True
-                bins = np.frombuffer(bins, dtype=np.uint16).reshape(n, width)
-                cell = 2 * np.frombuffer(y, dtype=np.uint8).astype(np.intp)
-                counts = np.frombuffer(counts, dtype=np.float64).reshape(n, -1)
-                vote = np.zeros((n, n_models))
-                for f in range(width):
-                    vote += votes[f][bins[:, f]]
-                for m, h in enumerate(held):
-                    total[m] += np.bincount(cell + (vote[:, m] > 0), counts[:, h], 4)
-        if seen:
-            yield pd.DataFrame({"part": [total.tobytes()]})
-
-    return _sum_parts(blocks.mapInPandas(partial, "part binary"), tasks).reshape(n_models, 4)
-
-
-def _best_stump(h: np.ndarray, thresholds: list[list[float]]) -> tuple[int, int, int, int, float]:
-    """(feature, cut, left class, right class, error) with the lowest weighted Gini impurity."""
-    left = h.cumsum(axis=2)[:, :, :-1]
-    total = h.sum(axis=2)[:, :, None]
-    right = total - left
-    with np.errstate(divide="ignore", invalid="ignore"):
-        n_left, n_right = left.sum(axis=0), right.sum(axis=0)
-        impurity = np.nan_to_num(2 * left[0] * left[1] / n_left) + np.nan_to_num(2 * right[0] * right[1] / n_right)
-    allowed = np.arange(impurity.shape[1])[None, :] < np.array([len(t) for t in thresholds])[:, None]
-    impurity = np.where(allowed, impurity, np.inf)
-    feature, cut = np.unravel_index(np.argmin(impurity), impurity.shape)
-    sides = left[:, feature, cut], right[:, feature, cut]
-    classes = [int(s[1] > s[0]) for s in sides]
-    error = sum(s[1 - c] for s, c in zip(sides, classes)) / h[:, 0].sum()
-    return int(feature), int(cut), classes[0], classes[1], float(error)
-
-
-@dataclass
-class _Binned:
-    """Packed cells of a table with what is needed to read them."""
-
-    blocks: DataFrame
-    tasks: int
-    thresholds: list[list[float]]
-    folds: list[int]
+    step: int | None = None
 
     @property
-    def n_bins(self) -> int:
-        return max(len(t) for t in self.thresholds) + 1
+    def rows(self) -> Rows:
+        return Rows(self.held_out, self.step)
 
-    def place(self, held_out: int | None) -> int | None:
-        return None if held_out is None else 1 + self.folds.index(held_out)
 
-
-def _bin(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None, max_bins: int) -> _Binned:
-    folds = sorted({s.held_out for s in settings if s.held_out is not None})
-    thresholds = candidate_thresholds(df, features, max_bins)
-    if not any(thresholds):
-        raise ValueError("all features are constant")
-    blocks = materialise(_cell_blocks(df, features, label, fold, folds, thresholds))
-    tasks = max(1, min(blocks.count(), blocks.rdd.getNumPartitions()))
-    return _Binned(blocks.coalesce(tasks).persist(), tasks, thresholds, folds)
+def _misses(block: Block, s: int, since: list[tuple], shift: float) -> np.ndarray:
+    """Logarithm of the weights of a setting's rows."""
+    out = (block.margin[s] if len(block.margin) else np.zeros(block.n)) - shift
+    for f, t, left, right, alpha in since:
+        out = out + alpha * (np.where(block.x[f] <= t, left, right) != block.y)
+    return out
 
 
-def _boost_cells(data: _Binned, settings: list[BoostSetting]) -> list[list[tuple]]:
-    """Stumps ``(feature, cut, left class, right class, alpha)`` of every setting."""
-    width, n_bins = len(data.thresholds), data.n_bins
-    misses = np.zeros((width, 2 * n_bins, len(settings)))
-    shift = np.zeros(len(settings))
+def boost_packed(data: Packed, settings: list[BoostSetting]) -> list[list[tuple]]:
+    """Stumps ``(feature, threshold, left class, right class, alpha)`` of every setting."""
     stumps: list[list[tuple]] = [[] for _ in settings]
-    active = list(range(len(settings)))
+    since: list[list[tuple]] = [[] for _ in settings]
+    # Keeps the summed weight near 1, so that exp cannot overflow.
+    shift = [0.0] * len(settings)
+    active, rule, first = list(range(len(settings))), Gini(), data
     for step in range(max(s.rounds for s in settings)):
         active = [i for i in active if step < settings[i].rounds]
         if not active:
             break
-        held = [data.place(settings[i].held_out) for i in active]
-        histograms = _weight_histogram(data.blocks, data.tasks, held, misses[:, :, active], shift[active])
-        for i, h in zip(list(active), histograms):
-            feature, cut, left, right, error = _best_stump(h, data.thresholds)
+        now, new, away = list(active), [list(s) for s in since], list(shift)
+
+        def weigh(block: Block, now=now, new=new, away=away):
+            for k, i in enumerate(now):
+                w = np.exp(_misses(block, i, new[i], away[i]))
+                node = np.where(settings[i].rows.mask(block), 0, -1)
+                yield k, 1, node, np.stack([np.where(block.y == 0, w, 0), np.where(block.y == 1, w, 0), np.ones(block.n)])
+
+        for i, split in zip(now, search(data, weigh, len(now), rule, same_rows=[settings[i].rows for i in now])):
+            if split is None:
+                active.remove(i)
+                continue
+            sides = split.left, split.right
+            classes = [int(s[1] > s[0]) for s in sides]
+            total = sum(s[0] + s[1] for s in sides)
+            error = float(sum(s[1 - c] for s, c in zip(sides, classes)) / total)
             if error >= 0.5:
                 active.remove(i)
                 continue
             if error <= 1e-15:
                 # A perfect stump ends the boosting.
-                stumps[i].append((feature, cut, left, right, 1.0))
+                stumps[i].append((split.feature, split.threshold, *classes, 1.0))
                 active.remove(i)
                 continue
             alpha = settings[i].learning_rate * math.log((1 - error) / error)
-            stumps[i].append((feature, cut, left, right, alpha))
-            said = np.where(np.arange(n_bins) <= cut, left, right)
-            for y in (0, 1):
-                misses[feature, y * n_bins : (y + 1) * n_bins, i] += alpha * (said != y)
-            # Keeps the summed weight near 1, so that exp cannot overflow.
-            shift[i] += math.log(float(h[:, 0].sum()) * (1 - error + error * math.exp(alpha)))
+            stumps[i].append((split.feature, split.threshold, *classes, alpha))
+            since[i].append(stumps[i][-1])
+            shift[i] += math.log(float(total) * (1 - error + error * math.exp(alpha)))
+        if (step + 1) % KEPT_ROUNDS == 0 and active:
+            kept = [list(s) for s in since]
+            before, data = data, with_margins(data, lambda block: np.stack([_misses(block, i, s, 0.0) for i, s in enumerate(kept)]))  # noqa: B023
+            since = [[] for _ in settings]
+            if before is not first:
+                released(before)
+    if data is not first:
+        released(data)
     return stumps
 
 
-def boost(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None = None, max_bins: int = 32) -> list[list[tuple]]:
-    """Stumps ``(feature, threshold, left class, right class, alpha)`` of every setting."""
-    data = _bin(df, settings, features, label, fold, max_bins)
-    stumps = _boost_cells(data, settings)
-    data.blocks.unpersist()
-    return [[(f, data.thresholds[f][c], left, right, a) for f, c, left, right, a in s] for s in stumps]
-
-
-def boost_held_out(
-    df: DataFrame, settings: list[BoostSetting], stages: list[list[int]], features: str, label: str, fold: str, max_bins: int = 32
-) -> list[list[tuple[int, int, int, int]]]:
-    """Boosts every setting and counts (tn, fp, fn, tp) on its held-out fold after each of its stages,
-    all counts in one pass."""
-    data = _bin(df, settings, features, label, fold, max_bins)
-    models = [(i, n) for i, wanted in enumerate(stages) for n in wanted]
-    votes = np.zeros((len(data.thresholds), data.n_bins, len(models)))
-    stumps = _boost_cells(data, settings)
-    for m, (i, n) in enumerate(models):
-        for feature, cut, left, right, alpha in stumps[i][:n]:
-            votes[feature, :, m] += alpha * (2 * np.where(np.arange(data.n_bins) <= cut, left, right) - 1)
-    counts = _held_out_counts(data.blocks, data.tasks, [data.place(settings[i].held_out) for i, _ in models], votes)
-    data.blocks.unpersist()
-    out: list[list[tuple]] = [[] for _ in settings]
-    for (i, _), row in zip(models, counts):
-        out[i].append(tuple(int(v) for v in row))
-    return out
+def boost(df: DataFrame, settings: list[BoostSetting], features: str, label: str, fold: str | None = None, bins: int = BINS) -> list[list[tuple]]:
+    """Stumps ``(feature, threshold, left class, right class, alpha)`` of every setting. ``bins`` are the coarse
+    bins of the first look and do not change the result."""
+    data = pack(df, features, label, fold, bins=bins)
+    _check_features(data)
+    stumps = boost_packed(data, settings)
+    released(data)
+    return stumps
+
+
+def _check_features(data: Packed) -> None:
+    if not any(len(e) for e in data.edges):
+        raise ValueError("all features are constant")
+
+
+def vote_counts(data: Packed, jobs: list[tuple[list[tuple], list[int], Rows, bool]]) -> list[list[tuple[int, int, int, int]]]:
+    """(tn, fp, fn, tp) after the first n stumps, for every n of each job (stumps, stages, rows, held-out rows instead), in one pass."""
+    places = np.cumsum([0, *[4 * len(stages) for _, stages, _, _ in jobs]]).tolist()
+
+    def add(block: Block, total: np.ndarray) -> None:
+        for (stumps, stages, rows, held), first in zip(jobs, places):
+            on = np.flatnonzero(block.fold == rows.held_out if held else rows.mask(block))
+            cell, vote = 2 * block.y[on].astype(np.int64), np.zeros(len(on))
+            wanted = {n: first + 4 * i for i, n in enumerate(stages)}
+            for n in range(1, max(stages) + 1):
+                if n <= len(stumps):
+                    f, t, left, right, alpha = stumps[n - 1]
+                    vote += alpha * np.where(block.x[f, on] <= t, 2 * left - 1, 2 * right - 1)
+                if n in wanted:
+                    total[wanted[n] : wanted[n] + 4] += np.bincount(cell + (vote > 0), minlength=4)
+
+    counts = summed(data, places[-1], add).astype(int)
+    return [[tuple(counts[first + 4 * i : first + 4 * i + 4].tolist()) for i in range(len(stages))] for (_, stages, _, _), first in zip(jobs, places)]
 
 
 class _BoostParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol):
     rounds = Param(Params._dummy(), "rounds", "number of stumps", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "factor on each stump's weight", TypeConverters.toFloat)
-    maxBins = Param(Params._dummy(), "maxBins", "split candidates per feature plus one, at most 65,536", TypeConverters.toInt)
 
 
 class StumpBooster(Estimator, _BoostParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, rounds=50, learningRate=1.0, maxBins=32, featuresCol="features", labelCol="label"):
+    def __init__(self, *, rounds=50, learningRate=1.0, featuresCol="features", labelCol="label"):
         super().__init__()
-        self._setDefault(rounds=50, learningRate=1.0, maxBins=32)
-        self._set(**{k: v for k, v in self._input_kwargs.items()})
+        self._setDefault(rounds=50, learningRate=1.0)
+        self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "StumpBoosterModel":
         setting = BoostSetting(self.getOrDefault(self.rounds), self.getOrDefault(self.learningRate))
-        return self.wrap(boost(df, [setting], self.getFeaturesCol(), self.getLabelCol(), max_bins=self.getOrDefault(self.maxBins))[0])
+        return self.wrap(boost(df, [setting], self.getFeaturesCol(), self.getLabelCol())[0])
 
     def wrap(self, stumps: list[tuple]) -> "StumpBoosterModel":
         return self._copyValues(StumpBoosterModel(stumps=stumps))

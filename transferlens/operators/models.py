@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from itertools import product
 
-from pyspark import SparkContext
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame
 
-from transferlens.operators.boosting import BoostSetting, StumpBooster, boost_held_out
+from transferlens.operators.boosting import BoostSetting, StumpBooster, boost_packed, vote_counts
+from transferlens.operators.logistic import RidgeLogistic, decision_counts, fit_logistic
+from transferlens.operators.splits import Packed, Rows, pack, released
+from transferlens.operators.trees import BoostedTrees, Forest, grow_boosted, grow_forests, stage_counts
+from transferlens.schema import KEY
 
-DEEPEST = 30
+#: (parameters, training rows, stages, which parts to count: True for the held-out fold, False for the training rows)
+Job = tuple[dict, Rows, list[int], list[bool]]
 
 
 @dataclass
@@ -21,9 +25,9 @@ class ModelSpec:
     """A named classifier, how to build it from parameters, and the grid to try.
 
     ``stage_param`` names a round count whose smaller values are prefixes of the larger ones:
-    such models are fitted once at the largest value and read off at the others. ``count_folds``
-    may fit many (parameters, held-out fold, stages) jobs together; it gives the (tn, fp, fn, tp) of
-    the held-out rows for every job and stage.
+    such models are fitted once at the largest value and read off at the others. ``count_jobs``
+    fits many jobs (parameters, training rows, stages, parts) in the same passes; it gives the
+    (tn, fp, fn, tp) of every job, part and stage.
     """
 
     name: str
@@ -31,83 +35,89 @@ class ModelSpec:
     grid: list[dict]
     stage_param: str | None = None
     stage: Callable[[Model, int], Model] | None = None
-    count_folds: Callable[[DataFrame, list[tuple[dict, int, list[int]]], str], list[list[tuple]]] | None = None
+    count_jobs: Callable[..., list[list[list[tuple]]]] | None = None
 
 
 def grid_of(**values: list) -> list[dict]:
     return [dict(zip(values, point)) for point in product(*values.values())]
 
 
-def random_forest(trees: int = 100, depth: int | None = None, min_split: int = 2, seed: int = 42, **more) -> RandomForestClassifier:
-    """``depth`` None grows as deep as Spark allows. Spark bounds the rows of a child, not of a split
-    node; half the split size is the nearest equivalent. A depth beyond Spark's limit is an error."""
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"Spark's trees stop at depth {DEEPEST}; {depth} was asked for")
-    return RandomForestClassifier(
-        featuresCol="features",
-        labelCol="label",
-        numTrees=trees,
-        maxDepth=DEEPEST if depth is None else depth,
-        minInstancesPerNode=max(1, min_split // 2),
-        featureSubsetStrategy="sqrt",
-        cacheNodeIds=True,
-        seed=seed,
-        **more,
-    )
+def random_forest(trees: int = 100, depth: int | None = None, min_split: int = 2, seed: int = 42, **more) -> Forest:
+    """``depth`` None grows until nodes are pure or have fewer than ``min_split`` rows."""
+    return Forest(numTrees=trees, depth=depth or 0, minSplit=min_split, seed=seed, **more)
 
 
 def boosted_trees(
     trees: int = 100, rate: float = 0.3, depth: int = 6, subsample: float = 1.0, min_split: int = 2, min_leaf: int = 1, seed: int = 42, **more
-) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        maxIter=trees,
-        stepSize=rate,
-        maxDepth=depth,
-        subsamplingRate=subsample,
-        minInstancesPerNode=max(min_leaf, min_split // 2),
-        seed=seed,
-        **more,
-    )
-
-
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The boosted model after its first ``n`` trees."""
-    if n >= model.getNumTrees:
-        return model
-    java, context = model._java_obj, SparkContext._active_spark_context
-    gateway, package = context._gateway, context._jvm.org.apache.spark.ml
-    trees = gateway.new_array(package.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i, tree in enumerate(java.trees()[:n]):
-        trees[i] = tree
-        weights[i] = model.treeWeights[i]
-    shorter = package.classification.GBTClassificationModel(f"{model.uid}_{n}", trees, weights)
-    out = GBTClassificationModel(shorter)
-    out._resetUid(shorter.uid())
-    return out
-
-
-class SummedLossLogistic(LogisticRegression):
-    """Ridge of a summed loss: strength 1/(c * rows), with the rows of the table it is fitted on."""
-
-    inverse_strength = 1.0
-
-    def _fit(self, dataset):
-        fitted = self.copy({self.regParam: 1.0 / (self.inverse_strength * max(dataset.count(), 1))})
-        return super(SummedLossLogistic, fitted)._fit(dataset)
-
-
-def logistic(c: float = 1.0, max_iter: int = 1000) -> LogisticRegression:
-    """Inverse strength ``c``; folds and whole tables each get the penalty of their own row count."""
-    out = SummedLossLogistic(featuresCol="features", labelCol="label", elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4)
-    out.inverse_strength = c
-    return out
-
-
-def forest_spec(trees: list[int] = (50, 100, 200), depth: list = (None,), min_split: list[int] = (2,), name: str = "random_forest") -> ModelSpec:
-    return ModelSpec(name, lambda p: random_forest(**p), grid_of(trees=list(trees), depth=list(depth), min_split=list(min_split)))
+) -> BoostedTrees:
+    return BoostedTrees(rounds=trees, rate=rate, depth=depth, subsample=subsample, minSplit=min_split, minLeaf=min_leaf, seed=seed, **more)
+
+
+def logistic(c: float = 1.0, solver: str = "lbfgs", max_iter: int = 1000) -> RidgeLogistic:
+    """Inverse strength ``c`` against the summed loss."""
+    return RidgeLogistic(c=float(c), solver=solver, maxIter=max_iter)
+
+
+# ---------------------------------------------------------------- many fits at once
+
+
+def _boosted_counts(df: DataFrame, jobs: list[Job], make, **columns: str) -> list[list[tuple]]:
+    """Fits that differ in whether thresholds are exact are grown apart, all others together."""
+    data = _packed(df, columns)
+    estimators = [make(p) for p, *_ in jobs]
+    trees: list = [None] * len(jobs)
+    for exact in (False, True):
+        some = [i for i, e in enumerate(estimators) if e.getOrDefault(e.exact) == exact]
+        if some:
+            for i, t in zip(some, grow_boosted(data, [estimators[i].setting(jobs[i][1]) for i in some], exact)):
+                trees[i] = t
+    counts = stage_counts(data, [(t, stages, rows, held) for t, (_, rows, stages, parts) in zip(trees, jobs) for held in parts], mean=False)
+    released(data)
+    return _by_job(jobs, counts)
+
+
+def _forest_counts(df: DataFrame, jobs: list[Job], make, **columns: str) -> list[list[tuple]]:
+    data = _packed(df, columns)
+    estimators = [make(p) for p, *_ in jobs]
+    rows_in_task = {e.getOrDefault(e.taskRows) for e in estimators}
+    trees = grow_forests(data, [e.setting(rows) for e, (_, rows, *_) in zip(estimators, jobs)], min(rows_in_task))
+    counts = stage_counts(data, [(t, stages, rows, held) for t, (_, rows, stages, parts) in zip(trees, jobs) for held in parts], mean=True)
+    released(data)
+    return _by_job(jobs, counts)
+
+
+def _stump_counts(df: DataFrame, jobs: list[Job], make, **columns: str) -> list[list[tuple]]:
+    data = _packed(df, columns)
+    settings = [BoostSetting(p["rounds"], p["rate"], rows.held_out, rows.step) for p, rows, *_ in jobs]
+    counts = vote_counts(data, [(s, stages, rows, held) for s, (_, rows, stages, parts) in zip(boost_packed(data, settings), jobs) for held in parts])
+    released(data)
+    return _by_job(jobs, counts)
+
+
+def _logistic_counts(df: DataFrame, jobs: list[Job], make, **columns: str) -> list[list[tuple]]:
+    data = _packed(df, columns)
+    found = fit_logistic(data, [make(p).setting(rows) for p, rows, *_ in jobs])
+    counts = decision_counts(data, [(w, rows, held) for w, (_, rows, _, parts) in zip(found, jobs) for held in parts])
+    released(data)
+    return _by_job(jobs, [[c] for c in counts])
+
+
+def _packed(df: DataFrame, columns: dict[str, str]) -> Packed:
+    return pack(df, "features", "label", key=KEY if KEY in df.columns else None, **columns)
+
+
+def _by_job(jobs: list[Job], counts: list[list[tuple]]) -> list[list[list[tuple]]]:
+    """Counts per job, part and stage."""
+    left = iter(counts)
+    return [[next(left) for _ in parts] for *_, parts in jobs]
+
+
+def forest_spec(trees: list[int] = (50, 100, 200), depth: list = (None,), min_split: list[int] = (2,), name: str = "random_forest", **more) -> ModelSpec:
+    def make(p: dict) -> Forest:
+        return random_forest(**{**more, **p})
+
+    grid = grid_of(trees=list(trees), depth=list(depth), min_split=list(min_split))
+    return ModelSpec(name, make, grid, "trees", lambda m, n: m.first(n), partial(_forest_counts, make=make))
 
 
 def boosted_trees_spec(
@@ -118,19 +128,22 @@ def boosted_trees_spec(
     axes = {"trees": trees, "rate": rate, "depth": depth, "subsample": subsample, "min_split": min_split, "min_leaf": min_leaf}
     fixed = {k: v[0] for k, v in axes.items() if k in ("subsample", "min_split", "min_leaf") and len(v) == 1}
     grid = grid_of(**{k: list(v) for k, v in axes.items() if k not in fixed})
-    return ModelSpec(name, lambda p: boosted_trees(**{**more, **fixed, **p}), grid, "trees", first_trees)
+
+    def make(p: dict) -> BoostedTrees:
+        return boosted_trees(**{**more, **fixed, **p})
+
+    return ModelSpec(name, make, grid, "trees", lambda m, n: m.first(n), partial(_boosted_counts, make=make))
 
 
-def stump_boost_spec(rounds: list[int] = (50, 100, 200), rate: list[float] = (0.01, 0.1, 0.5, 1.0), max_bins: int = 32, name: str = "adaboost") -> ModelSpec:
+def stump_boost_spec(rounds: list[int] = (50, 100, 200), rate: list[float] = (0.01, 0.1, 0.5, 1.0), name: str = "adaboost") -> ModelSpec:
     def make(p: dict) -> StumpBooster:
-        return StumpBooster(rounds=p["rounds"], learningRate=p["rate"], maxBins=max_bins)
+        return StumpBooster(rounds=p["rounds"], learningRate=p["rate"])
 
-    def count_folds(df: DataFrame, jobs: list[tuple[dict, int, list[int]]], fold: str) -> list[list[tuple]]:
-        settings = [BoostSetting(p["rounds"], p["rate"], f) for p, f, _ in jobs]
-        return boost_held_out(df, settings, [stages for _, _, stages in jobs], "features", "label", fold, max_bins)
+    return ModelSpec(name, make, grid_of(rounds=list(rounds), rate=list(rate)), "rounds", lambda m, n: m.first(n), partial(_stump_counts, make=make))
 
-    return ModelSpec(name, make, grid_of(rounds=list(rounds), rate=list(rate)), "rounds", lambda m, n: m.first(n), count_folds)
 
+def logistic_spec(c: list[float] = (0.1, 1, 10), solver: list[str] = ("liblinear", "lbfgs"), name: str = "logistic") -> ModelSpec:
+    def make(p: dict) -> RidgeLogistic:
+        return logistic(**p)
 
-def logistic_spec(c: list[float] = (0.1, 1, 10), name: str = "logistic") -> ModelSpec:
-    return ModelSpec(name, lambda p: logistic(**p), grid_of(c=list(c)))
+    return ModelSpec(name, make, grid_of(c=list(c), solver=list(solver)), count_jobs=partial(_logistic_counts, make=make))

@@ -16,6 +16,8 @@ from transferlens.operators.metrics import CELLS, choose_model, confusion_counts
 from transferlens.operators.models import ModelSpec
 from transferlens.operators.profiling import mean_and_spread
 from transferlens.operators.sampling import training_subset, training_subset_cuts
+from transferlens.operators.splits import Rows
+from transferlens.session import discard, materialise
 
 Resample = Callable[[DataFrame], DataFrame]
 
@@ -80,8 +82,9 @@ def grid_search(
         stages = [spec.stage(model, spec.grid[i][spec.stage_param]) if spec.stage_param else model for i in points]
         return [_counts(stage, test) for stage in stages]
 
-    if spec.count_folds and not resample:
-        counts = spec.count_folds(df, [(p, f, [spec.grid[i][spec.stage_param] for i in points]) for p, f, points in jobs], fold)
+    if spec.count_jobs and not resample:
+        wanted = [(p, Rows(f), [spec.grid[i].get(spec.stage_param, 1) for i in points], [True]) for p, f, points in jobs]
+        counts = [parts[0] for parts in spec.count_jobs(df, wanted, fold=fold)]
     else:
         with ThreadPool(parallelism) as pool:
             counts = pool.map(run, jobs, chunksize=1)
@@ -104,7 +107,7 @@ def mean_scores(scores: DataFrame, refit: str = "recall") -> DataFrame:
 
 def cross_validate(df: DataFrame, spec: ModelSpec, params: dict, fold: str = "fold", parallelism: int = 4) -> DataFrame:
     """Mean weighted scores of one parameter setting."""
-    one = ModelSpec(spec.name, spec.make, [params], spec.stage_param, spec.stage, spec.count_folds)
+    one = ModelSpec(spec.name, spec.make, [params], spec.stage_param, spec.stage, spec.count_jobs)
     return grid_search(df, one, fold, parallelism=parallelism).table
 
 
@@ -113,28 +116,54 @@ def learning_curve(
 ) -> DataFrame:
     """Weighted precision and recall on training subset and held-out fold, per (step, fold).
 
-    One fit per (size, fold) serves every score. Subsets with one class only give null scores.
+    One fit per (size, fold) serves every score, and all of them share their passes where the model can.
+    Subsets with one class only give null scores.
     """
     ordered, cuts = training_subset_cuts(df, fractions, fold, seed)
-    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def run(job: tuple[int, int]) -> list[tuple]:
-        f, i = job
-        subset = training_subset(ordered, cuts, f, i, fold)
-        sizes = {r["label"]: r["count"] for r in subset.groupBy("label").count().collect()}
-        n = sum(sizes.values())
-        if len(sizes) < 2:
-            return [(i + 1, f, n, part, None, None, None, None) for part in ("train", "validation")]
-        model = spec.make(params).fit(subset)
-        held = ordered.where(F.col(fold) == f)
-        return [(i + 1, f, n, "train", *_counts(model, subset)), (i + 1, f, n, "validation", *_counts(model, held))]
-
-    with ThreadPool(parallelism) as pool:
-        rows = [r for part in pool.map(run, list(cuts), chunksize=1) for r in part]
-    ordered.unpersist()
+    folds = sorted({f for f, _ in cuts})
+    # Per fold, the number of the first subset that holds the row: subsets are nested.
+    first = [F.size(F.filter(F.lit([cuts[f, i] for i in range(len(fractions))]), lambda cut: cut < F.col("_order"))) for f in folds]
+    ordered = ordered.withColumn("_steps", F.array(*[first[folds.index(f)] if f in folds else F.lit(0) for f in range(max(folds) + 1)]))
+    ordered = materialise(ordered)
+    sizes = _subset_sizes(ordered, fold, folds, len(fractions))
+    rows, open_jobs = [], []
+    for f, i in cuts:
+        n = sum(sizes[f, i].values())
+        if len(sizes[f, i]) < 2:
+            rows += [(i + 1, f, n, part, None, None, None, None) for part in ("train", "validation")]
+        else:
+            open_jobs.append((f, i, n))
+    if spec.count_jobs:
+        stages = [params.get(spec.stage_param, 1)]
+        found = spec.count_jobs(ordered, [(params, Rows(f, i), stages, [False, True]) for f, i, _ in open_jobs], fold=fold, steps="_steps")
+        for (f, i, n), (trained, held) in zip(open_jobs, found):
+            rows += [(i + 1, f, n, "train", *trained[0]), (i + 1, f, n, "validation", *held[0])]
+    else:
+
+        def run(job: tuple[int, int, int]) -> list[tuple]:
+            f, i, n = job
+            subset = training_subset(ordered.drop("_steps"), cuts, f, i, fold)
+            model = spec.make(params).fit(subset)
+            held = ordered.where(F.col(fold) == f)
+            return [(i + 1, f, n, "train", *_counts(model, subset)), (i + 1, f, n, "validation", *_counts(model, held))]
+
+        with ThreadPool(parallelism) as pool:
+            rows += [r for part in pool.map(run, open_jobs, chunksize=1) for r in part]
+    discard(ordered)
     return _score_rows(df, rows, "step int, fold int, n_train long, part string")
 
 
+def _subset_sizes(ordered: DataFrame, fold: str, folds: list[int], steps: int) -> dict[tuple[int, int], dict]:
+    """Rows by label in every (fold, step), from one count by the first step that holds a row."""
+    each = ordered.select("label", F.col(fold).alias("own"), F.explode(F.lit(folds)).alias("f"), "_steps").where("own <> f")
+    counts = each.groupBy("f", F.get("_steps", F.col("f")).alias("step"), "label").count().collect()
+    out: dict[tuple[int, int], dict] = {(f, i): {} for f in folds for i in range(steps)}
+    for r in counts:
+        for i in range(r["step"], steps):
+            out[r["f"], i][r["label"]] = out[r["f"], i].get(r["label"], 0) + r["count"]
+    return out
+
+
 def curve_summary(curve: DataFrame) -> DataFrame:
     """Mean and population deviation over the folds."""
     return mean_and_spread(curve, ["step", "part"], ["precision", "recall"])

@@ -8,9 +8,12 @@ from transferlens.functions.columns import enrich
 from transferlens.operators import metrics, profiling, sampling
 from transferlens.operators.balancing import oversample
 from transferlens.operators.features import FeatureEncoder, FittedEncoder, features_to_columns
+from transferlens.operators.logistic import SOLVERS, LogisticSetting, fit_logistic
 from transferlens.operators.models import boosted_trees_spec, forest_spec, logistic_spec, random_forest, stump_boost_spec
 from transferlens.operators.scoring import Scorer, as_requests
+from transferlens.operators.splits import pack, released
 from transferlens.operators.tuning import cross_validate, curve_summary, evaluate_models, grid_search, learning_curve, with_score
+from transferlens.plans import model_sql as unrolled
 from transferlens.plans.profile_queries import _HOLES, rounded, with_holes
 from transferlens.plans.registry import query
 from transferlens.plans.training import prepare
@@ -458,20 +461,155 @@ def subsampled_boosted_trees_test_scores(spark, folder):
     return _test_scores(spark, folder, boosted_trees_spec([10], [0.1], [3], subsample=[0.8], min_split=[10]))
 
 
-@query("logistic_test_scores")
-def logistic_test_scores(spark, folder):
+# The models below are compared with SQL that fits them step by step.
+
+_PLAIN_ROWS = f"{_SPLIT}, {_feature_sql('split', _FORMATS)}, {unrolled.wide_tables(_NAMES, balanced=False)}"
+_BALANCED_ROWS = f"{_SPLIT}, {_feature_sql('split', _FORMATS)}, {_SMOTE}, {unrolled.wide_tables(_NAMES)}"
+
+
+def _score_sql(score: str, says: str, tables: str) -> str:
+    return f"SELECT row_key, y::INTEGER AS label, round({score},6) AS score, ({says})::INTEGER AS prediction FROM rows {tables} WHERE use='test'"
+
+
+@query("boosted_tree_rounds", f"{_BALANCED_ROWS}, {unrolled.boosted_rounds(3, 2, 0.3)} " + _score_sql("1/(1+exp(-m))", "m>0", "JOIN margin3 USING (id)"))
+def boosted_tree_rounds(spark, folder):
+    """Three second-order trees of two levels, every distinct value a candidate."""
+    return _test_scores(spark, folder, boosted_trees_spec([3], [0.3], [2], exact=True))
+
+
+@query("plain_tree_test_scores", f"{_BALANCED_ROWS}, {unrolled.plain_tree(4, 200)} " + _score_sql("value", "value>0.5", "JOIN node4 USING (id) JOIN leaves USING (node)"))
+def plain_tree_test_scores(spark, folder):
+    """One tree of a forest on all rows and features; nodes under 200 rows are not split."""
+    return _test_scores(spark, folder, _plain_tree())
+
+
+def _plain_tree():
+    return forest_spec([1], [4], [200], bootstrap=False, featuresPerNode=len(_NAMES))
+
+
+_VOTE = "vote/weight"
+
+
+@query(
+    "stump_boost_rounds",
+    f"{_BALANCED_ROWS}, {unrolled.stump_rounds(5, [(0, 1.0, None, '')])}, {unrolled.stump_votes(5)} "
+    + _score_sql(f"1/(1+exp(-2*{_VOTE}))", "vote>0", "JOIN votes USING (id)") + " AND k=5",
+)
+def stump_boost_rounds(spark, folder):
+    """Five stumps at exact thresholds."""
+    return _test_scores(spark, folder, stump_boost_spec([5], [1.0]))
+
+
+_GRID_ROUNDS, _GRID_RATES = [2, 4], [0.5, 1.0]
+_CELLS = ", ".join(f"count(CASE WHEN y={y} AND says={p} THEN 1 END) AS {c}" for y, p, c in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp")))
+_MEANS = ", ".join(f"round(avg({m}),6) AS {m}" for m in ("accuracy", "precision", "recall", "f1"))
+
+
+def _stump_grid_sql() -> str:
+    settings = [(3 * i + h, rate, h, "") for i, rate in enumerate(_GRID_RATES) for h in range(3)]
+    points = ", ".join(
+        f"""({a * len(_GRID_RATES) + b}, {n}, {b}, '{{"rounds": {n}, "rate": {rate}}}')""" for a, n in enumerate(_GRID_ROUNDS) for b, rate in enumerate(_GRID_RATES)
+    )
+    return f"""{_SPLIT}, {_feature_sql('split', _FORMATS)}, {_SMOTE}, {unrolled.wide_tables(_NAMES, folds=_fold_sql(3, None, "learn"))},
+    {unrolled.stump_rounds(max(_GRID_ROUNDS), settings)}, {unrolled.stump_votes(max(_GRID_ROUNDS))}, points(grid_no, k, rate_no, params) AS (VALUES {points}),
+    counts AS (SELECT grid_no, params, fold, {_CELLS} FROM (SELECT grid_no, params, fold, y, (vote>0)::INTEGER AS says FROM votes JOIN rows USING (id)
+        JOIN points USING (k) WHERE s//3=rate_no AND s%3=fold AND use='train') GROUP BY ALL), {_weighted_sql()}
+    SELECT grid_no::INTEGER AS grid_no, params, {_MEANS} FROM weighted GROUP BY ALL"""
+
+
+@query("stump_boost_grid_rounds", _stump_grid_sql())
+def stump_boost_grid_rounds(spark, folder):
+    """Two rates at two stages on three folds of the balanced rows."""
     _, balanced, _ = _training_data(spark, folder)
-    return _test_scores(spark, folder, logistic_spec([1.0]))
+    return rounded(grid_search(balanced, stump_boost_spec(_GRID_ROUNDS, _GRID_RATES)).table)
+
+
+_PENALTIES = [0.1, 1.0, 10.0]
+_LOGISTIC_POINTS = [(c, s) for c in _PENALTIES for s in ("liblinear", "lbfgs")]
+_Z = "+".join([*[f'b{i}*"{n}"' for i, n in enumerate(_NAMES)], f"b{len(_NAMES)}"])
+_MATRIX = f"{_SPLIT}, {_feature_sql('split', _FORMATS)}"
 
 
-@query("logistic_grid_search")
+@query(
+    "logistic_coefficients",
+    f"{_PLAIN_ROWS}, {unrolled.newton_steps(_NAMES, [(i, c, SOLVERS[s], '') for i, (c, s) in enumerate(_LOGISTIC_POINTS)], 16)} "
+    + " UNION ALL ".join(
+        f"SELECT CASE s%2 WHEN 0 THEN 'liblinear' ELSE 'lbfgs' END AS solver, [0.1,1.0,10.0][s//2+1]::DOUBLE AS c, '{n}' AS feature, round(b{i},6) AS coefficient FROM newton"
+        for i, n in enumerate([*_NAMES, "intercept"])
+    ),
+)
+def logistic_coefficients(spark, folder):
+    """The base model's coefficients on the unbalanced training rows, at every point of its grid, fitted together."""
+    data, _, _ = _training_data(spark, folder)
+    rows = pack(data.train, "features", "label", key=KEY)
+    found = fit_logistic(rows, [LogisticSetting(c, solver) for c, solver in _LOGISTIC_POINTS])
+    released(rows)
+    long = [(solver, c, n, float(b)) for (c, solver), w in zip(_LOGISTIC_POINTS, found) for n, b in zip([*data.encoder.feature_names, "intercept"], w)]
+    return rounded(spark.createDataFrame(long, "solver string, c double, feature string, coefficient double"))
+
+
+@query(
+    "logistic_test_scores",
+    f"{_BALANCED_ROWS}, {unrolled.newton_steps(_NAMES, [(0, 1.0, False, '')], 16)} "
+    f"SELECT row_key, is_laundering AS label, round(1/(1+exp(-z)),6) AS score, (z>0)::INTEGER AS prediction FROM (SELECT *, {_Z} AS z FROM matrix, newton WHERE split='test')",
+)
+def logistic_test_scores(spark, folder):
+    return _test_scores(spark, folder, logistic_spec([1.0], ["lbfgs"]))
+
+
+def _logistic_grid_sql() -> str:
+    settings = [(2 * i + h, c, SOLVERS[s], f"fold<>{h}") for i, (c, s) in enumerate(_LOGISTIC_POINTS) for h in range(2)]
+    points = ", ".join(f"""({i}, '{{"c": {int(c) if c >= 1 else c}, "solver": "{s}"}}')""" for i, (c, s) in enumerate(_LOGISTIC_POINTS))
+    folded = f"learn0 AS (SELECT * FROM matrix WHERE split='train'), {_fold_sql(2, None, 'learn0')}, learn AS MATERIALIZED (SELECT * FROM folds)"
+    return f"""{_MATRIX}, {folded}, {unrolled.newton_steps(_NAMES, settings, 16)}, points(grid_no, params) AS (VALUES {points}),
+    counts AS (SELECT grid_no, params, fold, {_CELLS} FROM (SELECT grid_no, params, fold, is_laundering AS y, ({_Z}>0)::INTEGER AS says FROM learn, newton JOIN points ON s//2=grid_no WHERE s%2=fold) GROUP BY ALL),
+    {_weighted_sql()} SELECT grid_no::INTEGER AS grid_no, params, {_MEANS} FROM weighted GROUP BY ALL"""
+
+
+@query("logistic_grid_search", _logistic_grid_sql())
 def logistic_grid_search(spark, folder):
-    """The base model: unbalanced training rows, two folds."""
+    """The base model: unbalanced training rows, two folds, three penalties and both solvers."""
     data, _, _ = _training_data(spark, folder)
     rows = materialise(sampling.with_folds(data.train, 2, "label"))
     return rounded(grid_search(rows, logistic_spec(), refit="accuracy").table)
 
 
+def _stump_curve_sql() -> str:
+    places = ", ".join(f"CASE WHEN fold<>{h} THEN row_number() OVER (PARTITION BY fold<>{h} ORDER BY md5(row_key||'|42'), row_key) END AS p{h}" for h in range(5))
+    folds = f"""{_fold_sql(5, 42, "learn").replace("folds AS MATERIALIZED", "folds5 AS MATERIALIZED")},
+    folds AS MATERIALIZED (SELECT row_key, fold, {places}, (SELECT count(*) FROM folds5 WHERE fold<>0) AS n0 FROM folds5)"""
+    tables = unrolled.wide_tables(_NAMES, balanced=False, folds=folds).replace("coalesce(fold,-1) AS fold", "coalesce(fold,-1) AS fold, p0, p1, p2, p3, p4, n0")
+    settings = [(10 * h + i, 1.0, h, f"p{h} <= floor({i + 1}*n0/10)") for h in range(5) for i in range(10)]
+    inside = " OR ".join(f"(s//10={h} AND fold<>{h} AND p{h} <= floor((s%10+1)*n0/10))" for h in range(5))
+    return f"""{_MATRIX}, {tables}, {unrolled.stump_rounds(2, settings)}, {unrolled.stump_votes(2)},
+    counts AS (SELECT s%10+1 AS step, s//10 AS held, part, {_CELLS} FROM (SELECT s, y, (vote>0)::INTEGER AS says, CASE WHEN fold=s//10 THEN 'validation' ELSE 'train' END AS part
+        FROM votes JOIN rows USING (id) WHERE k=2 AND use='train' AND (fold=s//10 OR {inside})) GROUP BY ALL), {_weighted_sql()}
+    SELECT step::INTEGER AS step, part, round(avg(precision),6) AS precision_mean, round(stddev_pop(precision),6) AS precision_std,
+    round(avg(recall),6) AS recall_mean, round(stddev_pop(recall),6) AS recall_std FROM weighted GROUP BY ALL"""
+
+
+@query("stump_learning_curve", _stump_curve_sql())
+def stump_learning_curve(spark, folder):
+    """Ten sizes on five folds, all fifty models in the passes of one."""
+    data, _, _ = _training_data(spark, folder)
+    rows = materialise(sampling.with_folds(data.train, 5, "label", seed=42))
+    curve = learning_curve(rows, stump_boost_spec([2], [1.0]), {"rounds": 2, "rate": 1.0}, _FRACTIONS, seed=42)
+    return rounded(curve_summary(curve))
+
+
+@query(
+    "plain_tree_transfer_scores",
+    f"{_BALANCED_ROWS}, {unrolled.plain_tree(4, 200)} SELECT row_key, (value>0.5)::INTEGER AS prediction, round(1-value,6) AS p_not_fraud, round(value,6) AS p_fraud, "
+    "CASE WHEN value>0.5 THEN 'Fraudulent' ELSE 'Non-Fraudulent' END AS verdict FROM rows JOIN node4 USING (id) JOIN leaves USING (node) WHERE NOT starts_with(row_key, 's')",
+)
+def plain_tree_transfer_scores(spark, folder):
+    """Every transfer scored by a saved and reloaded scorer whose model SQL can fit."""
+    data, balanced, _ = _training_data(spark, folder)
+    spec, path = _plain_tree(), scratch_path(spark, "tree-scorer")
+    Scorer(data.encoder, spec.make(spec.grid[0]).fit(balanced)).save(path)
+    return rounded(Scorer.load(spark, path).score(as_requests(transfers(spark, folder), [KEY]), [KEY]))
+
+
 @query("stump_boost_grid_search")
 def stump_boost_grid_search(spark, folder):
     _, balanced, _ = _training_data(spark, folder)

@@ -46,7 +46,8 @@ def query(name: str, sql: str | None = None, uses: str = "enriched") -> Callable
             if text.upper().startswith("SELECT"):
                 ORACLES[name] = (f"WITH {', '.join(tables)}\n" if tables else "") + text
             else:
-                ORACLES[name] = f"WITH {', '.join([*tables, text])}"
+                recursive = "RECURSIVE " if "UNION ALL SELECT k+1" in text else ""
+                ORACLES[name] = f"WITH {recursive}{', '.join([*tables, text])}"
         return f
 
     return register
