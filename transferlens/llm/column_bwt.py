@@ -18,6 +18,8 @@ from transferlens.session import materialise
 #: Length of the content anchors that align pieces; any value below the width gives the same result.
 ANCHOR = 16
 _FULL = np.iinfo(np.int64).max
+#: Stands for a null id: a null among numbers would turn a pandas column into floats.
+_NO_ID = -(2**63)
 _digest = xxhash.xxh3_128_digest
 
 
@@ -196,14 +198,14 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], wi
     columns = left + width
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(
-        F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("_block"), F.col(id).cast("long").alias("_id"),
+        F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int").alias("_block"), F.coalesce(F.col(id).cast("long"), F.lit(_NO_ID)).alias("_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_raw"), *[F.col(k).alias(f"_keep_{i}") for i, k in enumerate(keep)],
     )
 
     def own_hashes(rows: pd.DataFrame) -> tuple:
         """A block's texts and anchors, dealt by part: (ids, texts, number, place, hash, order, bounds)."""
         rows = _texts(rows)
-        ids, texts = rows["_id"].fillna(-(2**63)).to_numpy("int64"), rows["_raw"].tolist()
+        ids, texts = rows["_id"].to_numpy("int64"), rows["_raw"].tolist()
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *_block_anchors(texts, width)]
         number, place, h = (np.concatenate([f[i] for f in found]) for i in range(3))
         part = ((h >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
@@ -324,5 +326,5 @@ def remove_repeats(docs: DataFrame, finish: Callable[[DataFrame], DataFrame], wi
         fields = {f"_keep_{i}": docs.schema[k].dataType.simpleString() for i, k in enumerate(keep)}
         shape = "_id long, _kept binary, n_bytes long, n_removed long, n_spans long" + "".join(f", {n} {t}" for n, t in fields.items())
         result = by_block.cogroup(marks.groupBy("block")).applyInPandas(cut, shape)
-        result = result.select(F.col("_id").cast(kind).alias(id), *[F.col(f"_keep_{i}").alias(k) for i, k in enumerate(keep)], F.col("_kept").alias("kept"), "n_bytes", "n_removed", "n_spans")
+        result = result.select(F.when(F.col("_id") != _NO_ID, F.col("_id")).cast(kind).alias(id), *[F.col(f"_keep_{i}").alias(k) for i, k in enumerate(keep)], F.col("_kept").alias("kept"), "n_bytes", "n_removed", "n_spans")
         return materialise(finish(result))

@@ -49,8 +49,12 @@ def remove_later_runs(docs: DataFrame, keep: list[str] | None = None, min_lines:
     # a blank line has a name of its own; the second list tells the runs that are blank throughout
     named = F.transform(ids, lambda x: F.coalesce(x, F.lit(0).cast("long")))
     filled = F.transform(ids, lambda x: x.isNotNull())
-    spots = rows.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), "_row", F.posexplode(names_by_doubling(named, min_lines)).alias("at", "name"), filled.alias("filled"))
-    spots = spots.where(F.exists(F.slice("filled", F.col("at") + 1, F.lit(min_lines)), lambda x: x)).select("doc", "_row", "at", "name")
+    names = names_by_doubling(named, min_lines)
+    for k in range(1, min_lines):  # whether any line of a run is filled
+        filled = F.zip_with(filled, F.slice(filled, F.lit(2), F.greatest(F.size(filled) - 1, F.lit(0))), lambda a, b: a | F.coalesce(b, F.lit(False)))
+    marked = F.zip_with(names, filled, lambda name, full: F.when(full, name))
+    spots = rows.where(F.col(text).isNotNull()).select(F.col(id).alias("doc"), "_row", F.posexplode(marked).alias("at", "name"))
+    spots = spots.where(F.col("name").isNotNull())
     spots = materialise(spots)
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "_row", "at")
     first = spots.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")

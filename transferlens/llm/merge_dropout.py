@@ -345,7 +345,10 @@ def _coder(*settings) -> DropoutEncoder:
 
 
 def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text; null counts as empty and has no ids."""
+    """(id, ids array<int>) of every whole text, one row for each; null counts as empty and has no ids.
+
+    Ids travel as text, since a null among numbers would turn a pandas column into floats. Rows of one id draw alike.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(model_file, dropout, seed)
         for batch in batches:
@@ -353,8 +356,8 @@ def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, see
             yield pd.DataFrame({id: batch[id], "ids": ids})
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(id, F.col(text).cast("string").alias("t"), F.xxhash64(id).alias("k"))
-    return rows.mapInPandas(run, f"{id} {kind}, ids array<int>")
+    rows = docs.select(F.col(id).cast("string"), F.col(text).cast("string").alias("t"), F.xxhash64(id).alias("k"))
+    return rows.mapInPandas(run, f"{id} string, ids array<int>").withColumn(id, F.col(id).cast(kind))
 
 
 def decode_documents(encoded: DataFrame, model_file: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -365,7 +368,8 @@ def decode_documents(encoded: DataFrame, model_file: str, id: str = "doc_id", id
             yield pd.DataFrame({id: batch[id], "text": ["" if x is None else coder.decode(np.asarray(x)) for x in batch[ids]]})
 
     kind = encoded.schema[id].dataType.simpleString()
-    return encoded.select(id, ids).mapInPandas(run, f"{id} {kind}, text string")
+    rows = encoded.select(F.col(id).cast("string"), ids)
+    return rows.mapInPandas(run, f"{id} string, text string").withColumn(id, F.col(id).cast(kind))
 
 
 def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,5 +386,6 @@ def round_trip(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
             yield pd.DataFrame(out, columns=[id, "n_ids", "ids_crc32", "lossless", "decoded_sha256"])
 
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(id, F.col(text).cast("string").alias("t"), F.xxhash64(id).alias("k"))
-    return rows.mapInPandas(run, f"{id} {kind}, n_ids long, ids_crc32 long, lossless boolean, decoded_sha256 string")
+    rows = docs.select(F.col(id).cast("string"), F.col(text).cast("string").alias("t"), F.xxhash64(id).alias("k"))
+    digests = rows.mapInPandas(run, f"{id} string, n_ids long, ids_crc32 long, lossless boolean, decoded_sha256 string")
+    return digests.withColumn(id, F.col(id).cast(kind))

@@ -90,7 +90,8 @@ class PitmanYorModel:
         if contexts > 1 << 22 or contexts & (contexts - 1):
             raise ValueError("contexts must be a power of two up to 2^22")
         shift = np.uint64(64 - int(contexts).bit_length() + 1)
-        rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
+        # Ids travel as text: a null among numbers would turn a pandas column into floats.
+        rows = docs.select(F.col(id).cast("long").cast("string").alias("id"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
         hot = self._hot_words(rows, parts)
         hot_hash = np.array(sorted(_hash(w) for w in hot), np.uint64)
 
@@ -110,8 +111,8 @@ class PitmanYorModel:
                     state["tokens"].append(np.array(found, np.int64))
                     state["before"].append(np.array([1, *found[:-1]], np.int64))
                     state["doc"].append(len(found))
-                    state["none"].append(bool(pd.isna(i)))
-                    state["ids"].append(0 if pd.isna(i) else int(i))
+                    state["none"].append(i is None)
+                    state["ids"].append(0 if i is None else int(i))
                     state["learn"].append(bool(learned))
                     state["n"] += len(found)
                     if state["n"] >= chunk_tokens or len(state["doc"]) >= 1 << 14:

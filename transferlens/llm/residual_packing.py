@@ -78,7 +78,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id:
     """Rows (id, piece, start, length, ids_crc32): each document's ids with a closing 0, cut at ``capacity``.
 
     White space never takes part in an id of this kind of vocabulary, so a text's ids are those of its
-    words one after another, and a worker encodes each word about once. Null texts count as empty.
+    words one after another, and a worker encodes each word about once. Null texts count as empty. Each row
+    is a document of its own, also with a null or repeated id; ids travel as text, since a null among
+    numbers would turn a pandas column into floats.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,8 +109,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id:
             yield pd.DataFrame(out, columns=[id, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id].dataType.simpleString()
-    texts = docs.select(id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    return texts.mapInPandas(pieces, f"{id} {kind}, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(F.col(id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    found = texts.mapInPandas(pieces, f"{id} string, piece int, start long, length long, ids_crc32 long")
+    return found.withColumn(id, F.col(id).cast(kind))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
