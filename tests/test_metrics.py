@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_no_predicted_positives(spark):
     report = {r["class"]: r for r in metrics.class_report(counts).collect()}
     assert report["1"]["precision"] == 0.0 and report["1"]["support"] == 2
     assert metrics.with_rates(spark.createDataFrame([(0, 0, 2, 0)], "tn long, fp long, fn long, tp long")).first()["fpr"] is None
+
+
+def test_roc_curve_without_points_on_a_line(spark):
+    rng = np.random.default_rng(8)
+    score = np.round(rng.random(400), 3)
+    label = (rng.random(400) < score).astype(int)
+    label[score > 0.9] = 1
+    df = spark.createDataFrame(list(zip(score.tolist(), label.tolist())), "score double, is_laundering int")
+    order = np.unique(score)[::-1]
+    tps = np.cumsum([label[score == s].sum() for s in order])
+    fps = np.cumsum([(1 - label[score == s]).sum() for s in order])
+    keep = np.r_[True, (np.diff(fps, 2) != 0) | (np.diff(tps, 2) != 0), True]
+    expected = [(float(s), f / fps[-1], t / tps[-1]) for s, f, t, k in zip(order, fps, tps, keep) if k]
+    for rows_per_bucket in (1_000_000, 17):
+        got = metrics.roc_curve(df, rows_per_bucket=rows_per_bucket, drop_intermediate=True).where("threshold < 2").orderBy(F.desc("threshold")).collect()
+        assert len(got) == len(expected) < len(order) and np.allclose([tuple(r) for r in got], expected)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from transferlens.operators.ranking import running_totals
+from transferlens.operators.ranking import running_totals, with_next
 from transferlens.schema import LABEL
 from transferlens.session import materialise
 
@@ -103,10 +103,19 @@ def _totals(table: DataFrame) -> tuple[int, int]:
     return tuple(table.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum("neg"), F.lit(0))).first())
 
 
-def roc_curve(df: DataFrame, score: str = "score", label: str = LABEL, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, from (0, 0) at an infinite threshold."""
+def roc_curve(df: DataFrame, score: str = "score", label: str = LABEL, rows_per_bucket: int = 1_000_000, drop_intermediate: bool = False) -> DataFrame:
+    """(threshold, fpr, tpr) per distinct score, from (0, 0) at an infinite threshold.
+
+    ``drop_intermediate`` leaves out scores after which both counts go on as they came, so that the point lies
+    on the line between its neighbours; the highest and the lowest score stay.
+    """
     table = score_table(df, score, label, rows_per_bucket)
     pos, neg = _totals(table)
+    if drop_intermediate:
+        table = with_next(table, "score", ["pos", "neg"], rows_per_bucket)
+        first = (F.col("upto_pos") == F.col("pos")) & (F.col("upto_neg") == F.col("neg"))
+        turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+        table = table.where(first | F.col("next_pos").isNull() | turns)
     points = table.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("upto_neg"), F.lit(neg)).alias("fpr"),

@@ -174,3 +174,25 @@ def running_totals(df: DataFrame, order_by: str, sums: list[str], rows_per_bucke
     summed = bucketed.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums})
     joined = summed.join(F.broadcast(offsets), "_bucket")
     return joined.select(*df.columns, *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"upto_{c}") for c in sums])
+
+
+def with_next(df: DataFrame, order_by: str, columns: list[str], rows_per_bucket: int = 1_000_000, rows: int | None = None) -> DataFrame:
+    """Adds ``next_<column>``, the value in the row that follows when ``order_by`` (unique) falls; null in the last row.
+
+    Rows are cut into buckets of the value range as in ``running_totals``; a bucket's last row gets the first
+    row of the next bucket that has any, from a table with one row per bucket.
+    """
+    rows = df.count() if rows is None else rows
+    n_buckets = math.ceil(rows / rows_per_bucket)
+    if n_buckets <= 1:
+        order = Window.orderBy(F.desc(order_by))
+        return df.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    splits = sorted(set(df.approxQuantile(order_by, probs, 0.1 / n_buckets)))
+    bucketed = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol=order_by, outputCol="_bucket").transform(df)
+    heads = bucketed.groupBy("_bucket").agg(F.max_by(F.struct(*columns), order_by).alias("_head"))
+    following = heads.select("_bucket", F.lead("_head").over(Window.orderBy(F.desc("_bucket"))).alias("_head"))
+    inside = Window.partitionBy("_bucket").orderBy(F.desc(order_by))
+    marked = bucketed.withColumns({"_last": F.lead(F.lit(1)).over(inside).isNull(), **{f"_in_{c}": F.lead(c).over(inside) for c in columns}})
+    joined = marked.join(F.broadcast(following), "_bucket")
+    return joined.select(*df.columns, *[F.when(F.col("_last"), F.col(f"_head.{c}")).otherwise(F.col(f"_in_{c}")).alias(f"next_{c}") for c in columns])

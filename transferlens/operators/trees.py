@@ -366,33 +366,30 @@ def _feature_order(seed: int, tree: int, path: int, width: int) -> np.ndarray:
 
 def grow_inside_task(x: np.ndarray, y: np.ndarray, weight: np.ndarray, setting: ForestSetting, tree_no: int, path: int, depth: int) -> Tree:
     """A whole subtree from a node's rows (features in rows), by sorting them at each node."""
-    out, rule, width = Tree(), Gini(setting.min_leaf), x.shape[0]
+    out, width = Tree(), x.shape[0]
     take = setting.features or max(1, int(math.sqrt(width)))
-    by_class = np.stack([np.where(y == 0, weight, 0.0), np.where(y == 1, weight, 0.0), np.ones(len(y))])
+    positive = np.where(y == 1, weight, 0.0)
     waiting = [(out.add(0.0), np.arange(len(y)), path, depth)]
     while waiting:
         node, rows, path, depth = waiting.pop()
-        whole = by_class[:, rows].sum(axis=1)
+        w, w1 = weight[rows], positive[rows]
+        whole = np.array([0.0, w1.sum(), len(rows)])
+        whole[0] = w.sum() - whole[1]
         out.value[node] = float(whole[1] / (whole[0] + whole[1]))
         if _is_leaf(whole, setting, depth):
             continue
         order = _feature_order(setting.seed, tree_no, path, width)
         best = None
         for group in (order[:take], *order[take:, None]):
-            features = np.sort(group)
-            values = x[np.ix_(features, rows)]
-            place = np.argsort(values, axis=1, kind="stable")
-            values = np.take_along_axis(values, place, axis=1)
-            upto = by_class[:, rows][:, place].cumsum(axis=2)
-            score = rule.score(upto[:, :, :-1], whole[:, None, None] - upto[:, :, :-1])
-            score = np.where(values[:, 1:] > values[:, :-1], score, -np.inf)
-            i, j = np.unravel_index(int(score.argmax()), score.shape)
-            if score[i, j] > -np.inf:
-                best = int(features[i]), float(values[i, j]), float(values[i, j + 1])
+            for f in sorted(group.tolist()):
+                found = _best_value(x[f, rows], w, w1, whole, setting.min_leaf)
+                if found is not None and (best is None or found[0] > best[0]):
+                    best = (*found, f)
+            if best is not None:
                 break
         if best is None:
             continue
-        feature, low, high = best
+        _, low, high, feature = best
         middle = low + (high - low) / 2
         threshold = middle if low <= middle < high else low
         goes = x[feature, rows] <= threshold
@@ -401,6 +398,23 @@ def grow_inside_task(x: np.ndarray, y: np.ndarray, weight: np.ndarray, setting:
     return out
 
 
+def _best_value(values: np.ndarray, w: np.ndarray, w1: np.ndarray, whole: np.ndarray, min_leaf: int) -> tuple[float, float, float] | None:
+    """(score, value, next value) of the first best split of one feature, scored as ``Gini`` does."""
+    order = np.argsort(values)
+    values = values[order]
+    at = np.flatnonzero(values[1:] > values[:-1])
+    if min_leaf > 1:
+        at = at[(at + 1 >= min_leaf) & (len(values) - at - 1 >= min_leaf)]
+    if not len(at):
+        return None
+    left, left1 = np.cumsum(w[order])[at], np.cumsum(w1[order])[at]
+    total = whole[0] + whole[1]
+    right, right1 = total - left, whole[1] - left1
+    score = np.round(-(2 * (left - left1) * left1 / left + 2 * (right - right1) * right1 / right) / total, Gini.digits)
+    k = int(score.argmax())
+    return float(score[k]), float(values[at[k]]), float(values[at[k] + 1])
+
+
 def _is_leaf(whole: np.ndarray, setting: ForestSetting, depth: int) -> bool:
     pure = whole[0] == 0 or whole[1] == 0
     return pure or whole[2] < max(setting.min_split, 2 * setting.min_leaf) or (setting.depth is not None and depth >= setting.depth)
