@@ -60,7 +60,7 @@ def test_large_lookup_gives_the_same_shares(spark, monkeypatch):
     small = sorted(fitted.transform(more).collect())
     import transferlens.functions.joins as joins
 
-    monkeypatch.setattr(features_module, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(features_module, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(joins, "HOT_SHARE", 0.01)
     assert sorted(fitted.transform(more).collect()) == small
     assert len(small) == 3001
@@ -79,11 +79,34 @@ def test_vector_equals_columns(fitted, train):
         assert list(r["features"].toArray()) == wide[r["row_key"]]
 
 
-def test_too_many_categories(spark, monkeypatch):
-    monkeypatch.setattr(features_module, "MAX_CATEGORIES", 3)
-    rows = [(str(i), 1.0, "A", "B", f"f{i}", "Monday") for i in range(5)]
-    with pytest.raises(ValueError, match="categories"):
-        FeatureEncoder().fit(spark.createDataFrame(rows, SCHEMA))
+def test_five_thousand_categories(spark):
+    """Vectors come from places of sorted values; values not seen, and null where none was seen, give no flag."""
+    rows = [(str(i), float(i % 7), "A", "B", f"f{i:04d}", "Monday") for i in range(5000)]
+    fitted = FeatureEncoder().fit(spark.createDataFrame(rows, SCHEMA))
+    more = spark.createDataFrame([*rows[::500], ("x", 1.0, "A", "B", "other", "Monday"), ("y", 1.0, "A", "B", None, "Monday")], SCHEMA)
+    got = {r["row_key"]: r["features"] for r in fitted.transform_to_vector(more, ["row_key"]).collect()}
+    assert fitted._values is None  # no list of values was needed
+    assert {v.size for v in got.values()} == {3 + 5000 + 1}
+    for i in range(0, 5000, 500):
+        assert list(got[str(i)].indices[got[str(i)].indices >= 3]) == [3 + i, 5003]
+    assert list(got["x"].indices[got["x"].indices >= 3]) == list(got["y"].indices[got["y"].indices >= 3]) == [5003]
+    assert len(fitted.feature_names) == 5004 and fitted.feature_names[3] == "payment_format_f0000"
+
+
+def test_hot_key_that_training_never_saw(spark, monkeypatch):
+    """A third of the scored rows share an unknown account; the shuffled join spreads them."""
+    import transferlens.functions.joins as joins
+
+    monkeypatch.setattr(features_module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 0.5)
+    known = spark.createDataFrame([(str(i), 1.0, f"a{i % 900}", "B", "ACH", "Monday") for i in range(1800)], SCHEMA)
+    fitted = FeatureEncoder().fit(known)
+    scored = spark.createDataFrame([(str(i), 1.0, "stranger" if i % 3 == 0 else f"a{i % 900}", "B", "ACH", "Monday") for i in range(3000)], SCHEMA)
+    lookup = fitted.lookup.where(F.col("column") == "account").select(F.col("value").alias("account"))
+    assert joins._frequent_unknown(scored, lookup, "account") == ["stranger"]
+    shares = {r["row_key"]: r["account_share"] for r in fitted.transform(scored).collect()}
+    assert len(shares) == 3000
+    assert all(shares[str(i)] == (0.0 if i % 3 == 0 else 2 / 1800) for i in range(3000))
 
 
 def _brute(x, k):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from transferlens.operators import metrics
 from transferlens.operators.boosting import StumpBooster
-from transferlens.operators.features import FittedEncoder
+from transferlens.operators.features import FeatureEncoder
 from transferlens.operators.models import logistic, random_forest
 from transferlens.operators.profiling import distinct_counts
 from transferlens.operators.splits import pack
@@ -26,8 +26,10 @@ def test_vif_of_proportional_and_constant_columns(spark):
 
 
 def test_a_value_called_null_and_a_missing_one(spark):
-    encoder = FittedEncoder([], [], ["k"], {}, {}, {"k": ["null", None]}, {}, None)
-    got = encoder.transform_to_vector(spark.createDataFrame([("null",), (None,)], "k string"), []).collect()
+    df = spark.createDataFrame([("null",), (None,)], "k string")
+    encoder = FeatureEncoder([], [], ["k"]).fit(df)
+    assert encoder.categories == {"k": ["null", None]} and encoder.feature_names == ["k_null", "k_null_"]
+    got = encoder.transform_to_vector(df, []).collect()
     assert sorted(tuple(r["features"].toArray()) for r in got) == [(0.0, 1.0), (1.0, 0.0)]
 
 

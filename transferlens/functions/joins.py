@@ -7,15 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Keys with at least this share of the rows are hot; there can be no more than 1/HOT_SHARE of them.
 HOT_SHARE = 1e-4
 SALTS = 1024
+# Keys of the other side with at least this share of its rows are looked for among the unknown ones.
+UNKNOWN_SHARE = 1e-3
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, key: str, share: str, small: bool, spread: list[str | Column]) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, share: str, small: bool, spread: list[str | Column], covers: bool = False) -> DataFrame:
     """Left join of ``df[key]`` with ``lookup[key]``, nulls matching nulls.
 
     ``share`` (a lookup column, never null) is the part of the rows that carry the key. A small
     lookup is broadcast. Of a large one only the hot keys are broadcast, whose number is bounded
     whatever the table size; rows they match get a salted null key in the second, shuffled join and
-    so spread evenly over its tasks.
+    so spread evenly over its tasks. So do rows whose key is frequent in ``df`` but absent from the
+    lookup; these keys (at most 1/UNKNOWN_SHARE) come from a pass over ``df``, which streams go without
+    and a lookup that ``covers`` all keys does not need.
     """
     payload = [c for c in lookup.columns if c != key]
     near = lookup if small else lookup.where((F.col(share) >= HOT_SHARE) | F.col(key).isNull())
@@ -24,6 +28,8 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, share: str, small: b
     if small:
         return out
     done = F.col(share).isNotNull() | F.col(key).isNull()
+    if unknown := [] if covers or df.isStreaming else _frequent_unknown(df, lookup, key):
+        done = done | F.col(key).isin(unknown)
     salt = (F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).cast("int")
     out = out.withColumns({"_key": F.when(~done, F.col(key)), "_salt": F.when(done, salt).otherwise(F.lit(0))})
     cold = lookup.where((F.col(share) < HOT_SHARE) & F.col(key).isNotNull()).select(
@@ -31,3 +37,11 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, share: str, small: b
     )
     out = out.join(cold, ["_key", "_salt"], "left")
     return out.select(*df.columns, *[F.coalesce(F.col(c), F.col(f"_cold_{c}")).alias(c) for c in payload])
+
+
+def _frequent_unknown(df: DataFrame, lookup: DataFrame, key: str) -> list:
+    """Keys with at least UNKNOWN_SHARE of the rows of ``df`` that ``lookup`` does not have."""
+    present = df.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
+    frequent = present.stat.freqItems(["_key"], UNKNOWN_SHARE).select(F.explode("_key_freqItems").alias("_key"))
+    known = lookup.select(F.col(key).alias("_key"))
+    return [r["_key"] for r in frequent.join(known, "_key", "left_anti").collect()]

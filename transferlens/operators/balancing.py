@@ -128,7 +128,7 @@ def with_neighbours(minority: DataFrame, rows: int, k: int = 5, block_rows: int
     nearest_rows = F.slice(F.sort_array(F.flatten(rows_of)), 1, k + 1).alias("candidates")
     lists = listed.select("point", nearest_rows).join(points.select("point", "x", "share"), "point").drop("point")
 
-    joined = lookup_join(minority, lists, "x", "share", small=n_points <= broadcast_rows, spread=["index"])
+    joined = lookup_join(minority, lists, "x", "share", small=n_points <= broadcast_rows, spread=["index"], covers=True)
     others_only = F.filter("candidates", lambda c: c["index"] != F.col("index"))
     return joined.select(*minority.columns, F.slice(others_only, 1, k).alias("neighbours"))
 

@@ -176,15 +176,14 @@ def histogram(df: DataFrame, column: str, label: str | None = LABEL, bins: int =
     return counts.withColumn("bin_start", F.lit(low) + F.col("bin") * F.lit(width))
 
 
-def density(
-    df: DataFrame, column: str, points: int = 200, cut: float = 3.0, bins_per_bandwidth: int = 50, exact: bool = False
-) -> DataFrame:
+def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0, bins_per_bandwidth: int | None = None) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid that reaches ``cut`` bandwidths
     past the data.
 
-    Values are first counted in bins of width h/``bins_per_bandwidth`` around their mean, which
-    changes a density by less than 1/(24·bins²) of its curvature term; ``exact`` counts equal values
-    instead. A bin reaches grid points within 9 bandwidths only: farther ones add less than 1e-17.
+    Equal values are counted first and every value adds to every grid point; those over 39 bandwidths
+    away are skipped, where the kernel is zero in double precision. With ``bins_per_bandwidth`` values
+    are counted in bins of that width around their mean instead, which changes a density by less than
+    1/(24·bins²) of its curvature term.
     """
     present = df.where(~is_missing(df, column)).select(F.col(column).cast("double").alias("x"))
     n, sigma, low, high = present.agg(F.count("x"), F.stddev_samp("x"), F.min("x"), F.max("x")).first()
@@ -193,12 +192,12 @@ def density(
     h = sigma * n ** (-1 / 5)
     start = low - cut * h
     step = (high + cut * h - start) / (points - 1)
-    if exact:
+    if bins_per_bandwidth is None:
         weights = present.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
     else:
         b = F.floor((F.col("x") - F.lit(low)) * F.lit(bins_per_bandwidth / h))
         weights = present.groupBy(b.alias("b")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("w"))
-    reach = 9 * h
+    reach = 39 * h
     first = F.greatest(F.ceil((F.col("x") - F.lit(reach + start)) / F.lit(step)), F.lit(0))
     last = F.least(F.floor((F.col("x") + F.lit(reach - start)) / F.lit(step)), F.lit(points - 1))
     near = weights.where(first <= last).select("x", "w", F.explode(F.sequence(first, last)).alias("point"))

@@ -152,6 +152,22 @@ def with_dense_index(df: DataFrame, key: str, rows: int, name: str = "index") ->
     )
 
 
+def with_place(df: DataFrame, within: list[str], order_by: list[Column], name: str) -> DataFrame:
+    """Adds each row's place, from 0, in the order of ``order_by`` (unique) among the rows equal in ``within``.
+
+    Rows are cut into ranges and written, numbered inside each range, and moved by the sizes of the ranges before.
+    """
+    ordered = df.withColumns({f"_by{i}": c for i, c in enumerate(order_by)})
+    by = [f"_by{i}" for i in range(len(order_by))]
+    ranged = materialise(ordered.repartitionByRange(*within, *by).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range, and one more per value of ``within``
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*within, "_range").orderBy(*by)
+    numbered = ranged.withColumn("_place", F.row_number().over(inside) - 1).join(offsets, [*within, "_range"])
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_place")).cast("bigint").alias(name))
+
+
 def running_totals(df: DataFrame, order_by: str, sums: list[str], rows_per_bucket: int = 1_000_000, rows: int | None = None) -> DataFrame:
     """Running sums over ``order_by`` descending; adds ``upto_<column>`` for each summed column.
 

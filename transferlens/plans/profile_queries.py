@@ -344,10 +344,7 @@ def _scaled_density(df: DataFrame) -> DataFrame:
 
 @query(
     "amount_density",
-    _density(
-        "amount_received", "transfers",
-        "SELECT avg(amount_received) AS x, count(*) AS w FROM transfers, s GROUP BY floor((amount_received-low)*(50/h))",
-    ),
+    _density("amount_received", "transfers", "SELECT amount_received AS x, count(*) AS w FROM transfers GROUP BY 1"),
 )
 def amount_density(spark, folder):
     return _scaled_density(profiling.density(transfers(spark, folder), "amount_received"))
@@ -358,7 +355,7 @@ def amount_density(spark, folder):
     "bad AS (SELECT * FROM transfers WHERE is_laundering = 1), " + _density("amount_paid", "bad", "SELECT amount_paid AS x, count(*) AS w FROM bad GROUP BY 1"),
 )
 def suspicious_amount_density_exact(spark, folder):
-    return _scaled_density(profiling.density(transfers(spark, folder).where(F.col(LABEL) == 1), "amount_paid", exact=True))
+    return _scaled_density(profiling.density(transfers(spark, folder).where(F.col(LABEL) == 1), "amount_paid"))
 
 
 @query("class_counts", "SELECT is_laundering, count(*) AS count FROM transfers GROUP BY 1")
