@@ -53,3 +53,15 @@ def test_blank_runs_stay_and_half_blank_runs_go(spark):
     docs = spark.createDataFrame([(1, "a\n\n\n\nb\n"), (2, "\n\n\n\nb\n"), (3, "\n\n\n")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in remove_later_runs(docs).collect()}
     assert got == {1: "a\n\n\n\nb\n", 2: "\n\n", 3: "\n\n\n"}
+
+
+def test_long_single_lines_go_and_short_ones_stay(spark):
+    """A line of 60 characters counts alone, also as a whole text, and once where a run covers it too."""
+    long, other = "x" * 60, "y" * 59
+    texts = [f"a\n{long}\nb\n{other}", long, other, f"c\n{long}\nd\n{other}\ne", f"{long}\nb\n{long}", " " * 70 + "\n" + " " * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"]) for r in remove_later_runs(docs, long_line=60).collect()}
+    assert got[0] == (texts[0], 0, 0) and got[1] == ("", 1, 1) and got[2] == (other, 0, 0)
+    assert got[3] == (f"c\nd\n{other}\ne", 1, 1) and got[4] == ("", 3, 1) and got[5] == (texts[5], 0, 0)
+    plain = {r["doc_id"]: r["text"] for r in remove_later_runs(docs).collect()}
+    assert plain[1] == long and plain[3] == texts[3] and plain[4] == long

@@ -115,7 +115,11 @@ later AS (
     SELECT *, row_number() OVER (PARTITION BY name, next ORDER BY doc_id, pos) AS k
     FROM pairs WHERE next IS NOT NULL AND NOT (name = '' AND next = ''))
   WHERE k > 1),
-marks AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later)),
+long_later AS (
+  SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS k FROM named WHERE name <> '' AND length(line) >= 60)
+  WHERE k > 1),
+marks AS (SELECT DISTINCT doc_id, pos FROM (
+  SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later UNION ALL SELECT doc_id, pos FROM long_later)),
 state AS (SELECT l.*, m.pos IS NOT NULL AS gone FROM lines l LEFT JOIN marks m USING (doc_id, pos)),
 flow AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM state)
 SELECT d.doc_id, coalesce(any_value(f.n), 0)::BIGINT AS n_lines, (count(*) FILTER (f.gone))::BIGINT AS n_removed,
@@ -126,7 +130,7 @@ FROM documents d LEFT JOIN flow f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    kept = remove_later_runs(docs, ["doc_id", "text"])
+    kept = remove_later_runs(docs, ["doc_id", "text"], long_line=60)
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"))
 
 
