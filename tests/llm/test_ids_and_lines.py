@@ -65,3 +65,35 @@ def test_long_single_lines_go_and_short_ones_stay(spark):
     assert got[3] == (f"c\nd\n{other}\ne", 1, 1) and got[4] == ("", 3, 1) and got[5] == (texts[5], 0, 0)
     plain = {r["doc_id"]: r["text"] for r in remove_later_runs(docs).collect()}
     assert plain[1] == long and plain[3] == texts[3] and plain[4] == long
+
+
+def test_temperature_lies_inside_its_range():
+    """Separable and mixed logits; the least loss of a fine grid is not better."""
+    import numpy as np
+
+    from transferlens.llm.language import _probabilities, _temperature
+
+    rng = np.random.default_rng(7)
+    truth = rng.integers(0, 3, 200)
+    for mixed in (0.0, 2.0):
+        logits = 5 * np.eye(3)[truth] + mixed * rng.normal(size=(200, 3))
+        target = np.full((200, 3), 1 / 202 / 2)
+        target[np.arange(200), truth] = 201 / 202
+        loss = lambda t: -(target * np.log(_probabilities(logits / t))).sum()
+        found = _temperature(logits, truth)
+        assert 0.01 < found < 100 and loss(found) <= min(map(loss, np.geomspace(0.01, 100, 400))) + 1e-9
+    assert _temperature(np.zeros((5, 3)), truth[:5]) == 1.0
+
+
+def test_language_model_does_not_depend_on_the_partitions(spark):
+    import numpy as np
+
+    from transferlens.llm.language import LanguageModel
+
+    words = {"aa": "alpha beta gamma delta", "bb": "uno dos tres cuatro"}
+    rows = [(i, f"{words[k]} {words[k].split()[i % 4]} {i % 3}", k) for i in range(120) for k in ["aa", "bb"][i % 2 : i % 2 + 1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = LanguageModel().fit(docs.repartition(1)), LanguageModel().fit(docs.repartition(7))
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.temperature - many.temperature) < 1e-6 and np.abs(one.weights).max() > 0
+    got = one.predict(docs, ["doc_id", "lang"])
+    assert got.where("lang <> lang_pred OR score <= 0.5 OR score >= 1").count() == 0

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transferlens.session import cores, materialise
+from transferlens.session import discard, materialise
 
 _LETTERS: list[np.ndarray] = []
 
@@ -52,11 +52,34 @@ def _probabilities(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The divisor of the logits with the least loss against smoothed truth.
+
+    The true class of n rows has the target (n+1)/(n+2) and the rest goes to the others, so the least
+    loss lies at a finite temperature also where all rows are told apart.
+    """
+    n, k = logits.shape
+    if k < 2 or not np.ptp(logits):
+        return 1.0
+    target = np.full((n, k), 1 / (n + 2) / max(k - 1, 1))
+    target[np.arange(n), truth] = (n + 1) / (n + 2)
+
+    def loss(t: float) -> float:
+        return -(target * np.log(np.maximum(_probabilities(logits / t), 1e-300))).sum() / n
+
+    low, high = -7.0, 7.0  # of log t; the loss has one valley
+    for _ in range(60):
+        a, b = low + (high - low) * 0.382, low + (high - low) * 0.618
+        low, high = (low, b) if loss(np.exp(a)) <= loss(np.exp(b)) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 @dataclass
 class LanguageModel:
     """N-gram document frequencies cover all training texts; labelled rows of the fit are bounded by ``max_rows``.
 
-    Each epoch trains one FTRL-proximal learner per part of those rows and averages their states. The
+    Each epoch trains ``learners`` FTRL-proximal learners, each on its share of those rows by id hash, and
+    averages their states as rows (language, bucket), so that the model does not depend on the cluster. The
     last tenth of the rows (by id hash) sets the temperature. The driver holds two arrays of
     languages x ``buckets``, whatever the size of the corpus.
     """
@@ -68,6 +91,7 @@ class LanguageModel:
     l1: float = 0.02
     l2: float = 0.1
     epochs: int = 3
+    learners: int = 4
     unknown: str = "und"
     languages: list[str] = field(default_factory=list)
     idf: np.ndarray | None = None
@@ -89,13 +113,10 @@ class LanguageModel:
             yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
 
         texts = docs.select(F.col(text).cast("string").alias("t"))
-        seen = texts.mapInPandas(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row a bucket
-        df, n = np.zeros(buckets), 0
-        for r in seen:
-            if r["bucket"] < 0:
-                n = r["n"]
-            else:
-                df[r["bucket"]] = r["n"]
+        seen = texts.mapInPandas(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # one row a bucket
+        counted = np.zeros(buckets + 1)  # the last one counts texts
+        counted[seen["bucket"].to_numpy(np.int64)] = seen["n"]
+        df, n = counted[:-1], counted[-1]
         self.idf = idf = np.log((n + 1) / (df + 1)) + 1.0
 
         chosen = (
@@ -114,9 +135,8 @@ class LanguageModel:
                 })
 
         rows = known.mapInPandas(featurise, "_id long, y string, at array<int>, x array<float>")
-        parts = min(4, cores(spark))
-        rows = rows.withColumn("u", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(10))).repartition(parts, "_id")
-        rows = materialise(rows)
+        rows = rows.withColumn("u", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(10)))
+        rows = materialise(rows.withColumn("learner", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(self.learners)).cast("int")).repartition(self.learners, "learner"))
         self.languages = sorted(r["y"] for r in rows.select("y").distinct().collect())
         size = (max(len(self.languages), 1), buckets)
         z, s = np.zeros(size), np.zeros(size)
@@ -129,14 +149,23 @@ class LanguageModel:
         def solve(z: np.ndarray, s: np.ndarray) -> np.ndarray:
             return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(s)) / alpha + l2))
 
+        def weighted(z: np.ndarray, s: np.ndarray, n: int) -> pd.DataFrame:
+            language, bucket = np.nonzero(s)
+            return pd.DataFrame({"language": language, "bucket": bucket, "z": n * z[language, bucket], "s": n * s[language, bucket]})
+
+        taught = rows.where("u < 9").count()
         for _ in range(self.epochs):
             start = spark.sparkContext.broadcast((z, s))
 
             def learn(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-                z, s = (a.copy() for a in start.value)
-                n = 0
+                """The rows of a task are sorted by learner; each learner starts from the common state."""
+                now, n = None, 0
                 for batch in batches:
-                    for y, at, x in zip(batch["y"], batch["at"], batch["x"]):
+                    for learner, y, at, x in zip(batch["learner"], batch["y"], batch["at"], batch["x"]):
+                        if learner != now:
+                            if n:
+                                yield weighted(z, s, n)
+                            now, n, (z, s) = learner, 0, (a.copy() for a in start.value)
                         at, x = np.asarray(at), np.asarray(x, np.float64)
                         w = solve(z[:, at], s[:, at])
                         p = _probabilities(w @ x)
@@ -148,13 +177,16 @@ class LanguageModel:
                         s[:, at] = new
                         n += 1
                 if n:
-                    yield pd.DataFrame({"n": [n], "z": [z.tobytes()], "s": [s.tobytes()]})
+                    yield weighted(z, s, n)
 
-            found = rows.where("u < 9").select("y", "at", "x").mapInPandas(learn, "n long, z binary, s binary").toPandas()  # one row a part
+            own = rows.where("u < 9").withColumn("order", F.xxhash64("_id", F.lit(3))).repartition(self.learners, "learner")
+            own = own.sortWithinPartitions("learner", "order", "_id", "y").select("learner", "y", "at", "x")
+            states = own.mapInPandas(learn, "language int, bucket int, z double, s double")
+            found = states.groupBy("language", "bucket").agg(F.sum("z").alias("z"), F.sum("s").alias("s")).toPandas()  # languages x buckets at most
             if len(found):
-                share = found["n"].to_numpy() / found["n"].sum()
-                z = sum(w * np.frombuffer(b).reshape(size) for w, b in zip(share, found["z"]))
-                s = sum(w * np.frombuffer(b).reshape(size) for w, b in zip(share, found["s"]))
+                z, s = np.zeros(size), np.zeros(size)
+                at = found["language"].to_numpy(), found["bucket"].to_numpy()
+                z[at], s[at] = found["z"] / taught, found["s"] / taught
             start.unpersist()
         self.weights = weights = solve(z, s).astype(np.float32)
 
@@ -165,9 +197,8 @@ class LanguageModel:
         apart = rows.where("u = 9").select("y", "at", "x").mapInPandas(logits, "y int, f array<double>").toPandas()  # a tenth of max_rows
         if len(apart):
             f, y = np.array(apart["f"].tolist()), apart["y"].to_numpy()
-            grid = np.geomspace(0.02, 20, 61)
-            loss = [-np.log(np.maximum(_probabilities(f / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-            self.temperature = float(grid[int(np.argmin(loss))])
+            self.temperature = _temperature(f, y)
+        discard(rows)
         return self
 
     def predict(self, docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
