@@ -180,18 +180,29 @@ def test_merge_dropout_side_by_side_equals_the_heap():
     coder = DropoutEncoder(public_tokenizers.path("piece_bpe_32k.model"), dropout=0.3)
     words = ["\u2581the", "\u2581internationalisation", "\u2581\u2581\u2581", "a", "\n", "\u2581na\u00efve", "\u2581\u732b\U0001f642x", "\u2581" + "ab" * 40, "z" * 63, "z" * 64]
     asked = [(w, v) for w in words for v in range(4)]
-    assert coder._segment_many(asked) == [coder._segment(*a) for a in asked]
+    ids, _ = coder._segment_many([w for w, _ in asked], np.array([v for _, v in asked], np.uint64))
+    found = [ids.values[at : at + n].astype("<u4").tobytes() for at, n in zip(ids.first, ids.count)]
+    assert found == [coder._segment(*a) for a in asked]
     texts = ["", "a \u2581 b\n\n c", "x" * 3_000, "one two " * 500]
     alone = [coder.encode(t, k).tolist() for k, t in enumerate(texts)]
     assert [x.tolist() for x in coder.encode_many(texts, [0, 1, 2, 3])] == alone
     assert [coder.decode(np.array(x, "<u4")) for x in alone] == texts
 
 
+def test_merge_dropout_store_size_changes_no_result(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [LONG[i * 500 : i * 500 + 900] for i in range(12)] + ["", "a \u2581 b"]
+    usual = [x.tolist() for x in DropoutEncoder(path, 0.3).encode_many(texts, list(range(14)))]
+    monkeypatch.setattr("transferlens.llm.merge_dropout._STORED", 20)
+    monkeypatch.setattr("transferlens.llm.merge_dropout._BLOCK", 2_000)
+    assert [x.tolist() for x in DropoutEncoder(path, 0.3).encode_many(texts, list(range(14)))] == usual
+
+
 def test_merge_dropout_draws_for_every_occurrence():
     path = public_tokenizers.path("piece_bpe_32k.model")
     coder, plain = DropoutEncoder(path, 0.1), DropoutEncoder(path, 0.0)
     word = "\u2581q"  # one merge
-    assert len(plain._plain_many([word])[0][1]) == 1
+    assert plain._segment_many([word])[1].count.tolist() == [1]
     text = " ".join(["q"] * 20_000)
     shares = [(len(coder.encode(text, key)) - 20_000) / 20_000 for key in range(3)]
     assert all(0.09 < x < 0.11 for x in shares)

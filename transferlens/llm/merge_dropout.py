@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = "▁"
-#: Plain segmentations kept per worker in each of two generations: when the young one is full it becomes
-#: the old one, and what is asked for again comes back from there. This changes no result.
+#: Plain segmentations kept per worker (and at most 8 times as many merges): before a block of texts a full
+#: store is emptied. This changes no result.
 _STORED = 500_000
 _CODERS: dict[tuple, DropoutEncoder] = {}
-_Plain = tuple[bytes, np.ndarray]
-_NO_SPANS = np.zeros((0, 2), np.int64)
 #: Words shorter than this merge side by side and are kept; texts are taken this many characters at a time.
-_SHORT, _BLOCK = 64, 1 << 20
+_SHORT, _BLOCK = 64, 1 << 22
 _NONE = np.iinfo(np.int32).max
 _WHOLE = 2**64 - 1
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}\n]*|[^{_SPACE}\n]+|\n")
@@ -32,10 +30,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
 
 
+def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each stretch of a word."""
+    return (start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _draw(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """32 bits for the candidate that covers a word from start to end."""
-    span = (start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (_mixed(keys ^ span) >> np.uint64(32)).astype(np.int64)
+    return (_mixed(keys ^ _span(start, end)) >> np.uint64(32)).astype(np.int64)
 
 
 def _draw_one(key: int, start: int, end: int) -> int:
@@ -50,6 +52,40 @@ def _slots(pairs: np.ndarray, slots: int) -> np.ndarray:
     return (hashed >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
+def _gathered(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... of each stretch, one stretch after the other."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+class _Flat:
+    """Lists of numbers by place: ``values[first : first + count]`` of each."""
+
+    def __init__(self, kind: type, places: int):
+        self.parts, self.total = [np.zeros(0, kind)], 0
+        self.first, self.count = np.zeros(places, np.int64), np.zeros(places, np.int64)
+
+    def put(self, places: np.ndarray, values: np.ndarray, count: np.ndarray) -> None:
+        """Sets the lists at ``places``, which stand in ``values`` one after the other."""
+        self.first[places], self.count[places] = self.total + np.cumsum(count) - count, count
+        self.parts.append(values.astype(self.parts[0].dtype, copy=False))
+        self.total += len(values)
+
+    def append(self, other: _Flat) -> None:
+        """Adds the places of the other list behind."""
+        self.first, self.count = np.concatenate((self.first, other.first + self.total)), np.concatenate((self.count, other.count))
+        self.parts += other.parts
+        self.total += other.total
+
+    def __len__(self) -> int:
+        return self.total
+
+    @property
+    def values(self) -> np.ndarray:
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0]
+
+
 class DropoutEncoder:
     """Encodes with a public BPE vocabulary whose pieces carry merge scores and fall back to bytes.
 
@@ -81,10 +117,12 @@ class DropoutEncoder:
         self.ranks = {piece: order[score] for piece, score in scores.items()}
         if any(_SPACE in p.lstrip(_SPACE) or ("\n" in p and p != "\n") for p in scores):
             raise ValueError("a piece reaches over a word's end")
-        #: of a word: ids as little-endian bytes, and starts and ends of its merges
-        self.store: dict[str, _Plain] = {}
-        self.old: dict[str, _Plain] = {}
         self.mark = np.array([self.bytes[b] for b in _SPACE.encode()], "<u4").tobytes()
+        #: words by their place in two lists: ids of the plain segmentation, and its merges
+        self.place: dict[str, int]
+        self.plain: _Flat
+        self.spans: _Flat
+        self._forget()
         self._index_pairs()
 
     def _segment(self, word: str, number: int | None, taken: list[tuple[int, int]] | None = None) -> bytes:
@@ -119,42 +157,33 @@ class DropoutEncoder:
             at = after[at]
         return b"".join(ids)
 
-    def _segment_many(self, asked: list[tuple[str, int]]) -> list[bytes]:
-        """``_segment`` of many words and numbers: short ones of one length work off their agendas side by side.
+    def _segment_many(self, words: list[str], keys: np.ndarray | None = None) -> tuple[_Flat, _Flat]:
+        """Ids of many words; with keys None nothing is dropped and the second list has each word's merges.
 
-        A word is a column, its agenda the numbers (rank, start) of that column. Words with a character
-        that is no piece, or as long as ``_SHORT``, are left to the heap.
+        Short words of one length work off their agendas side by side: a word is a column, its agenda the
+        numbers (rank, start) of that column. Words with a character that is no piece, or as long as
+        ``_SHORT``, are left to the heap.
         """
-        out: list[bytes] = [b""] * len(asked)
-        apart, groups = self._columns([w for w, _ in asked])
-        for k in apart:
-            out[k] = self._segment(*asked[k])
-        for chosen, symbols in groups:
-            keys = np.fromiter((asked[k][1] for k in chosen), np.uint64, len(chosen))
-            for k, ids in zip(chosen, self._cut(*self._merge(symbols, keys))):
-                out[k] = ids
-        return out
-
-    def _plain_many(self, words: list[str]) -> list[_Plain]:
-        """Segmentations without dropout, each with its merges."""
-        out: list[_Plain] = [(b"", _NO_SPANS)] * len(words)
+        ids, spans = _Flat(np.uint32, len(words)), _Flat(np.uint64, len(words))
         apart, groups = self._columns(words)
         for k in apart:
             taken: list[tuple[int, int]] = []
-            ids = self._segment(words[k], None, taken)
-            out[k] = ids, np.array(taken, np.int64).reshape(-1, 2)
+            one = np.frombuffer(self._segment(words[k], None if keys is None else int(keys[k]), taken), "<u4")
+            ids.put(np.array([k]), one, np.array([len(one)]))
+            if keys is None:
+                one = np.array(taken, np.int64).reshape(-1, 2)
+                spans.put(np.array([k]), _span(one[:, 0], one[:, 1]), np.array([len(one)]))
         for chosen, symbols in groups:
-            taken_many: list[np.ndarray] = []
-            merged = self._cut(*self._merge(symbols, None, taken_many))
-            taken_at = np.concatenate(taken_many or [np.zeros((0, 3), np.int64)])
-            taken_at = taken_at[np.argsort(taken_at[:, 0], kind="stable")]
-            ends = np.searchsorted(taken_at[:, 0], np.arange(1, len(chosen) + 1)).tolist()
-            at = 0
-            for k, ids, end in zip(chosen, merged, ends):
-                out[k], at = (ids, taken_at[at:end, 1:].copy()), end
-        return out
-
-    def _columns(self, words: list[str]) -> tuple[list[int], list[tuple[list[int], np.ndarray]]]:
+            taken_many: list[np.ndarray] | None = [] if keys is None else None
+            merged, alive = self._merge(symbols, None if keys is None else keys[chosen], taken_many)
+            ids.put(chosen, merged.T[alive.T], alive.sum(axis=0))
+            if taken_many:
+                rows = np.concatenate(taken_many)
+                rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                spans.put(chosen, _span(rows[:, 1], rows[:, 2]), np.bincount(rows[:, 0], minlength=len(chosen)))
+        return ids, spans
+
+    def _columns(self, words: list[str]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
         """Which words are left to the heap; the others by length, with a column of symbols each."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         if not len(words):
@@ -165,17 +194,9 @@ class DropoutEncoder:
         groups = []
         for n in np.unique(size[~apart]).tolist():
             chosen = np.flatnonzero(~apart & (size == n))
-            groups.append((chosen.tolist(), chars[first[chosen] + np.arange(n)[:, None]]))
+            groups.append((chosen, chars[first[chosen] + np.arange(n)[:, None]]))
         return np.flatnonzero(apart).tolist(), groups
 
-    @staticmethod
-    def _cut(symbols: np.ndarray, alive: np.ndarray) -> Iterator[bytes]:
-        """Ids of each column."""
-        raw, at = symbols.T[alive.T].astype("<u4").tobytes(), 0
-        for end in (np.cumsum(alive.sum(axis=0)) * 4).tolist():
-            yield raw[at:end]
-            at = end
-
     def _merge(self, symbols: np.ndarray, keys: np.ndarray | None, taken: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Merges the columns of ``symbols``; returns the symbols and which of their places still start one.
 
@@ -276,34 +297,30 @@ class DropoutEncoder:
         number = np.arange(len(words), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) % 2**64)
         return words, _mixed(number)
 
-    def _recall(self, words: list[str]) -> list[_Plain]:
-        """Plain segmentations of different words, stored ones first."""
-        if len(self.store) >= _STORED:
-            self.old, self.store = self.store, {}
-        store, rest = self.store, []
-        found = [store.get(w) for w in words]
-        for k in [k for k, f in enumerate(found) if f is None]:
-            if not words[k]:
-                found[k] = self.mark, _NO_SPANS
-            elif (old := self.old.get(words[k])) is not None:
-                found[k] = store[words[k]] = old
-            else:
-                rest.append(k)
-        for k, plain in zip(rest, self._plain_many([words[k] for k in rest])):
-            found[k] = plain
-            if len(words[k]) < _SHORT:
-                store[words[k]] = plain
-        return found
-
-    def _dropped(self, plain: list[_Plain], of: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Places of the occurrences that drop a merge of their plain segmentation ``plain[of]``."""
-        spans = np.concatenate([p[1] for p in plain])
-        count = np.fromiter((len(p[1]) for p in plain), np.int64, len(plain))
-        first, count = (np.cumsum(count) - count)[of], count[of]
+    def _forget(self) -> None:
+        """Empties the store, but for the mark of a literal U+2581."""
+        self.place, self.plain, self.spans = {"": 0}, _Flat(np.uint32, 1), _Flat(np.uint64, 1)
+        self.plain.put(np.array([0]), np.frombuffer(self.mark, "<u4"), np.array([3]))
+
+    def _recall(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the store, after those it lacks are segmented."""
+        if len(self.place) >= _STORED or len(self.spans) >= 8 * _STORED:
+            self._forget()
+        fresh = list(set(words).difference(self.place))
+        if fresh:
+            ids, spans = self._segment_many(fresh)
+            self.plain.append(ids)
+            self.spans.append(spans)
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def _dropped(self, of: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Places of the occurrences that drop a merge of their plain segmentation."""
+        count = self.spans.count[of]
         who = np.repeat(np.arange(len(of)), count)
-        at = np.arange(len(who)) + np.repeat(first - (np.cumsum(count) - count), count)
-        drop = _draw(numbers[who], spans[at, 0], spans[at, 1]) < self.dropout
-        return np.unique(who[drop])
+        spans = self.spans.values[_gathered(self.spans.first[of], count)]
+        who = who[(_mixed(numbers[who] ^ spans) >> np.uint64(32)).astype(np.int64) < self.dropout]
+        return who[np.diff(who, prepend=-1) > 0]
 
     def encode_many(self, texts: list[str], keys: list[int]) -> Iterator[np.ndarray]:
         """Ids of each text in turn, about ``_BLOCK`` characters at a time; an empty text has none."""
@@ -315,20 +332,18 @@ class DropoutEncoder:
                 at += 1
             block = [self._words(text, key) if text else ([], np.zeros(0, np.uint64)) for text, key in zip(texts[first:at], keys[first:at])]
             words = [w for found, _ in block for w in found]
-            place: dict[str, int] = {}
-            of = [place.setdefault(w, len(place)) for w in words]
-            plain = self._recall(list(place))
-            ids = [plain[k][0] for k in of]
+            of = self._recall(words)
+            pool, begin, count = self.plain.values, self.plain.first[of], self.plain.count[of]
             if words and self.dropout:
                 numbers = np.concatenate([n for _, n in block])
-                changed = self._dropped(plain, np.array(of), numbers)
-                asked = list(zip([words[k] for k in changed.tolist()], numbers[changed].tolist()))
-                for k, other in zip(changed.tolist(), self._segment_many(asked)):
-                    ids[k] = other
-            start = 0
-            for found, _ in block:
-                yield np.frombuffer(b"".join(ids[start : start + len(found)]), "<u4")
-                start += len(found)
+                changed = self._dropped(of, numbers)
+                ids, _ = self._segment_many([words[k] for k in changed.tolist()], numbers[changed])
+                begin[changed], count[changed] = ids.first + len(pool), ids.count
+                pool = np.concatenate((pool, ids.values))
+            ids_of_all = pool[_gathered(begin, count)]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))[np.cumsum([0, *[len(found) for found, _ in block]])]
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                yield ids_of_all[start:end]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of the text; an empty text has none."""
