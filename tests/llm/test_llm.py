@@ -15,7 +15,7 @@ import corpus_pipeline
 from transferlens.llm import queries as q
 from transferlens.llm.column_bwt import remove_repeats
 from transferlens.llm.common import linked
-from transferlens.llm.gray_simhash import components, fingerprints, gray_rank, link_codes, near_pairs, simhash, similar_groups
+from transferlens.llm.gray_simhash import _sketch, components, fingerprints, gray_rank, link_codes, near_pairs, simhash, similar_groups
 from transferlens.llm.kd_search import top_k
 from transferlens.llm.language import LanguageModel
 from transferlens.llm.line_runs import remove_later_runs
@@ -116,6 +116,42 @@ def test_near_pairs_equal_brute_force():
     assert across == {(i, j) for i, j in want if i < half <= j}
 
 
+def test_near_pairs_of_fitting_sizes():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 6, 300).astype(np.uint64)
+    codes = codes[np.argsort(gray_rank(codes))]
+    rows = np.stack((codes, np.arange(300, dtype=np.uint64), np.arange(300, dtype=np.uint64), rng.integers(1, 50, 300).astype(np.uint64)))
+    size = rows[3].astype(int)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if int(codes[i] ^ codes[j]).bit_count() <= 2 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert want and {tuple(map(int, p)) for block in near_pairs(rows, None, 2, ratio=0.8) for p in block} == want
+
+
+def test_sketches_follow_jaccard():
+    rng = np.random.default_rng(3)
+    for n in (20, 300, 9_000):
+        pool = rng.integers(0, 1 << 63, 3 * n).astype(np.uint64)
+        shared = [(np.frombuffer(_sketch(pool[:n]), np.uint8) == np.frombuffer(_sketch(pool[a : a + n]), np.uint8)).mean() for a in (n // 9, n // 3, 2 * n)]
+        assert shared[0] >= 0.6 and 0.3 < shared[1] < 0.7 and shared[2] < 0.1
+    assert len(_sketch(np.zeros(0, np.uint64))) == 64
+
+
+def test_similar_groups_of_unlike_near_codes(spark):
+    """Texts of one base with many edits: none is 0.8 like another, so none is joined; copies and light edits are."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(120, 9, replace=False):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1_000, rows[7][1]), (1_001, rows[8][1] + " end"), (1_002, ""), (1_003, None)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, (t or "").split()) for i, t in rows)}
+    assert max(len(sets[i] & sets[0]) / len(sets[i] | sets[0]) for i in range(1, 400)) < 0.8
+    got = {r["doc_id"]: r["component_id"] for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: {1_000: 7, 1_001: 8, 1_003: 1_002}.get(i, i) for i, _ in rows}
+
+
 def test_similar_groups_follow_jaccard(spark):
     """Pairs of 0.8 and more link also when their fingerprints are over 6 bits apart, others never."""
     rng = np.random.default_rng(4)

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transferlens.llm.common import cuts, linked, part_of
-from transferlens.session import materialise
+from transferlens.session import discard, materialise
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Odd numbers, one for each of the orders in which a sketch takes the least shingle.
+_ORDERS = np.array([int.from_bytes(xxhash.xxh64_digest(str(i), 7), "big") | 1 for i in range(64)], np.uint64)
 
 
 def _digests(text: str | None, words_per_shingle: int, seed: int = 42) -> list[bytes]:
@@ -51,6 +53,14 @@ def _set_key(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes()), "big", signed=True)
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """64 bytes, each a byte of the least shingle in an order of its own; sets of similarity J share about 64 J of them."""
+    least = np.full(64, _ALL)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[at : at + 4096, None] * _ORDERS).min(axis=0))
+    return (least >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
 def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
     """64-bit fingerprint: a bit is set if over half of the shingles' XXH64 values have it; no words: 0."""
     return _folded(_digests(text, words_per_shingle, seed))
@@ -196,12 +206,13 @@ def link_codes(left: np.ndarray, right: np.ndarray | None, distance: int, block:
     return np.stack((codes[linked_to], codes[root[linked_to]]), axis=1)
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int, block: int = 1 << 14) -> Iterator[np.ndarray]:
+def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int, block: int = 1 << 14, ratio: float = 0.0) -> Iterator[np.ndarray]:
     """All pairs within ``distance`` whose labels differ, as blocks of rows (name, name).
 
     ``left`` and ``right`` have rows of codes in Gray order (some may be equal), names and labels; with
     ``right`` None ``left`` is paired with itself. Pairs of nodes are pruned by their shared bits, or
-    when all members have one label.
+    when all members have one label. With a ``ratio`` a fourth row has sizes, of which the smaller must be
+    at least that share of the greater.
     """
     own, fan = right is None, 8
     right = left if own else right
@@ -242,6 +253,8 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int, block:
         if not level:
             i, j = i[fits], j[fits]
             fits = left[2][i] != right[2][j]
+            if ratio:
+                fits &= np.minimum(left[3][i], right[3][j]) >= ratio * np.maximum(left[3][i], right[3][j])
             yield np.stack((left[1][i[fits]], right[1][j[fits]]), axis=1)
         elif fits.any():
             stack.append((level, i[fits], j[fits]))
@@ -311,21 +324,30 @@ def components(prints: DataFrame, id: str = "doc_id", distance: int = 4, shard_s
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", words_per_shingle: int = 5, similarity: float = 0.8, distance: int = 14, tight: int = 6, shard_size: int = 1 << 15) -> DataFrame:
     """(id, component_id): the smallest id reachable over texts whose sets of shingles have Jaccard ``similarity`` or more.
 
-    Candidates are texts whose fingerprints differ in ``distance`` bits or fewer; each link is confirmed
-    on the exact sets. Equal sets are one node. Groups at ``tight`` bits are tried first, each member
-    with the least one, so that large groups of near copies are joined before all remaining candidates
-    between different groups are listed. A null id joins no texts and has no row.
+    Candidates are texts whose fingerprints differ in ``distance`` bits or fewer and whose sets have sizes
+    that allow the similarity. Of these, pairs whose sketches of 64 bytes share fewer than 64 * (similarity
+    - 0.3) are left out: with independent orders a pair at 0.8 falls there once in 50 million. Each link is confirmed on
+    the exact sets, so only likely links move their sets. Equal sets are one node. Groups at ``tight`` bits
+    are tried first, each member with the least one, so that large groups of near copies are joined before
+    all remaining candidates between different groups are listed. A null id joins no texts and has no row.
+    Rows of one id are nodes of their own with that id. Written steps are deleted, but for small ones.
     """
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(_folded(d), _set_key(_distinct(d))) for d in (_digests(t, words_per_shingle) for t in batch["t"])]
-            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({id: batch[id], "fp": fp, "key": np.array([k for _, k in found], np.int64)})
+            fp, key, size, sketch = [], [], [], []
+            for digests in (_digests(t, words_per_shingle) for t in batch["t"]):
+                shingles = _distinct(digests)
+                fp.append(_folded(digests))
+                key.append(_set_key(shingles))
+                size.append(len(shingles))
+                sketch.append(_sketch(shingles))
+            out = {id: batch[id], "fp": np.array(fp, np.uint64).view(np.int64), "key": np.array(key, np.int64)}
+            yield pd.DataFrame(out | {"size": np.array(size, np.int64), "sketch": sketch})
 
     kind = docs.schema[id].dataType.simpleString()
     texts = docs.where(F.col(id).isNotNull()).select(id, F.col(text).cast("string").alias("t"))
-    rows = materialise(texts.mapInPandas(keys, f"{id} {kind}, fp long, key long"))
-    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(id).alias("least")))
+    rows = materialise(texts.mapInPandas(keys, f"{id} {kind}, fp long, key long, size long, sketch binary"))
+    nodes = materialise(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(id).alias("least"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     n = nodes.count()
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,26 +365,35 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", word
                 keep.append(common > 0 and common / (len(x) + len(y) - common) >= similarity)
             yield batch.loc[keep, ["a", "b"]]
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            u, v = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, 64) for c in ("u", "v"))
+            yield batch.loc[(u == v).sum(axis=1) >= 64 * (similarity - 0.3), ["a", "b"]]
+
+    def confirmed(listed: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of node keys whose sets are similar enough."""
-        pairs = materialise(pairs)
+        listed = materialise(listed)
+        u, v = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("u")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("v"))
+        pairs = materialise(listed.join(u, "a").join(v, "b").mapInPandas(screen, "a long, b long"))
         wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         wanted = wanted.join(nodes, "key").select(F.col("key").alias("wanted"), F.col("least").alias(id))
         sets = texts.join(wanted, id).select("wanted", "t").mapInPandas(shingles, "key long, shingles binary")
         sets = materialise(sets.dropDuplicates(["key"]))
         x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        return materialise(pairs.join(x, "a").join(y, "b").mapInPandas(measure, "a long, b long"))
+        found = materialise(pairs.join(x, "a").join(y, "b").mapInPandas(measure, "a long, b long"))
+        discard(listed, pairs, sets)
+        return found
 
     stars = components(nodes.select("key", "fp"), "key", tight).where("key <> component_id")
     sure = confirmed(stars.select(F.col("key").alias("a"), F.col("component_id").alias("b")))
     roots = linked(sure)
-    labelled = nodes.join(roots, nodes["key"] == roots["node"], "left").select("fp", "key", F.coalesce("root", "key").alias("label"))
+    labelled = nodes.join(roots, nodes["key"] == roots["node"], "left").select("fp", "key", F.coalesce("root", "key").alias("label"), "size")
 
     def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b, x, y in zip(batch["a"], batch["b"], batch["left"], batch["right"]):
-                x, y = (np.frombuffer(raw, np.uint64).reshape(3, -1) for raw in (x, y))
-                for found in filter(len, near_pairs(x, None if a == b else y, distance)):
+                x, y = (np.frombuffer(raw, np.uint64).reshape(4, -1) for raw in (x, y))
+                for found in filter(len, near_pairs(x, None if a == b else y, distance, ratio=similarity)):
                     yield pd.DataFrame(found.view(np.int64), columns=["a", "b"])
 
     rest = confirmed(_shard_pairs(labelled, n, distance, shard_size).mapInPandas(list_pairs, "a long, b long"))
