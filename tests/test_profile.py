@@ -5,7 +5,7 @@ import pytest
 
 from transferlens.functions.special import upper_gamma
 from transferlens.operators import profiling, stats
-from transferlens.operators.quantiles import quantiles
+from transferlens.operators.quantiles import long_values, quantile_table, quantiles
 
 
 def test_quantiles_of_small_table(spark):
@@ -13,23 +13,36 @@ def test_quantiles_of_small_table(spark):
     assert quantiles(df, ["x"], [0.25, 0.5, 0.75])["all", "x"] == [1.75, 2.5, 4.75]
 
 
+def test_quantiles_of_nothing_and_of_empty_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("b", float("nan")), (None, 5.0)], "g string, x double")
+    got = quantiles(df, ["x"], [0.0, 0.5], by="g")
+    assert got == {("all", "x"): [1.0, 3.0], ("a", "x"): [1.0, 1.0], ("b", "x"): [None, None]}
+    assert quantiles(df.limit(0), ["x"], [0.5], by="g") == {("all", "x"): [None]}
+
+
+def test_quantiles_of_many_groups(spark):
+    """The plan does not grow with the groups; half of the rows are in one group, which needs narrowing."""
+    rng = np.random.default_rng(5)
+    values = rng.normal(0, 10, 12_000).round(2)
+    groups = np.where(np.arange(12_000) % 2 == 0, 0, rng.integers(1, 1_500, 12_000))
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, values)], "g int, x double").repartition(4)
+    found = quantile_table(long_values(df, ["x"], "g"), [0.25, 0.9], rows_per_task=200)
+    got = {(r["group"], r["prob"]): r["value"] for r in found.collect()}
+    want = {(str(g), p): np.quantile(values[groups == g], p) for g in set(groups.tolist()) for p in (0.25, 0.9)}
+    want |= {("all", p): np.quantile(values, p) for p in (0.25, 0.9)}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12, atol=1e-12) for k in want)
+
+
 def _check_large_path(spark, values, limit):
     df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "g int, x double").repartition(6)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
-    import transferlens.operators.quantiles as module
-
-    got = module.quantiles(df, ["x"], probs, by="g", built_in_rows=0)
+    got = quantiles(df, ["x"], probs, by="g", rows_per_task=limit)
     for group, part in (("all", values), ("0", values[0::2]), ("1", values[1::2])):
         assert np.allclose(got[group, "x"], np.quantile(part, probs), rtol=1e-12, atol=0)
 
 
 @pytest.mark.parametrize("kind", ["uniform", "heavy tail", "one value owns a third", "constant"])
-def test_narrowed_quantiles_are_exact(spark, kind, monkeypatch):
-    import transferlens.operators.quantiles as module
-
-    # Force the narrowing passes even on a small table.
-    original = module._order_statistics
-    monkeypatch.setattr(module, "_order_statistics", lambda v, s, w, limit: original(v, s, w, 5))
+def test_narrowed_quantiles_are_exact(spark, kind):
     rng = np.random.default_rng(7)
     n = 4000
     values = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from transferlens.functions.columns import as_long_table, is_missing
 from transferlens.functions.joins import lookup_join
-from transferlens.operators.quantiles import BUILT_IN_ROWS, quantiles
+from transferlens.operators.quantiles import quantiles
 from transferlens.operators.ranking import with_place
 from transferlens.session import materialise
 
@@ -33,22 +33,21 @@ class FeatureEncoder:
     numeric: list[str] = field(default_factory=lambda: list(NUMERIC))
     frequency: list[str] = field(default_factory=lambda: list(FREQUENCY))
     one_hot: list[str] = field(default_factory=lambda: list(ONE_HOT))
-    built_in_rows: int = BUILT_IN_ROWS
 
     def fit(self, df: DataFrame) -> "FittedEncoder":
         seen = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_missing(df, c)).alias(c) for c in self.numeric]).first()
         rows = seen["_rows"]
         if rows == 0:
             raise ValueError("no rows to fit on")
-        medians, scales = self._fit_numbers(df, rows, [c for c in self.numeric if seen[c]])
+        medians, scales = self._fit_numbers(df, [c for c in self.numeric if seen[c]])
         lookup, sizes, sent = self._fit_values(df, rows)
         return FittedEncoder(self.numeric, self.frequency, self.one_hot, medians, scales, sizes, sent, lookup)
 
-    def _fit_numbers(self, df: DataFrame, rows: int, holes: list[str]) -> tuple[dict, dict]:
+    def _fit_numbers(self, df: DataFrame, holes: list[str]) -> tuple[dict, dict]:
         if not self.numeric:
             return {}, {}
         probs = [0.25, 0.5, 0.75]
-        found = quantiles(df, self.numeric, probs, built_in_rows=self.built_in_rows, rows=rows)
+        found = quantiles(df, self.numeric, probs)
         q = {c: v for (_, c), v in found.items()}
         medians = {c: v[1] for c, v in q.items()}
         empty = [c for c, m in medians.items() if m is None]
@@ -57,7 +56,7 @@ class FeatureEncoder:
         if holes:
             # The scaler sees the imputed column, so the filled-in medians pull its quartiles in.
             filled = df.select(*[F.when(is_missing(df, c), F.lit(medians[c])).otherwise(F.col(c)).alias(c) for c in holes])
-            again = quantiles(filled, holes, probs, built_in_rows=self.built_in_rows, rows=rows)
+            again = quantiles(filled, holes, probs)
             q.update({c: v for (_, c), v in again.items()})
         return medians, {c: (q[c][2] - q[c][0]) or 1.0 for c in self.numeric}
 

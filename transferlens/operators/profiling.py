@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from transferlens.functions.columns import as_long_table, categorical_columns, is_missing, numeric_columns
-from transferlens.operators.quantiles import ALL, BUILT_IN_ROWS, quantiles
+from transferlens.operators.quantiles import ALL, long_values, quantile_table, quantiles
 from transferlens.schema import LABEL
+from transferlens.session import materialise
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -58,10 +59,10 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     return reduce(DataFrame.union, counts)
 
 
-def describe_numbers(df: DataFrame, columns: list[str] | None = None, built_in_rows: int = BUILT_IN_ROWS) -> DataFrame:
+def describe_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max; one row per numeric column."""
     columns = columns or numeric_columns(df)
-    q = quantiles(df, columns, [0.25, 0.5, 0.75], built_in_rows=built_in_rows)
+    q = quantiles(df, columns, [0.25, 0.5, 0.75])
     clean = df.select(*[F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in columns])
     stats = clean.agg(
         *[
@@ -131,35 +132,23 @@ def contingency(df: DataFrame, columns: list[str], label: str = LABEL) -> DataFr
     )
 
 
-def box_numbers(df: DataFrame, columns: list[str], label: str | None = LABEL, built_in_rows: int = BUILT_IN_ROWS) -> DataFrame:
-    """Quartiles, whisker ends within 1.5 IQR and number of outliers, overall and per class."""
-    q = quantiles(df, columns, [0.25, 0.5, 0.75], by=label, built_in_rows=built_in_rows)
-    fences = {k: (v[0] - 1.5 * (v[2] - v[0]), v[2] + 1.5 * (v[2] - v[0])) for k, v in q.items() if v[0] is not None}
-    groups = sorted({g for g, _ in fences})
-    aggregates, names = [], []
-    for g in groups:
-        here = F.lit(True) if g == ALL else F.col(label).cast("string") == g
-        for c in columns:
-            if (g, c) not in fences:
-                continue
-            low, high = fences[g, c]
-            q1, q2, q3 = q[g, c]
-            x = F.when(here & ~is_missing(df, c), F.col(c).cast("double"))
-            name = f"{len(names)}"
-            names.append(name)
-            aggregates.append(
-                F.struct(
-                    F.lit(g).alias("group"),
-                    F.lit(c).alias("column"),
-                    F.lit(q1).alias("q1"),
-                    F.lit(q2).alias("median"),
-                    F.lit(q3).alias("q3"),
-                    F.least(F.min(F.when(x >= low, x)), F.lit(q1)).alias("whisker_low"),
-                    F.greatest(F.max(F.when(x <= high, x)), F.lit(q3)).alias("whisker_high"),
-                    F.count_if((x < low) | (x > high)).alias("n_outliers"),
-                ).alias(name)
-            )
-    return df.agg(*aggregates).unpivot([], names, "id", "s").select("s.*")
+def box_numbers(df: DataFrame, columns: list[str], label: str | None = LABEL) -> DataFrame:
+    """Quartiles, whisker ends within 1.5 IQR and number of outliers, overall and per class; only groups with values have a row."""
+    long = long_values(df, columns, label)
+    q = quantile_table(long, [0.25, 0.5, 0.75]).where("value IS NOT NULL").groupBy("group", "column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    q = materialise(q.toDF("group", "column", "q1", "median", "q3"))
+    low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    x = F.col("x")
+    return (
+        long.where("x IS NOT NULL")
+        .join(q, ["group", "column"])
+        .groupBy("group", "column", "q1", "median", "q3")
+        .agg(
+            F.least(F.min(F.when(x >= low, x)), F.col("q1")).alias("whisker_low"),
+            F.greatest(F.max(F.when(x <= high, x)), F.col("q3")).alias("whisker_high"),
+            F.count_if((x < low) | (x > high)).alias("n_outliers"),
+        )
+    )
 
 
 def histogram(df: DataFrame, column: str, label: str | None = LABEL, bins: int = 20) -> DataFrame:

@@ -1,146 +1,113 @@
-"""Exact quantiles with linear interpolation, at any table size."""
+"""Exact quantiles with linear interpolation, by one path at any table size and for any number of groups."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from transferlens.functions.columns import any_of, is_missing
+from transferlens.functions.columns import is_missing
+from transferlens.session import discard, materialise
 
-# Up to this many values the built-in exact percentile keeps them in one task.
-BUILT_IN_ROWS = 100_000
 ALL = "all"
+# Brackets with more rows than this are narrowed down again before one task sorts what lies inside.
+ROWS_PER_TASK = 1_000_000
+# A sketch gives the values at these many even shares, each within 1/4000 of its share.
+_STEPS, _ACCURACY = 500, 4_000
 
 
-def _in_group(group: str) -> Column:
-    return F.lit(True) if group == ALL else F.col("group") == group
-
+def long_values(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """(group, column, x): every value of the columns as a double, for group 'all' and for its value of ``by``.
 
-def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: str | None = None, built_in_rows: int = BUILT_IN_ROWS, rows: int | None = None
-) -> dict[tuple[str, str], list[float | None]]:
-    """``{(group, column): [quantile, …]}`` for all rows (group 'all') and for each value of ``by``.
-
-    ``by`` must have few values, such as the label; ``rows`` saves counting the table. Small tables
-    use ``percentile``. Larger ones narrow each quantile down with mergeable sketches until the rows
-    around it fit a task, then pick the exact order statistics there; every pass moves sketches and
-    counts only.
+    Missing values (null, NaN) are null here, so that a group without any value still has rows. Rows
+    without a value of ``by`` count for 'all' only.
+    """
+    cells = [F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), F.col(c).cast("double")).alias("x")) for c in columns]
+    if by is None:
+        return df.select(F.lit(ALL).alias("group"), F.inline(F.array(*cells)))
+    groups = F.array_compact(F.array(F.lit(ALL), F.col(by).cast("string")))
+    return df.select(groups.alias("groups"), F.inline(F.array(*cells))).select(F.explode("groups").alias("group"), "column", "x")
+
+
+def quantile_table(long: DataFrame, probs: list[float], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(group, column, prob, value) of a table (group, column, x): one row per group, column and probability.
+
+    A mergeable sketch per group and column serves all its probabilities: it brackets the two ranks that
+    each quantile lies between. One pass then counts the values under each bracket and, by value, those
+    inside, and a running sum picks the ranks. Brackets that still hold more than ``rows_per_task`` rows of
+    different values are narrowed by sketches of what they hold first. Counts prove every bracket; an end
+    that fails falls back to the proven one before. All state is tables keyed by (group, column, prob), so
+    the plan does not grow with groups. Groups without values give null.
     """
-    cleaned = [F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in columns]
-    values = df.select((F.col(by).cast("string") if by else F.lit(ALL)).alias("group"), *cleaned)
-    sizes: dict[tuple[str, str], int] = {}
-    for r in values.groupBy("group").agg(*[F.count(c).alias(c) for c in columns]).collect() if by or rows is None or rows > built_in_rows else []:
-        for c in columns:
-            sizes[ALL, c] = sizes.get((ALL, c), 0) + r[c]
-            if by and r["group"] is not None:
-                sizes[r["group"], c] = r[c]
-    if not sizes:
-        sizes = {(ALL, c): rows or 0 for c in columns}
-    if max(sizes.values()) <= built_in_rows:
-        q = F.array(*[F.lit(p) for p in probs])
-        names = list(sizes)
-        row = values.agg(*[F.percentile(F.when(_in_group(g), F.col(c)), q) for g, c in names]).first()
-        return {name: (list(v) if v is not None else [None] * len(probs)) for name, v in zip(names, row)}
-    places = {(key, p): (n - 1) * p for key, n in sizes.items() if n for p in probs}
-    wanted = {(*key, rank) for (key, _), place in places.items() for rank in (math.floor(place) + 1, math.ceil(place) + 1)}
-    at = _order_statistics(values, sizes, wanted, max(built_in_rows, 1000))
-    result: dict[tuple[str, str], list[float | None]] = {}
-    for key in sizes:
-        result[key] = []
-        for p in probs:
-            place = places.get((key, p))
-            if place is None:
-                result[key].append(None)
-                continue
-            low, high = at[(*key, math.floor(place) + 1)], at[(*key, math.ceil(place) + 1)]
-            result[key].append(low + (high - low) * (place - math.floor(place)))
-    return result
-
-
-def _order_statistics(values: DataFrame, sizes: dict, wanted: set, limit: int) -> dict:
-    """Exact values at ranks (from 1) of each (group, column)."""
-    found: dict = {}
-    # Rank brackets: (low, high) encloses the value, ``below`` rows lie under low, ``n`` inside.
-    open_at = {w: (-math.inf, math.inf, 0, sizes[w[0], w[1]]) for w in wanted}
-    while open_at:
-        ready = {w: b for w, b in open_at.items() if b[3] <= limit or b[0] == b[1]}
-        for w, b in list(ready.items()):
-            if b[0] == b[1]:
-                found[w] = b[0]
-                del ready[w], open_at[w]
-        if ready:
-            found.update(_pick(values, ready))
-            for w in ready:
-                del open_at[w]
-        if open_at:
-            open_at = _narrow(values, open_at)
+    keys = ["group", "column", "prob"]
+    seen = long.groupBy("group", "column").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), _sketch(F.col("x")).alias("grid"))
+    place = (F.col("n") - 1) * F.col("prob")
+    wanted = seen.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumns(
+        {"rank": F.floor(place) + 1, "rank_above": F.ceil(place) + 1, "part": place - F.floor(place), "below": F.lit(0).cast("long"), "inside": F.when(F.col("n") > 0, F.col("n"))}
+    )
+    brackets = _proved(long, wanted)
+    while True:
+        most = brackets.where("low < high").agg(F.max("inside")).first()[0] or 0
+        if most <= rows_per_task:
+            break
+        held = _held(long, brackets).where("x >= low")
+        grids = held.groupBy(*keys).agg(_sketch(F.col("x")).alias("grid"))
+        narrower = _proved(long, brackets.join(grids, keys, "left"))
+        done = (narrower.where("low < high").agg(F.max("inside")).first()[0] or 0) >= most
+        discard(brackets)
+        brackets = narrower
+        if done:  # copies of few values fill the widest bracket: they are counted by value below
+            break
+    values = _held(long, brackets).where("x >= low").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("rank", "rank_above", "part", "below")])
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*keys).orderBy("x"))
+    ends = values.withColumn("upto", upto).groupBy(*keys, "part").agg(
+        F.min(F.when(F.col("upto") >= F.col("rank"), F.col("x"))).alias("lower"), F.min(F.when(F.col("upto") >= F.col("rank_above"), F.col("x"))).alias("upper")
+    )
+    value = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
+    return brackets.select(*keys).join(ends, keys, "left").select(*keys, value.alias("value"))
+
+
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], by: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> dict[tuple[str, str], list[float | None]]:
+    """``{(group, column): [quantile, ...]}`` of ``quantile_table`` for callers that fit on a few groups, such as the label's."""
+    found = {(ALL, c): [None] * len(probs) for c in columns}
+    for r in quantile_table(long_values(df, columns, by), probs, rows_per_task).collect():
+        values = found.setdefault((r["group"], r["column"]), [None] * len(probs))
+        for i, p in enumerate(probs):
+            if float(p) == r["prob"]:
+                values[i] = r["value"]
     return found
 
 
-def _inside(column: str, low: float, high: float) -> Column:
-    condition = F.col(column).isNotNull()
-    if low > -math.inf:
-        condition &= F.col(column) >= F.lit(low)
-    if high < math.inf:
-        condition &= F.col(column) <= F.lit(high)
-    return condition
-
-
-def _narrow(values: DataFrame, open_at: dict, accuracy: int = 2_000) -> dict:
-    """One sketch pass to propose narrower brackets, one counting pass to prove them."""
-    items = list(open_at.items())
-    # Ranks that share a bracket share its sketch.
-    shared: dict[tuple, list[int]] = {}
-    for i, ((g, c, _), (low, high, _, _)) in enumerate(items):
-        shared.setdefault((g, c, low, high), []).append(i)
-    sketches = []
-    for (g, c, low, high), members in shared.items():
-        ends = []
-        for i in members:
-            (_, _, rank), (_, _, below, n) = items[i]
-            share = (rank - below) / n
-            ends += [F.lit(max(0.0, share - 3 / accuracy)), F.lit(min(1.0, share + 3 / accuracy))]
-        sketches.append(F.percentile_approx(F.when(_in_group(g) & _inside(c, low, high), F.col(c)), F.array(*ends), accuracy))
-    brackets = {}
-    for members, found in zip(shared.values(), values.agg(*sketches).first()):
-        brackets.update({i: (found[2 * j], found[2 * j + 1]) for j, i in enumerate(members)})
-    counts = []
-    for i, ((g, c, _), _) in enumerate(items):
-        new_low, new_high = brackets[i]
-        counts.append(F.count(F.when(_in_group(g) & (F.col(c) < F.lit(new_low)), 1)).alias(f"under{i}"))
-        counts.append(F.count(F.when(_in_group(g) & _inside(c, new_low, new_high), 1)).alias(f"in{i}"))
-    proof = values.agg(*counts).first()
-    narrowed = {}
-    for i, (w, old) in enumerate(items):
-        new_low, new_high = brackets[i]
-        under, inside = proof[f"under{i}"], proof[f"in{i}"]
-        if under < w[2] <= under + inside and inside < old[3]:
-            narrowed[w] = (new_low, new_high, under, inside)
-        elif w[2] <= under:
-            narrowed[w] = (old[0], new_low, old[2], under - old[2] + inside)
-        elif w[2] > under + inside:
-            narrowed[w] = (new_high, old[1], under, old[3] - (under - old[2]))
-        else:
-            # Nothing was cut off: the ends of the bracket are the ends of the data inside it.
-            narrowed[w] = (new_low, new_high, under, inside)
-    return narrowed
-
-
-def _pick(values: DataFrame, ready: dict) -> dict:
-    items = list(ready.items())
-    # Nearly all rows lie outside the brackets and leave before the tagging.
-    near = values.where(any_of([_in_group(g) & _inside(c, low, high) for (g, c, _), (low, high, _, _) in items]))
-    tags = F.array(
-        *[
-            F.when(_in_group(g) & _inside(c, low, high), F.struct(F.lit(i).alias("id"), F.col(c).alias("x")))
-            for i, ((g, c, _), (low, high, _, _)) in enumerate(items)
-        ]
-    )
-    rows = near.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select("t.id", "t.x")
-    order = Window.partitionBy("id").orderBy("x")
-    upto = rows.groupBy("id", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(order))
-    ranks = F.create_map(*[F.lit(v) for i, ((_, _, rank), (_, _, below, _)) in enumerate(items) for v in (i, rank - below)])
-    want = ranks[F.col("id")]
-    hits = upto.where((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want)).select("id", "x")
-    return {items[r["id"]][0]: r["x"] for r in hits.collect()}
+def _sketch(x: Column) -> Column:
+    return F.percentile_approx(x, F.array(*[F.lit(i / _STEPS) for i in range(_STEPS + 1)]), _ACCURACY)
+
+
+def _held(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Each value up to its brackets' ends, once per bracket; a hot group is split by the join's skew handling or a broadcast."""
+    return long.where("x IS NOT NULL").join(brackets.withColumnRenamed("n", "rows"), ["group", "column"]).where("x <= high")
+
+
+def _proved(long: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Brackets narrowed to the steps of ``grid`` round their ranks, with counted rows under and inside them."""
+    keys = ["group", "column", "prob"]
+    slack = 2 / _ACCURACY
+
+    def step(rank: str, sign: int) -> Column:
+        share = (F.col(rank) - F.col("below")) / F.col("inside") + sign * slack
+        return (F.floor((share - 1 / F.col("inside")) * _STEPS) if sign < 0 else F.ceil(share * _STEPS)).cast("int")
+
+    near = F.when(step("rank", -1) > 0, F.get("grid", step("rank", -1))).otherwise(F.col("low"))
+    far = F.when(step("rank_above", 1) < _STEPS, F.get("grid", step("rank_above", 1))).otherwise(F.col("high"))
+    tried = wanted.withColumns({"from": near, "to": far}).drop("grid")
+    tried = materialise(tried)
+    counted = long.where("x IS NOT NULL").join(tried.select(*keys, "from", "to"), ["group", "column"])
+    counts = counted.groupBy(*keys).agg(F.count_if(F.col("x") < F.col("from")).alias("under"), F.count_if(F.col("x") <= F.col("to")).alias("until"))
+    low_holds, high_holds = F.col("under") < F.col("rank"), F.col("until") >= F.col("rank_above")
+    proved = tried.join(counts, keys, "left").select(
+        *keys, "n", "rank", "rank_above", "part",
+        F.when(low_holds, F.col("from")).otherwise(F.col("low")).alias("low"),
+        F.when(high_holds, F.col("to")).otherwise(F.col("high")).alias("high"),
+        F.when(low_holds, F.col("under")).otherwise(F.col("below")).alias("below"),
+        (F.when(high_holds, F.col("until")).otherwise(F.col("below") + F.col("inside")) - F.when(low_holds, F.col("under")).otherwise(F.col("below"))).alias("inside"),
+    )
+    proved = materialise(proved)
+    discard(tried)
+    return proved
