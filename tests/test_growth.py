@@ -54,3 +54,16 @@ def test_queries_on_unbalanced_rows_do_not_oversample(spark, monkeypatch):
     monkeypatch.setattr(model_queries, "_prepared", {})
     monkeypatch.setattr(model_queries, "oversample", oversample)
     assert model_queries.logistic_coefficients(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_blocks_go_to_python_in_small_batches(spark):
+    rows = spark.range(0, 180_000, 1, 1)
+    features = array_to_vector(F.array(*[(F.col("id") % (i + 2)).cast("double") for i in range(16)]))
+    data = pack(rows.select(features.alias("features"), (F.col("id") % 2).alias("label")), "features", "label")
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf[["n"]].assign(n=len(pdf))
+
+    assert max(r[0] for r in data.blocks.mapInPandas(sizes, "n int").collect()) <= 4
+    released(data)
