@@ -80,10 +80,16 @@ def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Name of two neighbouring windows together, from their names."""
-    with np.errstate(over="ignore"):
-        h = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+    h = a >> np.uint64(31)
+    h ^= a
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h += b
+    high = h >> np.uint64(32)
+    h ^= high
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    np.right_shift(h, np.uint64(32), out=high)
+    h ^= high
+    return h
 
 
 def window_names(words: np.ndarray, width: int) -> np.ndarray:
@@ -121,6 +127,13 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _name_order(names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Order by name, then check; equal ones in any order. Names alone decide but for the rare equal ones with two checks."""
+    order = np.argsort(names)
+    same = names[order[1:]] == names[order[:-1]]
+    return np.lexsort((checks, names)) if (same & (checks[order[1:]] != checks[order[:-1]])).any() else order
+
+
 def _by_part(part: np.ndarray, parts: int):
     """(part, slice) of the parts that occur in rising ``part``."""
     bounds = np.searchsorted(part, np.arange(parts + 1))
@@ -170,7 +183,7 @@ def _shared(names: list[np.ndarray], several: list[np.ndarray]) -> list[np.ndarr
     """Per block: which of its names are in two documents or more, in this block or another."""
     sizes = [len(n) for n in names]
     flat = np.concatenate(names)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     start = _starts(flat[order])
     size = np.diff(np.append(start, len(flat)))
     flag = np.zeros(len(flat), bool)
@@ -186,7 +199,7 @@ def _flags(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _told(names: np.ndarray, number_ids: np.ndarray, block: int, parts: int) -> list[tuple]:
     """Messages (part, block, blob) on a block's distinct names: which are there, which of them in several documents."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     start = _starts(names[order])
     doc, distinct = number_ids[order], names[order][start]
     several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(start) else np.zeros(0, bool)
@@ -245,9 +258,11 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
         """A block's windows with a repeated key, by name: (ids, number, place, starts of equal names, names, checks)."""
         block = _Block(rows, width)
         keys, answers = block.keys(), _answers(flags)
-        some = answers[np.searchsorted(np.unique(keys), keys)] if len(answers) else np.zeros(len(keys), bool)
+        run = _starts(keys)  # neighbouring windows often share their key
+        place = np.unique(keys[run], return_inverse=True)[1]
+        some = np.repeat(answers[place], np.diff(np.append(run, len(keys)))) if len(answers) else np.zeros(len(keys), bool)
         names, checks = block.names(some)
-        order = np.lexsort((checks, names))
+        order = _name_order(names, checks)
         names, checks = names[order], checks[order]
         return block.ids, block.number[some][order], block.place[some][order], _starts(names, checks), names, checks
 
@@ -264,7 +279,7 @@ def remove_repeated_windows(docs: DataFrame, finish: Callable[[DataFrame], DataF
     def least_ids(rows: pd.DataFrame) -> pd.DataFrame:
         blobs = [_unpacked(b, "u8", "u4", "i8") for b in rows["blob"]]
         names, checks, ids = (np.concatenate([b[i] for b in blobs]) for i in range(3))
-        order = np.lexsort((checks, names))
+        order = _name_order(names, checks)
         start = _starts(names[order], checks[order])
         size = np.diff(np.append(start, len(names)))
         several, least = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
