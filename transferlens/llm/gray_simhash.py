@@ -260,33 +260,44 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, distance: int, block:
             stack.append((level, i[fits], j[fits]))
 
 
-def _shard_pairs(nodes: DataFrame, n: int, distance: int, shard_size: int) -> DataFrame:
+def _shard_pairs(nodes: DataFrame, n: int, distance: int, shard_size: int, ratio: float = 0.0) -> DataFrame:
     """(a, b, left, right): shards of neighbouring Gray ranks whose members can be within ``distance``, one row a partition.
 
-    ``left`` and ``right`` hold the columns of ``nodes`` (longs, fp first), one after another, in Gray order.
+    ``left`` and ``right`` hold the columns of ``nodes`` (longs, fp first), one after another, in Gray order. With a
+    ``ratio`` the last column has sizes, of which the smaller must be at least that share of the greater: shards then
+    hold neighbouring sizes (eighths of a power of two, in Gray order each) and meet only those whose sizes allow a
+    link. As each meets few others they can be a quarter as large.
     """
     spark, columns = nodes.sparkSession, nodes.columns
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    ranked = materialise(nodes.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))))
-    bounds = cuts(ranked, "rank", ceil(n / max(shard_size, 64 * sqrt(max(n, 1)))))
+    size = F.col(columns[-1]) if ratio else F.lit(1).cast("long")
+    if ratio:
+        step = F.floor(8 * F.log2(F.greatest(size, F.lit(1)))).cast("long")
+        rank, least, factor = F.shiftleft(step, 54) + F.shiftrightunsigned(rank, 10), ceil(shard_size / 4), 16
+    else:
+        rank, least, factor = rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), shard_size, 64
+    ranked = materialise(nodes.withColumn("rank", rank).withColumn("span", size))
+    bounds = cuts(ranked, "rank", ceil(n / max(least, factor * sqrt(max(n, 1)))))
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy().view(np.uint64)
         order = np.argsort(gray_rank(fp))
         ones, some = np.bitwise_and.reduce(fp), np.bitwise_or.reduce(fp)
         raw = b"".join(rows[c].to_numpy()[order].tobytes() for c in columns)
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "ones": np.array([ones]).view(np.int64), "some": np.array([some]).view(np.int64), "codes": [raw]})
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "ones": np.array([ones]).view(np.int64), "some": np.array([some]).view(np.int64), "low": [rows["span"].min()], "high": [rows["span"].max()], "codes": [raw]})
 
-    packed = ranked.select(*columns, part_of(F.col("rank"), bounds).alias("shard")).groupBy("shard").applyInPandas(gather, "shard int, ones long, some long, codes binary")
-    packed = materialise(packed)
-    tops = packed.select("shard", "ones", "some").toPandas()  # one row a shard
+    dealt = ranked.select(*columns, "span", part_of(F.col("rank"), bounds).alias("shard"))
+    packed = materialise(dealt.groupBy("shard").applyInPandas(gather, "shard int, ones long, some long, low long, high long, codes binary"))
+    tops = packed.select("shard", "ones", "some", "low", "high").toPandas()  # one row a shard
     ones, some = tops["ones"].to_numpy().view(np.uint64), tops["some"].to_numpy().view(np.uint64)
+    low, high = tops["low"].to_numpy(), tops["high"].to_numpy()
     pairs = []
     for k in range(len(tops)):
         both = ~(ones[k] ^ some[k]) & ~(ones[k:] ^ some[k:])
-        near = k + np.flatnonzero(np.bitwise_count((ones[k] ^ ones[k:]) & both) <= distance)
+        fits = (high[k:] >= ratio * low[k]) & (high[k] >= ratio * low[k:])
+        near = k + np.flatnonzero(fits & (np.bitwise_count((ones[k] ^ ones[k:]) & both) <= distance))
         pairs += [(int(tops["shard"][k]), int(tops["shard"][m])) for m in near]
     todo = spark.createDataFrame(pairs, "a int, b int").repartition(max(1, len(pairs)), "a", "b")
     left, right = packed.select(F.col("shard").alias("a"), F.col("codes").alias("left")), packed.select(F.col("shard").alias("b"), F.col("codes").alias("right"))
@@ -396,7 +407,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", word
                 for found in filter(len, near_pairs(x, None if a == b else y, distance, ratio=similarity)):
                     yield pd.DataFrame(found.view(np.int64), columns=["a", "b"])
 
-    rest = confirmed(_shard_pairs(labelled, n, distance, shard_size).mapInPandas(list_pairs, "a long, b long"))
+    rest = confirmed(_shard_pairs(labelled, n, distance, shard_size, similarity).mapInPandas(list_pairs, "a long, b long"))
     owner = nodes.select("key", "least")
     edges = sure.union(rest).join(owner.select(F.col("key").alias("a"), F.col("least").alias("x")), "a").join(owner.select(F.col("key").alias("b"), F.col("least").alias("y")), "b")
     roots = linked(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
