@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from transferlens.operators import sampling
-from transferlens.operators.splits import pack, released
+from transferlens.operators.splits import blocks_of, pack, released
 from transferlens.plans import model_queries
 from transferlens.sources.transfers import derive_transfers
 
@@ -67,3 +67,40 @@ def test_blocks_go_to_python_in_small_batches(spark):
 
     assert max(r[0] for r in data.blocks.mapInPandas(sizes, "n int").collect()) <= 4
     released(data)
+
+
+def _wide_rows(spark, rows, width):
+    features = array_to_vector(F.array(*[(F.col("id") % (i + 2)).cast("double") for i in range(width)]))
+    return spark.range(0, rows, 1, 1).select(features.alias("features"), (F.col("id") % 2).alias("label"))
+
+
+def test_blocks_of_wide_rows_are_small_and_joined_again(spark):
+    data = pack(_wide_rows(spark, 50_000, 16), "features", "label")
+    seen = data.written.select("n", F.octet_length("x").alias("bytes")).collect()
+    assert sum(r["n"] for r in seen) == 50_000 and max(r["bytes"] for r in seen) <= 320 << 10
+
+    def rows_at_once(batches):
+        for pdf in batches:
+            for block in blocks_of(iter([pdf]), 16):
+                same = all(((block.x[i] % (i + 2)) == block.x[i]).all() for i in range(16)) and (block.x[0] == block.y).all()
+                yield pdf[["n"]].iloc[:1].assign(n=block.n if same and len(block.key) == block.n else -1)
+
+    got = [r[0] for r in data.blocks.mapInPandas(rows_at_once, "n int").collect()]
+    assert sum(got) == 50_000 and min(got) > 0 and len(got) < len(seen)
+    released(data)
+
+
+def test_quantiles_are_sketched_for_few_columns_at_once(spark, monkeypatch):
+    df, calls = _wide_rows(spark, 5_000, 10), []
+    kind = type(df)
+    whole = kind.approxQuantile
+
+    def counted(self, columns, *rest):
+        calls.append(len(columns))
+        return whole(self, columns, *rest)
+
+    monkeypatch.setattr(kind, "approxQuantile", counted)
+    data = pack(df, "features", "label")
+    released(data)
+    assert sum(calls) == 10 and max(calls) <= 4
+    assert [e.tolist() for e in data.edges] == [list(map(float, range(i + 1))) for i in range(10)]
