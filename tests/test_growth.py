@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from transferlens import session
 from transferlens.operators import sampling
 from transferlens.operators.splits import blocks_of, pack, released
 from transferlens.plans import model_queries
@@ -104,3 +105,30 @@ def test_quantiles_are_sketched_for_few_columns_at_once(spark, monkeypatch):
     released(data)
     assert sum(calls) == 10 and max(calls) <= 4
     assert [e.tolist() for e in data.edges] == [list(map(float, range(i + 1))) for i in range(10)]
+
+
+def test_balanced_rows_are_written_once_and_small(spark, small_folder, monkeypatch):
+    written, whole = [], model_queries.materialise
+
+    def counted(df, **options):
+        written.append(df.columns)
+        return whole(df, **options)
+
+    monkeypatch.setattr(model_queries, "_balanced", {})
+    monkeypatch.setattr(model_queries, "materialise", counted)
+    _, balanced, _ = model_queries._training_data(spark, small_folder)
+    assert "fold" in balanced.columns and not any("fold" in columns for columns in written)
+    files = [f.removeprefix("file://") for f in balanced.inputFiles()]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    assert balanced.count() == sum(pq.ParquetFile(f).metadata.num_rows for f in files)
+
+
+def test_large_steps_let_shuffle_files_go(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(session, "forget_shuffles", called.append)
+    monkeypatch.setattr(session, "LARGE_STEP", 100_000)
+    rows = spark.range(200_000)
+    session.discard(session.materialise(rows.limit(10)))
+    assert not called
+    session.discard(session.materialise(rows))
+    assert called == [spark]
