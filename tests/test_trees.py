@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from transferlens.operators import splits
+from transferlens.operators import splits, trees
 from transferlens.operators.scoring import load_model
 from transferlens.operators.splits import Gini, Newton, pack, search
 from transferlens.operators.trees import (
@@ -235,3 +235,49 @@ def test_subsample_and_constant_features(spark):
         assert all(len(t.value) == 1 for t in model.tree_list())
     with pytest.raises(ValueError):
         Forest(numTrees=1).fit(df.limit(0))
+
+
+def test_boosted_trees_of_bin_borders_read_codes_only(spark):
+    """The trees are those grown on values, margins written or not, and no pass reads the values."""
+    features = array_to_vector(F.array(*[(F.xxhash64("id", F.lit(i)) % (10 ** (i + 1))).cast("double") for i in range(4)]))
+    df = spark.range(0, 20_000, 1, 3).select(features.alias("features"), (F.xxhash64("id", F.lit(1)) % 100 + F.xxhash64("id", F.lit(9)) % 60 > 0).cast("int").alias("label"))
+    data = splits.pack(df, "features", "label", bins=32)
+    setting = trees.BoostedSetting(5, depth=3)
+    grown = trees.grow_boosted(data, [setting])[0]
+    x, y = (np.array(c) for c in zip(*[(r["features"].toArray(), r["label"]) for r in df.collect()]))
+    margin = np.zeros(len(y))
+    for tree in grown:
+        assert set(tree.threshold[tree.feature >= 0]) <= set(np.concatenate(data.edges).tolist())
+        p = 1 / (1 + np.exp(-margin))
+        at = tree.leaves(x.T)
+        for leaf in np.unique(at):
+            on = at == leaf
+            assert np.isclose(tree.value[leaf], -(p - y)[on].sum() / ((p * (1 - p))[on].sum() + 1) * setting.rate)
+        coded = tree.coded(data.edges)
+        codes = np.vstack([np.searchsorted(e, x[:, f]) for f, e in enumerate(data.edges)])
+        assert (coded.leaves(codes) == at).all()
+        margin += tree.value[at]
+    plan = splits.without_values(data).blocks.mapInPandas(lambda batches: batches, splits._SHAPE)._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("ReadSchema:") :].splitlines()[0]
+    assert "codes:binary" in read and "x:binary" not in read
+    splits.released(data)
+
+
+def test_constant_features_of_large_nodes_are_not_searched(spark, monkeypatch):
+    """A node whose first features have one value goes on to the next ones without a search for each, to the same tree."""
+    features = array_to_vector(F.array(*[F.lit(float(i)) for i in range(6)], (F.col("id") % 50).cast("double")))
+    df = spark.range(0, 2000, 1, 2).select(features.alias("features"), F.when(F.col("id") % 50 < 20, F.col("id") % 3 == 0).otherwise(F.col("id") % 7 > 0).cast("int").alias("label"))
+    data, calls = pack(df, "features", "label"), []
+    whole = trees.search
+
+    def counted(*args, **more):
+        calls.append(args[2])
+        return whole(*args, **more)
+
+    monkeypatch.setattr(trees, "search", counted)
+    setting = ForestSetting(1, 2, features=1, bootstrap=False)
+    large, small = grow_forests(data, [setting], 100)[0][0], grow_forests(data, [setting])[0][0]
+    splits.released(data)
+    assert len(calls) == 2  # one for each level
+    shape = lambda t, i=0: None if t.feature[i] < 0 else (t.feature[i], t.threshold[i], shape(t, t.left[i]), shape(t, t.right[i]))
+    assert shape(large) is not None and shape(large) == shape(small)
